@@ -8,7 +8,7 @@ from lodestone.llm.neardup import NearDupConfig, duplicate_pairs, near_duplicate
 from lodestone.sources.tables import table
 
 BODIES = NearDupConfig(n=5, min_chars=40, threshold=0.6)
-TITLES = NearDupConfig(n=2, min_chars=10, threshold=0.6, slack=0.2, least_fragments=1)
+TITLES = NearDupConfig(n=2, min_chars=10, threshold=0.6, slack=0.1, least_fragments=4)
 
 
 def p1_found(spark: SparkSession, directory: str) -> DataFrame:
