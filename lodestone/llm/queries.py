@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lodestone.llm.bpe import encode_corpus
 from lodestone.llm.neardup import NearDupConfig, duplicate_pairs, near_duplicates
+from lodestone.llm.split import split_items, with_limits
 from lodestone.sources.tables import table
 
 BODIES = NearDupConfig(n=5, min_chars=40, threshold=0.6)
@@ -19,8 +21,21 @@ def p1_found(spark: SparkSession, directory: str) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
+def p4_pieces(spark: SparkSession, directory: str) -> DataFrame:
+    items = with_limits(*(table(spark, directory, t) for t in ("context_unit", "evidence_unit", "knowledge_source", "section_profile")))
+    return split_items(items, ["record_kind", "record_id"], "body", "target", "overlap")
+
+
+def p4_found(spark: SparkSession, directory: str) -> DataFrame:
+    return p4_pieces(spark, directory).filter("piece_no = 1").select("record_kind", "record_id")
+
+
+def p6_ids(spark: SparkSession, directory: str) -> DataFrame:
+    return encode_corpus(table(spark, directory, "documents"))
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found}
+    return {"p1_found": p1_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_ids": p6_ids}
 
 
 def oracle_sql() -> dict[str, str]:
