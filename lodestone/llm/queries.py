@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestone.llm.bpe import encode_corpus
 from lodestone.llm.neardup import NearDupConfig, duplicate_pairs, near_duplicates
+from lodestone.llm.pii import pii_mentions, redacted
 from lodestone.llm.split import split_items, with_limits
 from lodestone.sources.tables import table
 
@@ -34,8 +35,17 @@ def p6_ids(spark: SparkSession, directory: str) -> DataFrame:
     return encode_corpus(table(spark, directory, "documents"))
 
 
+def p8_found(spark: SparkSession, directory: str) -> DataFrame:
+    return pii_mentions(table(spark, directory, "documents"))
+
+
+def p8_redacted(spark: SparkSession, directory: str) -> DataFrame:
+    return redacted(table(spark, directory, "documents"))
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_ids": p6_ids}
+    found = (p1_found, p4_found, p4_pieces, p6_ids, p8_found, p8_redacted)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
