@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestone.llm.bpe import encode_corpus
+from lodestone.llm.lookalike import bigram_counts, fields, normalized
 from lodestone.llm.neardup import NearDupConfig, duplicate_pairs, near_duplicates
 from lodestone.llm.pii import pii_mentions, redacted
 from lodestone.llm.split import split_items, with_limits
 from lodestone.sources.tables import table
 
 BODIES = NearDupConfig(n=5, min_chars=40, threshold=0.6)
-TITLES = NearDupConfig(n=2, min_chars=10, threshold=0.6, slack=0.1, least_fragments=4)
+TITLES = NearDupConfig(n=2, min_chars=10, threshold=0.6, slack=0.03, least_fragments=4)
 
 
 def p1_found(spark: SparkSession, directory: str) -> DataFrame:
@@ -31,6 +32,17 @@ def p4_found(spark: SparkSession, directory: str) -> DataFrame:
     return p4_pieces(spark, directory).filter("piece_no = 1").select("record_kind", "record_id")
 
 
+def p5_normalized(spark: SparkSession, directory: str) -> DataFrame:
+    values = fields(table(spark, directory, "context_unit"), table(spark, directory, "product_spec"))
+    return normalized(values, "value", bigram_counts(values, "value")).drop("value").distinct()
+
+
+def p5_found(spark: SparkSession, directory: str) -> DataFrame:
+    values = fields(table(spark, directory, "context_unit"), table(spark, directory, "product_spec"))
+    changed = normalized(values, "value", bigram_counts(values, "value"), suspects_only=True).filter("size(disguises) > 0")
+    return changed.select("record_kind", "record_id", "field_name").distinct()
+
+
 def p6_ids(spark: SparkSession, directory: str) -> DataFrame:
     return encode_corpus(table(spark, directory, "documents"))
 
@@ -44,7 +56,7 @@ def p8_redacted(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (p1_found, p4_found, p4_pieces, p6_ids, p8_found, p8_redacted)
+    found = (p1_found, p4_found, p4_pieces, p5_found, p5_normalized, p6_ids, p8_found, p8_redacted)
     return {f.__name__: f for f in found}
 
 
