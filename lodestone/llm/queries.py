@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestone.llm.bpe import encode_corpus
+from lodestone.llm.leakage import leaked, without_leaks
 from lodestone.llm.lookalike import bigram_counts, fields, normalized
 from lodestone.llm.neardup import NearDupConfig, duplicate_pairs, near_duplicates
 from lodestone.llm.pii import pii_mentions, redacted
@@ -47,6 +48,15 @@ def p6_ids(spark: SparkSession, directory: str) -> DataFrame:
     return encode_corpus(table(spark, directory, "documents"))
 
 
+def p7_found(spark: SparkSession, directory: str) -> DataFrame:
+    return leaked(table(spark, directory, "documents"), table(spark, directory, "eval_item")).select("doc_id", "item_id")
+
+
+def p7_clean(spark: SparkSession, directory: str) -> DataFrame:
+    documents = table(spark, directory, "documents")
+    return without_leaks(documents, leaked(documents, table(spark, directory, "eval_item"))).select("doc_id", "text")
+
+
 def p8_found(spark: SparkSession, directory: str) -> DataFrame:
     return pii_mentions(table(spark, directory, "documents"))
 
@@ -56,7 +66,7 @@ def p8_redacted(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (p1_found, p4_found, p4_pieces, p5_found, p5_normalized, p6_ids, p8_found, p8_redacted)
+    found = (p1_found, p4_found, p4_pieces, p5_found, p5_normalized, p6_ids, p7_found, p7_clean, p8_found, p8_redacted)
     return {f.__name__: f for f in found}
 
 
