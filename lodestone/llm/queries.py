@@ -10,6 +10,7 @@ from lodestone.llm.lookalike import bigram_counts, fields, normalized
 from lodestone.llm.neardup import NearDupConfig, duplicate_pairs, near_duplicates
 from lodestone.llm.pii import pii_mentions, redacted
 from lodestone.llm.split import split_items, with_limits
+from lodestone.llm.webpage import main_blocks, rendered
 from lodestone.sources.tables import table
 
 BODIES = NearDupConfig(n=5, min_chars=40, threshold=0.6)
@@ -24,6 +25,14 @@ def p1_found(spark: SparkSession, directory: str) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
+def p3_found(spark: SparkSession, directory: str) -> DataFrame:
+    return main_blocks(table(spark, directory, "article")).select("article_id", "block_md5").distinct()
+
+
+def p3_rendered(spark: SparkSession, directory: str) -> DataFrame:
+    return rendered(table(spark, directory, "article"))
+
+
 def p4_pieces(spark: SparkSession, directory: str) -> DataFrame:
     items = with_limits(*(table(spark, directory, t) for t in ("context_unit", "evidence_unit", "knowledge_source", "section_profile")))
     return split_items(items, ["record_kind", "record_id"], "body", "target", "overlap")
@@ -66,7 +75,7 @@ def p8_redacted(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (p1_found, p4_found, p4_pieces, p5_found, p5_normalized, p6_ids, p7_found, p7_clean, p8_found, p8_redacted)
+    found = (p1_found, p3_found, p3_rendered, p4_found, p4_pieces, p5_found, p5_normalized, p6_ids, p7_found, p7_clean, p8_found, p8_redacted)
     return {f.__name__: f for f in found}
 
 
