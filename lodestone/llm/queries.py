@@ -10,6 +10,7 @@ from lodestone.llm.lookalike import bigram_counts, fields, normalized
 from lodestone.llm.neardup import NearDupConfig, duplicate_pairs, near_duplicates
 from lodestone.llm.pii import pii_mentions, redacted
 from lodestone.llm.split import split_items, with_limits
+from lodestone.llm.vectors import VectorConfig, nearest_vectors
 from lodestone.llm.webpage import main_blocks, rendered
 from lodestone.sources.tables import table
 
@@ -25,6 +26,18 @@ def p1_found(spark: SparkSession, directory: str) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
+def p2_found(spark: SparkSession, directory: str) -> DataFrame:
+    near = nearest_vectors(table(spark, directory, "evidence_unit"), "id", "embedding", VectorConfig(k=10, probes=4, floor=0.9))
+    return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
+
+
+def p2_neighbours(spark: SparkSession, directory: str) -> DataFrame:
+    """Ten neighbours, however far, of a twentieth of the ids (by their checksum), searched in all rows."""
+    evidence = table(spark, directory, "evidence_unit")
+    near = nearest_vectors(evidence, "id", "embedding", VectorConfig(k=10, probes=16), F.crc32(F.col("id").cast("binary")) % 20 == 0)
+    return near.select("id", "neighbour", F.round("cosine", 4).alias("cosine"), "rank")
+
+
 def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     return main_blocks(table(spark, directory, "article")).select("article_id", "block_md5").distinct()
 
@@ -75,7 +88,7 @@ def p8_redacted(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (p1_found, p3_found, p3_rendered, p4_found, p4_pieces, p5_found, p5_normalized, p6_ids, p7_found, p7_clean, p8_found, p8_redacted)
+    found = (p1_found, p2_found, p2_neighbours, p3_found, p3_rendered, p4_found, p4_pieces, p5_found, p5_normalized, p6_ids, p7_found, p7_clean, p8_found, p8_redacted)
     return {f.__name__: f for f in found}
 
 
