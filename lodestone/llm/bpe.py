@@ -60,14 +60,13 @@ class BacktrackingBpe:
         for text, i in self.id_of.items():
             self.automaton.add_word(text, (i, len(text) - 1))
         self.automaton.make_automaton()
+        self.size = [len(self.token.get(i, b"")) for i in range(max(self.token) + 1)]
         self.split = regex.compile(PATTERN).findall
         self.pair_ok: dict[int, bool] = {}
         self.shorter: dict[int, int | None] = {}
         self.memo: dict[str, tuple[int, ...]] = {}
-        size = max(self.token) + 1
-        lengths = np.array([len(self.token.get(i, b"")) for i in range(size)], dtype=np.int64)
-        self.offsets = np.concatenate([[0], np.cumsum(lengths)])
-        self.bytes = b"".join(self.token.get(i, b"") for i in range(size))
+        self.offsets = np.concatenate([[0], np.cumsum(self.size)])
+        self.bytes = b"".join(self.token.get(i, b"") for i in range(len(self.size)))
 
     def _shorter(self, token: int) -> int | None:
         """The longest token that is a proper prefix of token."""
@@ -115,22 +114,27 @@ class BacktrackingBpe:
             longest[end - back] = token
         out: list[int] = []
         dead = bytearray(n + 1)  # positions from which no way leads on
-        size, compatible = self.token, self._compatible
-        at, token = 0, longest[0]
+        size, known, compatible, shorter = self.size, self.pair_ok, self._compatible, self._shorter
+        at, token, last = 0, longest[0], -1
         while at < n:
             while token is not None:
-                end = at + len(size[token])
-                if not dead[end] and (not out or compatible(out[-1], token)):
-                    break
-                token = self._shorter(token)
+                if not dead[at + size[token]]:
+                    if last < 0:
+                        break
+                    ok = known.get(last << _SHIFT | token)
+                    if ok or ok is None and compatible(last, token):
+                        break
+                token = shorter(token)
             if token is None:
                 dead[at] = 1
                 token = out.pop()
-                at -= len(size[token])
-                token = self._shorter(token)
+                at -= size[token]
+                last = out[-1] if out else -1
+                token = shorter(token)
                 continue
             out.append(token)
-            at = end
+            at += size[token]
+            last = token
             token = longest[at] if at < n else None
         return tuple(out)
 

@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 # Letters of other alphabets and the Latin letters they look like.
 _TWINS = dict(
@@ -88,7 +89,7 @@ def _keeps(text: str, at: int) -> bool:
     if char == "‌":
         return _script(before or " ") == _script(after or " ") and _script(after or " ") in _JOINING
     if char in "︎️":
-        return _emojiish(before) and before not in ("", "️") or before == "" and False
+        return _emojiish(before) and before != "️"
     if 0xE0020 <= ord(char) <= 0xE007F:
         return bool(before) and (before == "\U0001f3f4" or 0xE0020 <= ord(before) <= 0xE007F)
     return 0xFE00 <= ord(char) <= 0xFE0D and "一" <= before <= "鿿"
@@ -203,8 +204,6 @@ def normalized(df: DataFrame, text_col: str, model: BigramModel, suspects_only:
             done = [(None, []) if t is None else canonical(t, sent.value) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.list_(pa.string()))], names=[*batch.schema.names, "canonical", "disguises"])
 
-    from pyspark.sql.types import ArrayType, StringType, StructField, StructType
-
     schema = StructType([*rows.schema.fields, StructField("canonical", StringType()), StructField("disguises", ArrayType(StringType()))])
     return rows.mapInArrow(run, schema)
 

@@ -70,7 +70,7 @@ def successors(codes: np.ndarray, first: np.ndarray, last: np.ndarray, target: n
     end = np.where(end < 0, hard, end)
     end = np.where(last <= limit, last, end)
     room = np.minimum(overlap, target // 4)
-    want = end - room
+    want = np.maximum(end - room, 0)
     at = natural[want]
     hard = safe[want]
     start = np.where(at >= end - 2 * room, at, np.where(hard >= end - 2 * room, hard, want))
@@ -89,13 +89,12 @@ def cut_batch(texts: list[str], targets: list[int], overlaps: list[int]) -> list
     end, jump = successors(codes, spread(begins), last, np.maximum(spread(targets), 1), spread(overlaps))
     fixed = stops - 1
     jump[fixed] = fixed
-    single, reached = jump, begins
+    reached = begins
     while True:
         more = np.unique(np.concatenate([reached, jump[reached]]))
         if len(more) == len(reached):
             break
         reached, jump = more, jump[jump]
-    del single
     reached = reached[reached != last[reached]]
     of = np.searchsorted(stops, reached, side="right")
     out: list[list[tuple[int, int]]] = [[] for _ in texts]
@@ -112,8 +111,8 @@ def split_items(df: DataFrame, key_cols: list[str], text_col: str, target_col: s
     A target under 1 counts as 1. Repeated rows are cut as often as they stand there. Other columns are not read.
     """
     keys = [F.col(c) for c in key_cols]
-    rows = df.select(*keys, F.col(text_col).alias("__text"), F.greatest(F.col(target_col).cast("long"), F.lit(1)).alias("__target"), F.greatest(F.coalesce(F.col(overlap_col).cast("long"), F.lit(0)), F.lit(0)).alias("__overlap"))
-    rows = rows.filter(F.col(target_col).isNotNull() if target_col in key_cols else "__target IS NOT NULL").filter("char_length(__text) > __target")
+    rows = df.filter(F.col(target_col).isNotNull()).select(*keys, F.col(text_col).alias("__text"), F.greatest(F.col(target_col).cast("long"), F.lit(1)).alias("__target"), F.greatest(F.coalesce(F.col(overlap_col).cast("long"), F.lit(0)), F.lit(0)).alias("__overlap"))
+    rows = rows.filter("char_length(__text) > __target")
     width = len(key_cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

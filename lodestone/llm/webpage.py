@@ -38,7 +38,7 @@ _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|o
 _BYLINE = re.compile(r"(?:19|20)\d\d\s*[-/.年]\s*\d{1,2}\s*[-/.月]\s*\d{1,2}.{0,30}$|(?:阅读|浏览|views?|reads?)\s*[:：]?\s*\d+|^(?:作者|来源|编辑|责编|发布时间|时间|原创|by|posted)\s*[:： ]", re.I)
 _NOTICE = re.compile(
     r"^(?:作者简介|关于作者|作者介绍|免责声明|声明|特别声明|版权声明|广告|推广|赞助|相关阅读|延伸阅读|推荐阅读|热门文章|猜你喜欢|上一篇|下一篇|返回顶部|阅读原文|转载请|来源|责任编辑)(?:[:： ]|$)"
-    r"|二维码|扫码|公众号|读者群|交流群|粉丝群|下方名片|点个赞|点赞|在看|一键三连|转发给|分享给|分享到|关注我们|关注本|记得关注|设为星标|客户端|订阅|投稿邮箱|商务合作|未经许可|未经授权|不得转载|版权所有|保留一切权利|备案|仅供参考"
+    r"|二维码|扫码|公众号|读者群|交流群|粉丝群|下方名片|点个赞|点赞|在看|一键三连|转发给|分享给|分享到|关注我们|关注本|记得关注|设为星标|客户端|订阅|投稿邮箱|商务合作|未经许可|未经授权|不得转载|版权所有|保留一切权利|备案|仅供参考|限时特惠|点击(?:了解|查看|购买|领取)"
     r"|cookie|all rights reserved|copyright|©|subscribe|follow us|share this|about the author|disclaimer|advertisement|sponsored|sign up|newsletter|you may also like|related (?:posts|articles|reading)|download (?:the|our) app|scan the|join (?:the|our)|click (?:the|below)|read more|leave a comment",
     re.I,
 )
