@@ -39,6 +39,10 @@ def with_terms(df: DataFrame, id_col: str, text: Column) -> DataFrame:
     return df.select(id_col, F.coalesce(tokens(text), F.array().cast("array<string>")).alias("terms")).withColumn("length", F.size("terms"))
 
 
+#: Query terms up to which they are broadcast (some 10 MB); more are joined by a shuffle on the term.
+SMALL_QUERY_TERMS = 200_000
+
+
 def bm25(docs: DataFrame, queries: DataFrame, id_col: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, id_col, score) for all documents with a positive score.
 
@@ -46,14 +50,18 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str, k1: float = 1.5, b: f
     documents included. Only terms that some query has are exploded into a shuffle.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
-    stats = docs.agg(F.count("*").cast("double").alias("n"), F.avg("length").alias("average"))
     wanted = asked.select("term").distinct()
-    postings = docs.select(id_col, "length", F.explode("terms").alias("term")).join(wanted, "term", "left_semi").groupBy(id_col, "term").agg(F.count("*").cast("double").alias("tf"), F.first("length").alias("length"))
-    df = postings.groupBy("term").agg(F.count("*").cast("double").alias("df"))
+    stats = docs.agg(F.count("*").cast("double").alias("n"), F.avg("length").alias("average"))
+    # Documents lie by id, so that counting their terms and summing their scores needs no further shuffle.
+    placed = docs.repartition(F.col(id_col)).select(id_col, "length", F.explode("terms").alias("term")).join(wanted, "term", "left_semi")
+    postings = placed.groupBy(id_col, "term").agg(F.count("*").cast("double").alias("tf"), F.first("length").alias("length"))
+    df = docs.select(F.explode(F.array_distinct("terms")).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").cast("double").alias("df"))
     idf = df.crossJoin(F.broadcast(stats)).select("term", F.ln(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "average")
+    asked = asked.join(idf, "term")
+    if asked.count() <= SMALL_QUERY_TERMS:
+        asked = F.broadcast(asked)
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("average")))
-    weighted = postings.join(idf, "term").select("term", id_col, weight.alias("weight"))
-    return asked.join(weighted, "term").groupBy("query_id", id_col).agg(F.sum("weight").alias("score")).filter("score > 0")
+    return postings.join(asked, "term").groupBy("query_id", id_col).agg(F.sum(weight).alias("score")).filter("score > 0")
 
 
 def valid_vector(vector: Column, width: int) -> Column:
@@ -120,6 +128,12 @@ def top_k(scored: DataFrame, id_col: str, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def best_with_ties(scored: DataFrame, k: int) -> DataFrame:
+    """The rows of each query whose score is among its k best, all of equal scores included; few rows per query leave a partition."""
+    place = F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+    return scored.withColumn("place", place).filter(F.col("place") <= k).drop("place")
+
+
 def fuse(routes: dict[str, DataFrame], id_col: str, k: int = 20, weights: dict[str, float] | None = None) -> DataFrame:
     """(query_id, id_col, score, routes): reciprocal rank fusion over each route's best rank; routes: (query_id, id_col, rank, score)."""
     weights = weights or {}
