@@ -156,3 +156,21 @@ def passages(df: DataFrame, id_col: str, text_col: str, target: int = 400, least
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text IS NOT NULL AND text <> ''")
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ordinal int, char_start long, char_end long, body string").withColumnRenamed("id", id_col)
+
+
+def markdown_blocks(lines: DataFrame, id_col: str) -> DataFrame:
+    """(id_col, block, kind, first_line, last_line): typed blocks of Markdown lines, all by windows.
+
+    Fences toggle code (an unclosed one runs to the end, fence lines belong to their block); blank lines end a block, a heading is one by itself,
+    else a block is a run of lines of one kind.
+    """
+    w = Window.partitionBy(id_col).orderBy("line_no")
+    fence = F.col("line").rlike("^\\s*(?:```|~~~)")
+    fenced = lines.withColumn("fences", F.sum(fence.cast("long")).over(w)).withColumn("code", (F.col("fences") % 2 == 1) | fence)
+    typed = fenced.withColumn("kind", F.when(F.col("code"), "code").otherwise(line_kind()))
+    before = lambda c: F.lag(c).over(w)
+    opens = fence & (F.col("fences") % 2 == 1)
+    cut = before("kind").isNull() | (F.col("kind") != before("kind")) | (F.col("kind") == "heading") | opens
+    numbered = typed.withColumn("cut", cut).withColumn("b", F.sum(F.col("cut").cast("long")).over(w)).filter("kind <> 'blank'")
+    blocks = numbered.groupBy(id_col, "b").agg(F.first("kind").alias("kind"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"))
+    return blocks.select(id_col, F.row_number().over(Window.partitionBy(id_col).orderBy("first_line")).cast("long").alias("block"), "kind", "first_line", "last_line")

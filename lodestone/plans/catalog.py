@@ -493,3 +493,58 @@ def event_windows(spark, d):
     from lodestone.streaming.windows import hourly
 
     return hourly(table(spark, d, "events"))
+
+
+_FENCE = "regexp_matches(line, '^\\s*(?:```|~~~)')"
+_KIND = "CASE WHEN regexp_matches(line, '^#{1,6} ') THEN 'heading' WHEN regexp_matches(line, '^\\s*\\|.*\\|\\s*$') THEN 'table' WHEN regexp_matches(line, '^\\s*(?:[-*•]|[0-9]+[.)]) ') THEN 'list' WHEN regexp_matches(line, '^> ?') THEN 'quote' WHEN trim(line, ' ') = '' THEN 'blank' ELSE 'text' END"
+
+
+@register(
+    f"WITH {_LINES}, f AS (SELECT *, {_FENCE} AS fence, sum(CASE WHEN {_FENCE} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS n FROM ln), t AS (SELECT *, CASE WHEN n % 2 = 1 OR fence THEN 'code' ELSE {_KIND} END AS kind FROM f), "
+    "c AS (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY line_no) AS prev FROM t), b AS (SELECT *, sum(CASE WHEN prev IS NULL OR kind <> prev OR kind = 'heading' OR (fence AND n % 2 = 1) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS b FROM c) "
+    "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY min(line_no)) AS BIGINT) AS block, any_value(kind) AS kind, CAST(min(line_no) AS BIGINT) AS first_line, CAST(max(line_no) AS BIGINT) AS last_line FROM b WHERE kind <> 'blank' GROUP BY doc_id, b"
+)
+def markdown_blocks(spark, d):
+    return st.markdown_blocks(st.text_lines(table(spark, d, "documents"), "doc_id", "text"), "doc_id")
+
+
+_TIME = "(?:首次开机|出差途中|系统更新后|过了一周|[Aa]t first boot|[Aa] week later|[Aa]fter the update)[^。.！!？?；;\\n]{0,20}"
+
+
+@register(f"WITH {_CONTEXTS} SELECT id, regexp_extract(body, '{_TIME}') AS phrase FROM ctx WHERE regexp_matches(body, '{_TIME}')")
+def time_phrases(spark, d):
+    """The first time-bound phrase of each context."""
+    c = se.Corpus(spark, d).contexts
+    return c.filter(F.col("body").rlike(_TIME)).select("id", F.regexp_extract("body", f"({_TIME})", 1).alias("phrase"))
+
+
+@register(f"WITH {_SOURCES}, {_CONTEXTS} SELECT ctx.id, array_to_string(list_filter([src.source_type, src.document_schema, src.title], lambda p: p NOT IN (SELECT unnest([ctx.title]))), ' > ') AS prefix, '[' || coalesce(strftime(src.source_date, '%Y-%m-%d'), 'no date') || '] ' || ctx.title AS notice FROM ctx JOIN src ON src.id = ctx.source_id".replace("p NOT IN (SELECT unnest([ctx.title]))", "p <> ctx.title"))
+def retrieval_prefixes(spark, d):
+    """The path parts that a context's own title does not repeat, and a dated notice."""
+    c = se.Corpus(spark, d)
+    j = c.contexts.select("id", "source_id", "title").join(c.sources.select(F.col("id").alias("source_id"), "source_type", "document_schema", F.col("title").alias("source_title"), "source_date"), "source_id")
+    prefix = F.array_join(F.filter(F.array("source_type", "document_schema", "source_title"), lambda p: p != F.col("title")), " > ")
+    notice = F.concat(F.lit("["), F.coalesce(F.date_format("source_date", "yyyy-MM-dd"), F.lit("no date")), F.lit("] "), F.col("title"))
+    return j.select("id", prefix.alias("prefix"), notice.alias("notice"))
+
+
+@register(_BASE + _BM25 + ", " + _COSINE + ", fused AS (SELECT query_id, id, round(sum(w / (20 + rank)), 8) AS score FROM (SELECT query_id, id, rank, 1.0::DOUBLE AS w FROM keyword UNION ALL SELECT query_id, id, rank, 1.5::DOUBLE FROM vector) GROUP BY query_id, id) SELECT query_id, id, score, CAST(rank AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM fused) WHERE rank <= 20")
+def weighted_fusion(spark, d):
+    _, by_route = se.routes(spark, d)
+    return rt.top_k(rt.fuse(by_route, "id", 20, {"vector": 1.5}), "id", 20).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@register(
+    _BASE + _BM25 + f""", spec AS (SELECT * FROM product_spec QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) = 1), par AS (SELECT query_id, context_id, min(rank) AS rank FROM keyword JOIN evi USING (id) GROUP BY query_id, context_id),
+hit AS (SELECT query_id, spec.id AS spec_id, min(par.rank) AS rank FROM par JOIN spec ON spec.review_context_id = par.context_id GROUP BY query_id, spec.id)
+SELECT query_id, spec_id, CAST(place AS BIGINT) AS place, CAST(rank AS BIGINT) AS hit_rank FROM (SELECT q.query_id, spec.id AS spec_id, hit.rank, row_number() OVER (PARTITION BY q.query_id ORDER BY hit.rank ASC NULLS LAST, price_date DESC NULLS LAST, spec.key || spec.id) AS place FROM q CROSS JOIN spec LEFT JOIN hit ON hit.query_id = q.query_id AND hit.spec_id = spec.id) WHERE place <= 10"""
+)
+def preference_ranking(spark, d):
+    """Spec rows by the keyword hits of their reviews, then newest first: the ten first of each query."""
+    from lodestone.operators.ranking import rank_by_preference
+
+    corpus, by_route = se.routes(spark, d)
+    specs = corpus.specs.select(F.col("id").alias("spec_id"), "review_context_id", "price_date", F.concat("key", F.col("id").cast("string")).alias("name"))
+    parents = by_route["keyword"].join(corpus.evidence.select("id", "context_id"), "id").groupBy("query_id", "context_id").agg(F.min("rank").alias("rank"))
+    hits = parents.join(specs.select("spec_id", F.col("review_context_id").alias("context_id")), "context_id").groupBy("query_id", "spec_id").agg(F.min("rank").alias("rank"))
+    return rank_by_preference(se.known_item_queries(corpus), hits, specs, "spec_id", "price_date", "name", 10)
