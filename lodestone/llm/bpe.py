@@ -4,7 +4,8 @@ A text is split by the tokenizer's pattern. For each piece an Aho-Corasick autom
 at every byte. The encoder takes the longest token, and keeps it only if it forms with the token before it a pair
 that BPE merging would leave apart (the pair-compatibility test below, remembered in a table); else it tries the next
 shorter token, and where none fits, steps back one token. The first sequence that reaches the end is exactly the result of the
-merges, in time linear in the piece. Decoding looks tokens up in one byte string through an offset table.
+merges, in time linear in the piece. A piece is first cut between characters that no token of the vocabulary spans: no merge can cross
+there, so each segment is encoded alone, and short ones recur. Decoding looks tokens up in one byte string through an offset table.
 """
 
 from __future__ import annotations
@@ -62,6 +63,13 @@ class BacktrackingBpe:
         self.automaton.make_automaton()
         self.size = [len(self.token.get(i, b"")) for i in range(max(self.token) + 1)]
         self.split = regex.compile(PATTERN).findall
+        self.spans: dict[str, bool] = {}
+        self.segments: dict[str, tuple[int, ...]] = {}
+        self.across: dict[str, list[tuple[str, str]]] = {}  # two neighbouring bytes -> the tokens that hold them, cut between them
+        for text in self.id_of:
+            for k in range(1, len(text)):
+                if text[k] < "\x80" or text[k] >= "\xc0":  # a character begins here
+                    self.across.setdefault(text[k - 1 : k + 1], []).append((text[:k], text[k:]))
         self.pair_ok: dict[int, bool] = {}
         self.shorter: dict[int, int | None] = {}
         self.memo: dict[str, tuple[int, ...]] = {}
@@ -138,6 +146,38 @@ class BacktrackingBpe:
             token = longest[at] if at < n else None
         return tuple(out)
 
+    def _spanned(self, pair: str) -> bool:
+        """Whether some token may hold the border between two characters."""
+        a, b = (c.encode("utf-8", "surrogatepass").decode("latin-1") for c in pair)
+        fits = lambda x, y: x.endswith(y) or y.endswith(x)
+        return any(fits(a, left) and (b.startswith(right) or right.startswith(b)) for left, right in self.across.get(a[-1] + b[0], ()))
+
+    def _segmented(self, piece: str) -> tuple[int, ...]:
+        """Ids of one piece of text."""
+        out: list[int] = []
+        spans, segments, start = self.spans, self.segments, 0
+        for k in range(1, len(piece) + 1):
+            if k < len(piece):
+                pair = piece[k - 1 : k + 1]
+                spanned = spans.get(pair)
+                if spanned is None:
+                    if len(spans) > 4 * _MEMO:
+                        spans.clear()
+                    spanned = spans[pair] = self._spanned(pair)
+                if spanned:
+                    continue
+            segment = piece[start:k]
+            ids = segments.get(segment)
+            if ids is None:
+                ids = self._piece(segment.encode("utf-8", "surrogatepass").decode("latin-1"))
+                if len(segment) <= 32:
+                    if len(segments) > _MEMO:
+                        segments.clear()
+                    segments[segment] = ids
+            out.extend(ids)
+            start = k
+        return tuple(out)
+
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text; no ids for an empty text and for null."""
         out: list[int] = []
@@ -145,7 +185,7 @@ class BacktrackingBpe:
         for piece in self.split(text) if text else ():
             ids = memo.get(piece)
             if ids is None:
-                ids = self._piece(piece.encode("utf-8", "surrogatepass").decode("latin-1"))
+                ids = self._segmented(piece)
                 if len(piece) <= 32:
                     if len(memo) > _MEMO:
                         memo.clear()

@@ -92,5 +92,14 @@ def queries() -> dict:
     return {f.__name__: f for f in found}
 
 
+_LATEST = "src AS (SELECT id, document_schema FROM knowledge_source QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) = 1), lim AS (SELECT DISTINCT c.id, c.body, p.chunk_target_chars AS target FROM context_unit c JOIN src ON src.id = c.source_id JOIN section_profile p ON p.content_type = src.document_schema)"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL with the same result, where there is any. p2_found compares with exact search: its lists lose nothing on the small tables."""
+    valid = "len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND NOT isnan(x) AND NOT isinf(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))"
+    return {
+        "p4_found": f"WITH {_LATEST} SELECT 'context' AS record_kind, id AS record_id FROM lim WHERE length(body) > target UNION SELECT 'evidence', e.id FROM evidence_unit e JOIN lim ON lim.id = e.context_id WHERE length(e.body) > target",
+        "p2_found": f"""WITH v AS (SELECT DISTINCT ON (id) id, embedding AS e FROM evidence_unit WHERE {valid} ORDER BY id), s AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.id <> b.id),
+t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY c DESC, b) <= 10) SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM t WHERE c >= 0.9""",
+    }
