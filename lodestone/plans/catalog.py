@@ -113,7 +113,7 @@ _PARENTS = "par AS (SELECT query_id, context_id, max(score) AS score, CAST(count
 @register(_BASE + _BM25 + " SELECT query_id, id, score, CAST(rank AS BIGINT) AS rank FROM keyword")
 def bm25_search(spark, d):
     c, config = se.Corpus(spark, d), se.SearchConfig()
-    return se.keyword_route(c, c.evidence, se.known_item_queries(c), config).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+    return se.keyword_route(c, c.evidence, se.known_item_queries(c, vectors=False), config).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @register(_BASE + _COSINE + " SELECT query_id, id, score, CAST(rank AS BIGINT) AS rank FROM vector")
@@ -172,7 +172,7 @@ _JUDGED = "rel AS (SELECT q.query_id, ctx.id AS context_id, CASE WHEN ctx.ordina
 def _run(spark, d, rrf_k: int = 20):
     config = se.SearchConfig(rrf_k=rrf_k, top_k=1000)
     corpus, by_route = se.routes(spark, d, config)
-    queries = se.known_item_queries(corpus).select("query_id")
+    queries = se.known_item_queries(corpus, vectors=False).select("query_id")
     judged = corpus.contexts.select(F.col("source_id").alias("query_id"), F.col("id").alias("context_id"), F.when(F.col("ordinal") == 1, 2).otherwise(1).alias("grade")).join(queries, "query_id", "left_semi")
     ranked = lambda routes: rt.group_parents(rt.fuse(routes, "id", rrf_k), corpus.evidence, "id", "context_id", 1000)
     return by_route, queries, judged, ranked
@@ -547,4 +547,4 @@ def preference_ranking(spark, d):
     specs = corpus.specs.select(F.col("id").alias("spec_id"), "review_context_id", "price_date", F.concat("key", F.col("id").cast("string")).alias("name"))
     parents = by_route["keyword"].join(corpus.evidence.select("id", "context_id"), "id").groupBy("query_id", "context_id").agg(F.min("rank").alias("rank"))
     hits = parents.join(specs.select("spec_id", F.col("review_context_id").alias("context_id")), "context_id").groupBy("query_id", "spec_id").agg(F.min("rank").alias("rank"))
-    return rank_by_preference(se.known_item_queries(corpus), hits, specs, "spec_id", "price_date", "name", 10)
+    return rank_by_preference(se.known_item_queries(corpus, vectors=False), hits, specs, "spec_id", "price_date", "name", 10)

@@ -34,12 +34,14 @@ class Corpus:
         self.specs = current(read("product_spec"))
 
 
-def known_item_queries(corpus: Corpus, width: int = 64) -> DataFrame:
-    """(query_id, text, v): the sources whose id, its first eight hex digits as a number, is divisible by 20: title, and the vector of their first passage that has one."""
+def known_item_queries(corpus: Corpus, width: int = 64, vectors: bool = True) -> DataFrame:
+    """(query_id, text, and v if asked for): the sources whose id, its first eight hex digits as a number, is divisible by 20: title, and the vector of their first passage that has one."""
     asked = corpus.sources.filter(F.conv(F.substring("id", 1, 8), 16, 10).cast("long") % 20 == 0).select(F.col("id").alias("query_id"), F.col("title").alias("text"))
+    if not vectors:
+        return asked
     own = corpus.contexts.select(F.col("id").alias("context_id"), F.col("source_id").alias("query_id")).join(asked.select("query_id"), "query_id", "left_semi")
-    vectors = corpus.evidence.filter(valid_vector(F.col("embedding"), width)).select("context_id", "id", "embedding").join(own, "context_id").groupBy("query_id").agg(F.min_by("embedding", "id").alias("v"))
-    return asked.join(vectors, "query_id", "left")
+    first = corpus.evidence.select("context_id", "id", "embedding").join(own, "context_id").filter(valid_vector(F.col("embedding"), width)).groupBy("query_id").agg(F.min_by("embedding", "id").alias("v"))
+    return asked.join(first, "query_id", "left")
 
 
 def keyword_route(corpus: Corpus, evidence: DataFrame, queries: DataFrame, config: SearchConfig) -> DataFrame:
