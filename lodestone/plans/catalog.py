@@ -311,13 +311,14 @@ def upsert_result(spark, d):
     return rc.apply_upsert(new, old, ["id"], "content_hash").select("id", "title", "content_hash", "updated_at")
 
 
-@register(f"""WITH {_SPECS}, old AS (SELECT * FROM product_spec WHERE id % 7 <> 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at) = 1) SELECT coalesce(spec.id, old.id) AS id, CASE WHEN old.id IS NULL THEN 'created' WHEN spec.id IS NULL THEN 'deleted'
+@register(f"""WITH {_SPECS}, old AS (SELECT * FROM product_spec WHERE updated_at < (SELECT median(updated_at) FROM product_spec) QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at) = 1) SELECT coalesce(spec.id, old.id) AS id, CASE WHEN old.id IS NULL THEN 'created' WHEN spec.id IS NULL THEN 'deleted'
 WHEN (spec.key, spec.weight_kg, spec.gpu, spec.note) IS DISTINCT FROM (old.key, old.weight_kg, old.gpu, old.note) THEN 'updated' ELSE 'unchanged' END AS status FROM spec FULL JOIN old ON old.id = spec.id""")
 def snapshot_difference(spark, d):
-    """The current spec table against an older snapshot that lacks some keys."""
+    """The current spec table against its state at the median update."""
     s = table(spark, d, "product_spec")
+    middle = s.agg(F.median(F.unix_micros("updated_at")).alias("m"))
     rest = [c for c in s.columns if c != "id"]
-    old = s.filter("id % 7 <> 0").groupBy("id").agg(F.min_by(F.struct(*rest), "updated_at").alias("row")).select("id", "row.*")
+    old = s.join(F.broadcast(middle), F.unix_micros("updated_at") < F.col("m")).groupBy("id").agg(F.min_by(F.struct(*rest), "updated_at").alias("row")).select("id", "row.*")
     return rc.difference(rt.current(s), old, "id", ["key", "weight_kg", "gpu", "note"]).select("id", "status")
 
 
