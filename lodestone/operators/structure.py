@@ -102,8 +102,10 @@ def html_blocks(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
             rows = []
             for k, page in enumerate(batch.column(1).to_pylist()):
                 parser = _Blocks()
-                parser.feed(page)
+                last = page.rfind(">") + 1  # no tag ends after it: the rest is text
+                parser.feed(page[:last])
                 parser.close()
+                parser.handle_data(page[last:])
                 parser.flush()
                 rows += [(k, n, *b) for n, b in enumerate(parser.out, 1)]
             cols = list(zip(*rows)) or [()] * 5
@@ -158,8 +160,8 @@ def passages(df: DataFrame, id_col: str, text_col: str, target: int = 400, least
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ordinal int, char_start long, char_end long, body string").withColumnRenamed("id", id_col)
 
 
-def markdown_blocks(lines: DataFrame, id_col: str) -> DataFrame:
-    """(id_col, block, kind, first_line, last_line): typed blocks of Markdown lines, all by windows.
+def numbered_blocks(lines: DataFrame, id_col: str) -> DataFrame:
+    """Lines with kind and b, the number of their block, all by windows; blank lines left out.
 
     Fences toggle code (an unclosed one runs to the end, fence lines belong to their block); blank lines end a block, a heading is one by itself,
     else a block is a run of lines of one kind.
@@ -171,6 +173,10 @@ def markdown_blocks(lines: DataFrame, id_col: str) -> DataFrame:
     before = lambda c: F.lag(c).over(w)
     opens = fence & (F.col("fences") % 2 == 1)
     cut = before("kind").isNull() | (F.col("kind") != before("kind")) | (F.col("kind") == "heading") | opens
-    numbered = typed.withColumn("cut", cut).withColumn("b", F.sum(F.col("cut").cast("long")).over(w)).filter("kind <> 'blank'")
-    blocks = numbered.groupBy(id_col, "b").agg(F.first("kind").alias("kind"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"))
+    return typed.withColumn("cut", cut).withColumn("b", F.sum(F.col("cut").cast("long")).over(w)).filter("kind <> 'blank'")
+
+
+def markdown_blocks(lines: DataFrame, id_col: str) -> DataFrame:
+    """(id_col, block, kind, first_line, last_line): typed blocks of Markdown lines."""
+    blocks = numbered_blocks(lines, id_col).groupBy(id_col, "b").agg(F.first("kind").alias("kind"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"))
     return blocks.select(id_col, F.row_number().over(Window.partitionBy(id_col).orderBy("first_line")).cast("long").alias("block"), "kind", "first_line", "last_line")

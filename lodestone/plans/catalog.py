@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestone.functions import conditions as cond, text as tx
-from lodestone.operators import evaluation as ev, reconcile as rc, retrieval as rt, structure as st
+from lodestone.operators import evaluation as ev, outline as ol, reconcile as rc, retrieval as rt, structure as st
 from lodestone.plans import search as se
 from lodestone.sources.tables import table
 
@@ -509,6 +509,58 @@ def markdown_blocks(spark, d):
     return st.markdown_blocks(st.text_lines(table(spark, d, "documents"), "doc_id", "text"), "doc_id")
 
 
+_BLOCKS = (
+    f"{_LINES}, f AS (SELECT *, {_FENCE} AS fence, sum(CASE WHEN {_FENCE} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS n FROM ln), t AS (SELECT *, CASE WHEN n % 2 = 1 OR fence THEN 'code' ELSE {_KIND} END AS kind FROM f), "
+    "c AS (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY line_no) AS prev FROM t), nb AS (SELECT *, sum(CASE WHEN prev IS NULL OR kind <> prev OR kind = 'heading' OR (fence AND n % 2 = 1) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS b FROM c), "
+    f"blk AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY min(line_no)) AS block, any_value(kind) AS kind, sum(CASE WHEN kind = 'heading' THEN 0 ELSE length(regexp_replace(line, '{ol.SPACE}+', '', 'g')) END) AS chars, "
+    "min(CASE WHEN kind = 'heading' THEN length(regexp_extract(line, '^#+')) END) AS level, min(CASE WHEN kind = 'heading' THEN trim(regexp_replace(line, '^#{1,6}[ \t]+', ''), ' ') END) AS title FROM nb WHERE kind <> 'blank' GROUP BY doc_id, b)"
+)
+
+
+@register(
+    f"""WITH RECURSIVE {_BLOCKS}, h AS (SELECT doc_id, block, level, title, (SELECT max(p.block) FROM blk p WHERE p.doc_id = o.doc_id AND p.level < o.level AND p.block < o.block) AS parent,
+coalesce((SELECT min(p.block) FROM blk p WHERE p.doc_id = o.doc_id AND p.level <= o.level AND p.block > o.block), 1000000000) AS past, coalesce((SELECT min(p.block) FROM blk p WHERE p.doc_id = o.doc_id AND p.level IS NOT NULL AND p.block > o.block), 1000000000) AS next FROM blk o WHERE level IS NOT NULL),
+tree AS (SELECT doc_id, block, 1 AS depth, title AS path FROM h WHERE parent IS NULL UNION ALL SELECT h.doc_id, h.block, tree.depth + 1, tree.path || ' > ' || h.title FROM h JOIN tree ON tree.doc_id = h.doc_id AND tree.block = h.parent)
+SELECT doc_id, block, parent, CAST(depth AS BIGINT) AS depth, path, (SELECT CAST(coalesce(sum(chars), 0) AS BIGINT) FROM blk WHERE blk.doc_id = h.doc_id AND blk.block >= h.block AND blk.block < h.next) AS own, (SELECT CAST(coalesce(sum(chars), 0) AS BIGINT) FROM blk WHERE blk.doc_id = h.doc_id AND blk.block >= h.block AND blk.block < h.past) AS size FROM h JOIN tree USING (doc_id, block)"""
+)
+def section_tree(spark, d):
+    return ol.section_tree(ol.block_texts(st.text_lines(table(spark, d, "documents"), "doc_id", "text"), "doc_id"), "doc_id")
+
+
+def _planned(spark, d):
+    """Blocks of all documents with their parents, by the profile of their schema; no profile means one parent without limits."""
+    docs = table(spark, d, "documents")
+    sizes = table(spark, d, "section_profile").withColumnRenamed("content_type", "document_schema")
+    own = docs.select("doc_id", "document_schema").join(sizes, "document_schema", "left").withColumn("title", F.concat_ws(" ", "document_schema", "doc_id")).drop("document_schema", "table_rows_as_children")
+    return ol.planned_blocks(ol.block_texts(st.text_lines(docs, "doc_id", "text"), "doc_id").join(own, "doc_id"), "doc_id")
+
+
+@register(None)
+def planned_parents(spark, d):
+    return ol.parents(_planned(spark, d), "doc_id")
+
+
+@register(None)
+def section_children(spark, d):
+    return ol.children(_planned(spark, d), "doc_id")
+
+
+@register(None)
+def article_parents(spark, d):
+    """Parents of the pages, with the sizes of the knowledge profile; the account is the document's title."""
+    pages = table(spark, d, "article")
+    sizes = table(spark, d, "section_profile").filter("content_type = 'knowledge'").select("max_parent_chars", "min_parent_chars", "min_intro_chars", "chunk_target_chars", "chunk_min_chars").limit(1)
+    own = pages.select("article_id", F.coalesce("account", F.lit("page")).alias("title")).crossJoin(F.broadcast(sizes))
+    blocks = ol.merge_rows(st.html_blocks(pages, "article_id", "html").withColumnRenamed("ordinal", "block"), "article_id")
+    return ol.parents(ol.planned_blocks(blocks.join(own, "article_id"), "article_id"), "article_id")
+
+
+@register(None)
+def budget_pieces(spark, d):
+    """Contexts cut to the byte budget of an encoder's input."""
+    return ol.budget_pieces(se.Corpus(spark, d).contexts, "id", "title", "body")
+
+
 _TIME = "(?:首次开机|出差途中|系统更新后|过了一周|[Aa]t first boot|[Aa] week later|[Aa]fter the update)[^。.！!？?；;\\n]{0,20}"
 
 
