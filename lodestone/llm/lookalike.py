@@ -41,8 +41,9 @@ SUSPECT = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\xA0\\xAD\\u0132\\u0133\\u01C
 _SUSPECT = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\U{int(m.group(1), 16):08x}", SUSPECT))
 _APART = re.compile("[A-Za-zÀ-ɏͰ-ԯ][\u0300-\u036f]")
 _JAMO = re.compile("[ᄀ-ᇿ]")
-# Words with a letter of an alphabet that has look-alikes of Latin letters.
-_MIXED = re.compile("[A-Za-zÀ-ɏ]*[Ͱ-֏Ꭰ-\u13ff][A-Za-zÀ-ɏͰ-֏Ꭰ-\u13ff]*")
+# Words with a letter of an alphabet that has look-alikes of Latin letters. Only the start of a run of letters is tried, so that a long run costs one pass.
+_FOREIGN = re.compile("[Ͱ-֏Ꭰ-\u13ff]")
+_MIXED = re.compile("(?<![A-Za-zÀ-ɏͰ-֏Ꭰ-\u13ff])[A-Za-zÀ-ɏ]*+[Ͱ-֏Ꭰ-\u13ff][A-Za-zÀ-ɏͰ-֏Ꭰ-\u13ff]*")
 _LATIN_WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]{2,}|[Ͱ-Ͽ]{2,}|[Ѐ-ԯ]{2,}")
 
 
@@ -121,15 +122,20 @@ def best_reading(word: str, model: BigramModel, switch: float = -12.0, change: f
 
     switch: cost of two neighbouring letters of different scripts; change: cost of reading a letter as another one.
     """
-    paths: dict[str, tuple[float, str]] = {"^": (0.0, "")}
+    scores, came = {"^": 0.0}, []
     for char in word:
-        ahead: dict[str, tuple[float, str]] = {}
+        ahead, back = {}, {}
         for reading in _readings(char):
             step = 0.0 if reading == char else change
-            best = max((s + model.score(b.lower() if b != "^" else b, reading.lower()) + step + (switch if b != "^" and _script(b) != _script(reading) else 0.0), p) for b, (s, p) in paths.items())
-            ahead[reading] = (best[0], best[1] + reading)
-        paths = ahead
-    return max((s + model.score(b.lower(), "$"), p) for b, (s, p) in paths.items())[1]
+            ahead[reading], back[reading] = max((s + model.score(b.lower(), reading.lower()) + step + (switch if b != "^" and _script(b) != _script(reading) else 0.0), b) for b, s in scores.items())
+        scores = ahead
+        came.append(back)
+    at = max((s + model.score(b.lower(), "$"), b) for b, s in scores.items())[1]
+    path = []
+    for back in reversed(came):
+        path.append(at)
+        at = back[at]
+    return "".join(reversed(path))
 
 
 def canonical(text: str, model: BigramModel) -> tuple[str, list[str]]:
@@ -162,7 +168,7 @@ def canonical(text: str, model: BigramModel) -> tuple[str, list[str]]:
     if _APART.search(clean) or _JAMO.search(clean) and not unicodedata.is_normalized("NFC", clean):
         kinds.add("accent")
     clean = unicodedata.normalize("NFKC", clean)
-    return _MIXED.sub(word, clean), sorted(kinds)
+    return _MIXED.sub(word, clean) if _FOREIGN.search(clean) else clean, sorted(kinds)
 
 
 def bigram_counts(df: DataFrame, text_col: str) -> BigramModel:

@@ -43,3 +43,8 @@ def test_table_and_dirt(spark):
     assert got == [(1, 12, ("alphabet",)), (1, 12, ("alphabet",)), (2, None, ()), (3, "", ()), (4, 25, ()), (5, 100_000, ("invisible",))]
     assert {r.id for r in la.normalized(df, "text", model, suspects_only=True).collect()} == {1, 5}
     assert la.normalized(df.limit(0), "text", la.bigram_counts(df.limit(0), "text")).count() == 0
+
+
+def test_long_words_take_one_pass():
+    for word in ("x" * 300_000, "x" * 150_000 + "о" + "x" * 150_000, "xо" * 20_000):
+        assert len(la.canonical(word, MODEL)[0]) == len(word)
