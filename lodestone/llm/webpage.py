@@ -30,7 +30,9 @@ _CLOSES_P = _BLOCK - frozenset("html body tbody thead tfoot tr td th caption li
 _BESIDE = frozenset("nav aside footer header form menu dialog".split())
 _SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})} | {t: ({"tr", "td", "th", "tbody", "thead", "tfoot"}, {"table"}) for t in ("tbody", "thead", "tfoot")}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_DEEPEST = 512
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+_OPEN_COMMENT = re.compile(r"<!--.*\Z()()", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|opacity\s*:\s*0(?:\.0+)?\s*(?:;|$)|font-size\s*:\s*0(?:px|em|rem|pt|%)?\s*(?:;|$)|(?:^|;)\s*(?:height|width|max-height)\s*:\s*0(?:px)?\s*(?:;|$)|text-indent\s*:\s*-\d{3,}|(?:left|top)\s*:\s*-\d{3,}", re.I)
 
@@ -46,7 +48,7 @@ _COMMENTS = re.compile(r"^(?:精选留言|全部评论|网友留言|网友评论
 _RELATED = re.compile(r"^(?:相关阅读|延伸阅读|推荐阅读|热门文章|猜你喜欢|相关文章|相关推荐|更多文章|往期精选|往期推荐|you may also like|related .*|more from.*|recommended.*|popular.*)$", re.I)
 
 
-@dataclass(slots=True)
+@dataclass(slots=True, eq=False)  # a node is itself only: comparing by content would walk the tree
 class Node:
     tag: str
     parent: "Node | None" = None
@@ -58,14 +60,15 @@ def build_tree(page: str) -> tuple[Node, str]:
     """The tree of a page, and the text of its first title element."""
     root = Node("html")
     at, pos, title = root, 0, ""
+    stop = page.rfind(">") + 1  # no tag ends after it: what looks like one there is text, as is a comment's rest
     while True:
-        m = _TOKEN.search(page, pos)
+        m = _TOKEN.search(page, pos, stop) or _OPEN_COMMENT.search(page, max(pos, stop))
         text = page[pos : m.start()] if m else page[pos:]
         if text:
             at.children.append(entities.unescape(text))
         if not m:
             break
-        pos = m.end()
+        pos = len(page) if m.group().startswith("<!--") and not m.group().endswith("-->") else m.end()
         name = m.group(2)
         if not name:
             if m.group().startswith("<![CDATA["):
@@ -138,7 +141,10 @@ class Block:
 
 
 def visible_blocks(root: Node) -> list[Block]:
-    """The visible text blocks in reading order. Text beside child blocks is a block of its own."""
+    """The visible text blocks in reading order. Text beside child blocks is a block of its own.
+
+    A path holds the block and its uppermost ancestors, at most _DEEPEST: tags never closed may nest by the ten thousand.
+    """
     out: list[Block] = []
     run: list[tuple[str, bool, bool]] = []
 
@@ -164,7 +170,7 @@ def visible_blocks(root: Node) -> list[Block]:
                 continue
             elif child.tag in _BLOCK:
                 flush(path)
-                stack += [(node, path, linked, bold, k), (child, (*path, child), linked, bold, 0)]
+                stack += [(node, path, linked, bold, k), (child, (*path[:_DEEPEST], child), linked, bold, 0)]
                 break
             else:
                 stack += [(node, path, linked, bold, k), (child, path, linked or child.tag == "a", bold or child.tag in ("b", "strong"), 0)]

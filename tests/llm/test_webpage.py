@@ -46,3 +46,18 @@ def test_no_text_is_lost_or_repeated(parts):
     blocks = wp.visible_blocks(wp.build_tree(page)[0])
     assert "".join(b.text for b in blocks).count("text") == page.replace("<!-- c -->", "").count("text") or "<" in parts
     wp.render(page), wp.article_blocks(page), html
+
+
+def test_page_ends_and_depths():
+    page = "<title>Long title here</title><div><h1>Long title here</h1><p>one</p>{}</div>"
+    assert [b[0] for b in wp.article_blocks(page.format("<p>two") + "<!-- open <p>gone</p> trailing")] == ["Long title here", "one", "two"]
+    assert wp.render("<p>a</p> b <i unclosed") == "a\n\nb <i unclosed"
+    assert wp.render("<p>" + "<a " * 60_000).startswith("<a <a")
+    assert wp.render("<p>x" + "<!-- " * 40_000 + "y") == "x"
+    deep = page.format("<div>" * 20_000 + "<p>far below</p>")
+    assert [b[0] for b in wp.article_blocks(deep)] == ["Long title here", "one", "far below"]
+
+
+def test_equal_tables_stay_apart():
+    page = "<table><tr><td>a<td>b<tr><td>longer<td>c</table>"
+    assert wp.render(page + page) == "a       b\nlonger  c\n\na       b\nlonger  c"
