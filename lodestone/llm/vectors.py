@@ -2,6 +2,7 @@
 
 Vectors are normalised and turned by one random rotation, so that any first d coordinates are a random sample of the squared distance. Centroids fitted on a bounded
 sample give inverted lists; neighbouring lists share a partition, so that a vector travels once for all the lists it probes there.
+How many lists a query reads follows the lists there are: with a least similarity all that the test on their borders cannot rule out, else a share.
 Inside a list the vectors lie in column blocks: the first block gives partial distances of all candidates, a
 hypothesis test abandons those whose distance is surely beyond the query's bound (its k-th best so far, or the least similarity
 asked for), and only the rest read the next block. Equal vectors are one vector throughout.
@@ -21,7 +22,9 @@ from lodestone.sources.tables import materialize
 
 @dataclass(frozen=True)
 class VectorConfig:
-    """width: of a valid vector; k: neighbours; probes: lists a query reads; floor: least cosine (None: none).
+    """width: of a valid vector; k: neighbours; probes: lists a query reads, at least; floor: least cosine (None: none).
+
+    probe_share: of the lists, that a query reads at least where there is no floor; with a floor it reads every list that may hold such a vector (see _probed).
 
     list_rows: vectors a list should hold; max_lists: of them at most (bounds the broadcast: 4,096 x width floats); sample: vectors to fit
     the centroids on, at most; partition_rows: vectors a partition should hold; blocks: where the column blocks end;
@@ -31,6 +34,7 @@ class VectorConfig:
     width: int = 64
     k: int = 10
     probes: int = 16
+    probe_share: float = 1 / 6
     floor: float | None = None
     list_rows: int = 400
     max_lists: int = 4096
@@ -100,45 +104,70 @@ def _group_lists(centre: np.ndarray, weight: np.ndarray, target: float) -> np.nd
     return part
 
 
+def _probed(x: np.ndarray, centre: np.ndarray, gap: np.ndarray, c: VectorConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(home, read, score): the nearest list of each vector, which lists it reads, and its cosines to the centroids; gap: distances of the centroids.
+
+    A vector of list l lies on l's side of the border to the query's home. Whatever its direction, its part across the border of a distance d is about
+    d / sqrt(width), so that beyond epsilon times that the list is left out: this holds for any number of lists.
+    """
+    score = x @ centre.T
+    home = score.argmax(axis=1)
+    lists = len(centre)
+    least = min(lists, max(c.probes, int(np.ceil(c.probe_share * lists)) if c.floor is None else 1))
+    read = np.zeros(score.shape, bool)
+    np.put_along_axis(read, np.argpartition(-score, least - 1, axis=1)[:, :least], True, axis=1)
+    if c.floor is not None:
+        read |= score[np.arange(len(x)), home][:, None] - score <= gap[home] * min(1.0, c.epsilon / np.sqrt(c.width)) * np.sqrt(2 - 2 * c.floor)
+    read[np.arange(len(x)), home] = True
+    return home, read, score
+
+
+def _gaps(centre: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(2 - 2 * centre @ centre.T, 0))
+
+
 def _route(c: VectorConfig, index):
-    """One row per vector and partition with a list it probes or lives in, and per chunk of that partition."""
+    """One row per vector and partition with a list it probes or lives in, and per chunk of that partition and block of its queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre, part_of, chunks = index.value
-        for batch in batches:
-            x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(-1, c.width)
-            asks = batch.column(2).to_numpy(zero_copy_only=False)
-            salt = batch.column(3).to_numpy(zero_copy_only=False)
-            near = np.concatenate([_nearest_lists(x[s : s + 4096], centre, c.probes) for s in range(0, len(x), 4096)]) if len(x) else np.zeros((0, 1), np.int64)
-            out: dict[str, list] = {k: [] for k in ("part", "chunk", "row", "home", "lists")}
-            parts = part_of[near]
-            for p in np.unique(parts):
-                inside = parts == p
-                for chunk in range(chunks[p]):
-                    home = inside[:, 0] & (salt % chunks[p] == chunk)
-                    rows = np.flatnonzero(home | inside.any(axis=1) & asks)
-                    if len(rows):
-                        out["part"].append(np.full(len(rows), p))
-                        out["chunk"].append(np.full(len(rows), chunk))
-                        out["row"].append(rows)
-                        out["home"].append(np.where(home[rows], near[rows, 0], -1))
-                        out["lists"] += [near[r][inside[r]].tolist() if asks[r] else [] for r in rows]
-            cat = lambda k: np.concatenate(out[k]).astype(np.int64) if out[k] else np.zeros(0, np.int64)
-            row = pa.array(cat("row"))
-            columns = [pa.array(cat("part").astype(np.int32)), pa.array(cat("chunk").astype(np.int32)), batch.column(0).take(row), batch.column(1).take(row), pa.array(cat("home").astype(np.int32)), pa.array(out["lists"], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["part", "chunk", "rep", "vec", "home", "lists"])
+        centre, part_of, chunks, blocks = index.value
+        gap = _gaps(centre)
+        inside = [np.flatnonzero(part_of == p) for p in range(len(chunks))]
+        for whole in batches:
+            for batch in (whole.slice(s, 2048) for s in range(0, whole.num_rows, 2048)):
+                x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(-1, c.width)
+                asks = batch.column(2).to_numpy(zero_copy_only=False)
+                salt = batch.column(3).to_numpy(zero_copy_only=False)
+                home, read, score = _probed(x, centre, gap, c)
+                read &= asks[:, None]
+                out: dict[str, list] = {k: [] for k in ("part", "chunk", "block", "row", "home", "many", "lists")}
+                for p, own in enumerate(inside):
+                    here, wanted = part_of[home] == p, read[:, own]
+                    asker = wanted.any(axis=1)
+                    for chunk in range(chunks[p]):
+                        lives = here & (salt % chunks[p] == chunk)
+                        for block in range(blocks[p]):
+                            asking = asker & (salt // 997 % blocks[p] == block)
+                            rows = np.flatnonzero(lives | asking)
+                            if len(rows):
+                                probes = wanted[rows] & asking[rows][:, None]
+                                for k, v in (("part", p), ("chunk", chunk), ("block", block)):
+                                    out[k].append(np.full(len(rows), v, np.int32))
+                                out["row"].append(rows)
+                                out["home"].append(np.where(lives[rows], home[rows], -1).astype(np.int32))
+                                out["many"].append(probes.sum(axis=1))
+                                of, which = np.nonzero(probes)
+                                which = own[which]
+                                out["lists"].append(which[np.lexsort((-score[rows[of], which], of))].astype(np.int32))  # the nearest first
+                cat = lambda k: np.concatenate(out[k])
+                row = pa.array(cat("row"))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(cat("many"))).astype(np.int32)), pa.array(cat("lists")))
+                columns = [pa.array(cat("part")), pa.array(cat("chunk")), pa.array(cat("block")), batch.column(0).take(row), batch.column(1).take(row), pa.array(cat("home")), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "chunk", "block", "rep", "vec", "home", "lists"])
 
     return run
 
 
-def _nearest_lists(x: np.ndarray, centre: np.ndarray, probes: int) -> np.ndarray:
-    """The nearest lists of each vector, the nearest first."""
-    score = x @ centre.T
-    probes = min(probes, centre.shape[0])
-    top = np.argpartition(-score, probes - 1, axis=1)[:, :probes]
-    return np.take_along_axis(top, np.argsort(-np.take_along_axis(score, top, 1), axis=1, kind="stable"), 1)
-
-
 def adaptive_scan(query: np.ndarray, base: np.ndarray, bound: np.ndarray, c: VectorConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, base, squared distance) of the candidates that the test does not abandon; bound: squared distance per query."""
     ends = [e for e in c.blocks if e < c.width] + [c.width]
@@ -190,8 +219,8 @@ def _scan(c: VectorConfig):
         by_home = np.argsort(home, kind="stable")
         cuts = lambda a, v: slice(*np.searchsorted(a, [v, v + 1]))
         homes = home[by_home]
-        own = home[asker] == probed
-        for phase in (own, ~own):  # a query's own list first: its bound is then small in the others
+        place = np.arange(len(asker)) - np.repeat(np.cumsum(many) - many, many)
+        for phase in (place == 0, (place > 0) & (place < 4), place >= 4):  # a query's nearest list first: its bound is then small in the others
             q_of, l_of = asker[phase], probed[phase]
             order = np.argsort(l_of, kind="stable")
             q_of, l_of = q_of[order], l_of[order]
@@ -204,6 +233,8 @@ def _scan(c: VectorConfig):
                 step = max(1, 1_000_000 // len(base))
                 for s in range(0, len(ask), step):
                     rows = ask[s : s + step]
+                    if (bound[rows] > 3).any() and len(base) > c.k:  # no bound yet: the k-th best here, itself not counted
+                        bound[rows] = np.minimum(bound[rows], np.partition(2 - 2 * (x[rows] @ x[base].T), c.k, axis=1)[:, c.k] + 1e-5)
                     i, j, d = adaptive_scan(x[rows], x[base], bound[rows], c)
                     i, j = rows[i], base[j]
                     other = i != j
@@ -234,7 +265,7 @@ def nearest_vectors(df: DataFrame, id_col: str, vector_col: str, config: VectorC
     source = df.select(F.struct(F.col(id_col).cast("string").alias("id"), asks.alias("asks")).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter("id.id IS NOT NULL AND v IS NOT NULL").filter(F.size("v") == c.width)
     rows = source.mapInArrow(_prepare(c), "id struct<id: string, asks: boolean>, vec binary").select("id.id", "id.asks", "vec")
     reps = materialize(rows.groupBy("vec").agg(F.min("id").alias("rep"), F.max("id").alias("top"), F.max("asks").alias("asks")), "vectors")
-    total = reps.count()
+    total, asking = reps.agg(F.count("*"), F.coalesce(F.sum(F.col("asks").cast("long")), F.lit(0))).first()
     lists = int(min(c.max_lists, max(1, total // c.list_rows)))
     share = min(1.0, 1.2 * c.sample / max(total, 1))
     sample = reps.select("vec").filter(F.pmod(F.xxhash64("rep"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).limit(c.sample).toPandas()["vec"]
@@ -243,9 +274,13 @@ def nearest_vectors(df: DataFrame, id_col: str, vector_col: str, config: VectorC
     weight = np.bincount(np.concatenate([(sample[s : s + 4096] @ centre.T).argmax(axis=1) for s in range(0, len(sample), 4096)]), minlength=len(centre)) * max(total, 1) / len(sample)
     part_of = _group_lists(centre, weight, c.partition_rows)
     chunks = np.maximum(1, np.ceil(np.bincount(part_of, weights=weight) / (2 * c.partition_rows))).astype(np.int64)
-    index = spark.sparkContext.broadcast((centre, part_of, chunks))
-    routed = reps.select("rep", "vec", "asks", F.pmod(F.xxhash64("rep"), F.lit(1_000_003)).alias("salt")).mapInArrow(_route(c, index), "part int, chunk int, rep string, vec binary, home int, lists array<int>")
-    edges = routed.groupBy("part", "chunk").applyInArrow(_scan(c), "rep string, other string, cosine double")
+    gap, some = _gaps(centre), sample[:5000]
+    belongs = (part_of[:, None] == np.arange(len(chunks))).astype(np.float32)
+    reads = sum((_probed(some[s : s + 1000], centre, gap, c)[1] @ belongs > 0).sum(axis=0) for s in range(0, len(some), 1000))
+    blocks = np.maximum(1, np.ceil(reads * asking / len(some) / (8 * c.partition_rows))).astype(np.int64)
+    index = spark.sparkContext.broadcast((centre, part_of, chunks, blocks))
+    routed = reps.select("rep", "vec", "asks", F.pmod(F.xxhash64("rep"), F.lit(1_000_003)).alias("salt")).mapInArrow(_route(c, index), "part int, chunk int, block int, rep string, vec binary, home int, lists array<int>")
+    edges = routed.groupBy("part", "chunk", "block").applyInArrow(_scan(c), "rep string, other string, cosine double")
     first = Window.partitionBy("rep").orderBy(F.desc("cosine"), "other")
     edges = edges.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= c.k).drop("n")
 

@@ -30,6 +30,25 @@ def test_recall_against_brute_force(spark):
     assert len(found & want) / len(want) >= 0.9 and max(r["rank"] for r in got) == 10 and len(got) == 30_000
 
 
+def test_recall_holds_with_many_lists(spark):
+    x = clustered(6000, 64, 11)
+    s, top = brute(x, 10)
+    want = {(f"v{a:05}", f"v{b:05}") for a in range(0, 6000, 20) for b in top[a]}
+    got = vs.nearest_vectors(frame(spark, x), "id", "embedding", vs.VectorConfig(k=10, list_rows=10, partition_rows=400), F.substring("id", 2, 5).cast("int") % 20 == 0).collect()
+    assert len({(r.id, r.neighbour) for r in got} & want) / len(want) >= 0.97 and len(got) == 3000
+
+
+def test_floor_reads_all_lists_that_may_hold_one(spark):
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((2000, 64))
+    x = np.concatenate([x, x + 0.44 * rng.standard_normal(x.shape)])
+    s, _ = brute(x, 1)
+    want = {tuple(sorted((f"v{a:05}", f"v{b:05}"))) for a, b in zip(*np.nonzero(s >= 0.9))}
+    got = vs.nearest_vectors(frame(spark, x), "id", "embedding", vs.VectorConfig(k=10, probes=1, floor=0.9, list_rows=10, partition_rows=100)).collect()
+    found = {tuple(sorted((r.id, r.neighbour))) for r in got}
+    assert len(want) > 1000 and found <= want and len(found) / len(want) >= 0.999
+
+
 def test_floor_finds_the_close_ones(spark):
     x = clustered(1500, 64, 2)
     x[1000:1200] = x[:200] * 3 + 0.1 * np.random.default_rng(3).standard_normal((200, 64))
