@@ -3,8 +3,8 @@
 A tree builder with implied tags reads each page as a browser would; visibility rules drop what is not seen. The tree is cut into the
 visible text blocks in reading order, which render() writes out with block spacing, list marks and aligned table cells.
 The article is then the part of the rendering around the page's title: the block-level element that holds the heading which repeats the
-page title, without bylines, notices and calls. Notices are known by their wording, and by how often the same block stands
-in articles of different accounts: those counts cover the whole table.
+page title, without bylines, notices and calls. Notices are known by their wording, and by standing at the edge
+of different articles of different accounts: those counts cover the whole table.
 """
 
 from __future__ import annotations
@@ -284,30 +284,40 @@ def block_md5(text: str) -> str:
     return hashlib.md5(_squeezed(text).encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def main_blocks(df: DataFrame, id_col: str = "article_id", html_col: str = "html", group_col: str = "account", notice_groups: int = 3) -> DataFrame:
+def main_blocks(df: DataFrame, id_col: str = "article_id", html_col: str = "html", group_col: str = "account", notice_groups: int = 3, notice_share: float = 0.05, edge_share: float = 0.8) -> DataFrame:
     """(id_col, block_md5, block_text, position) of the text blocks of each page's article.
 
-    Running text (no heading, list item, cell, caption or code) that stands in the articles of ``notice_groups`` or more groups is a notice and
-    left out. Null and empty pages, and pages without an article, give no rows; a null group counts as one group. Repeated rows give
+    Running text (no heading, list item, cell, caption or code) is a notice and left out if it stands in articles of ``notice_groups`` or more groups and
+    of ``notice_share`` or more of all groups, at the edge of the article (the first or last two blocks but the heading) in ``edge_share`` or more of the places. Articles of
+    one heading, or of the same two middle blocks, are one article fetched or posted again: the block must stand in ``notice_groups`` different ones.
+    Null and empty pages, and pages without an article, give no rows; a null group has no vote. Repeated rows give
     repeated rows. Other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, md5, text, position, free = [], [], [], [], []
+            row, md5, text, position, free, title, heart, edge = [], [], [], [], [], [], [], []
             for k, page in enumerate(batch.column(2).to_pylist()):
-                for p, (t, _, may) in enumerate(article_blocks(page)):
+                article = article_blocks(page)
+                keys = [block_md5(t) for t, _, _ in article]
+                for p, (t, _, may) in enumerate(article):
                     row.append(k)
-                    md5.append(block_md5(t))
+                    md5.append(keys[p])
+                    title.append(keys[0])
+                    heart.append(" ".join(keys[(len(keys) - 1) // 2 :][:2]))
+                    edge.append(p <= 2 or p >= len(keys) - 2)
                     text.append(t)
                     position.append(p)
                     free.append(may)
             take = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(md5, pa.string()), pa.array(text, pa.string()), pa.array(position, pa.int32()), pa.array(free, pa.bool_())], names=["id", "grp", "block_md5", "block_text", "position", "free"])
-
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(group_col).cast("string"), F.lit("")).alias("grp"), F.col(html_col).alias("html")).filter("html IS NOT NULL AND html <> ''")
-    blocks = materialize(rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, grp string, block_md5 string, block_text string, position int, free boolean"), "pages")
-    notices = blocks.filter("free").select("block_md5", "grp").distinct().groupBy("block_md5").agg(F.count("*").alias("n")).filter(F.col("n") >= notice_groups).select("block_md5", F.lit(True).alias("free"))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(md5, pa.string()), pa.array(text, pa.string()), pa.array(position, pa.int32()), pa.array(free, pa.bool_()), pa.array(title, pa.string()), pa.array(heart, pa.string()), pa.array(edge, pa.bool_())], names=["id", "grp", "block_md5", "block_text", "position", "free", "title", "heart", "edge"])
+
+    rows = df.select(F.col(id_col).alias("id"), F.col(group_col).cast("string").alias("grp"), F.col(html_col).alias("html")).filter("html IS NOT NULL AND html <> ''")
+    blocks = materialize(rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, grp string, block_md5 string, block_text string, position int, free boolean, title string, heart string, edge boolean"), "pages")
+    groups = blocks.agg(F.count_distinct("grp").alias("groups"))
+    seen = blocks.filter("free").groupBy("block_md5").agg(F.count_distinct("grp").alias("n"), F.count_distinct("title").alias("titles"), F.count_distinct("heart").alias("hearts"), F.avg(F.col("edge").cast("int")).alias("edges"))
+    many = (F.least("n", "titles", "hearts") >= notice_groups) & (F.col("edges") >= edge_share)
+    notices = seen.filter(many).join(F.broadcast(groups), F.col("n") >= notice_share * F.col("groups")).select("block_md5", F.lit(True).alias("free"))
     kept = blocks.join(notices, ["block_md5", "free"], "left_anti")
     return kept.select(F.col("id").alias(id_col), "block_md5", "block_text", "position")
 

@@ -37,6 +37,18 @@ def test_table_and_dirt(spark):
     assert wp.main_blocks(df.limit(0)).count() == 0
 
 
+def test_reposts_and_chance_sentences_are_no_notices(spark):
+    page = "<title>{0}</title><div><h1>{0}</h1>{1}</div>"
+    own = lambda k, n: [f"own text {k} {i}" for i in range(n)]
+    post = own("shared", 6)
+    texts = {k: ("A long posted title", post) for k in range(3)} | {k: (f"Retitled post {k}", post) for k in (3, 4, 5)}  # six accounts post one article
+    texts |= {k: (f"Title number {k}", [*own(k, 4), "it is quiet.", *own(f"{k}b", 4), "follow the house rules"]) for k in range(10, 16)}
+    texts[20] = ("Title number 20", [*own(20, 3), "seldom seen"])
+    rows = [(k, None if k == 20 else f"acct{k}", page.format(title, "".join(f"<p>{t}</p>" for t in blocks))) for k, (title, blocks) in texts.items()]
+    got = {(r.article_id, r.block_text) for r in wp.main_blocks(spark.createDataFrame(rows, "article_id long, account string, html string")).collect()}
+    assert got == {(k, t) for k, (title, blocks) in texts.items() for t in [title, *blocks] if t != "follow the house rules"}
+
+
 @settings(max_examples=150, deadline=None)
 @given(hs.lists(hs.sampled_from(["<p>", "</p>", "<div>", "</div>", "<li>", "<ul>", "</ul>", "<table>", "<tr>", "<td>", "</table>", "<b>", "</b>", "<br>", "text ", "&amp;", "<!-- c -->", "<script>x</script>", "<", ">", "</td>", "<h1>", "</h1>", "<pre>", "</pre>"]), max_size=40))
 def test_no_text_is_lost_or_repeated(parts):
