@@ -58,8 +58,9 @@ _PHONE = re.compile(
     rf")(?![{_D}*]|[\-.][{_D}])"
     r"|(?<![幺零一二三四五六七八九])[幺一][三四五六七八九][幺零一二三四五六七八九]{9}(?![幺零一二三四五六七八九])"
 )
+_ZH_ROADS = "大道 路 街 巷 胡同 道 里".split()
 _ZH_ADDRESS = re.compile(
-    rf"(?:[{_HAN}]{{2,3}}省)?[{_HAN}]{{2}}(?:市|州|县|盟)(?:[{_HAN}]{{1,3}}?(?:街道|新区|区|县|镇|乡)){{0,2}}[{_HAN}]{{1,6}}?(?:大道|路|街|巷|胡同|道|里) ?[0-9０-９]{{1,5}}(?:-[0-9]{{1,4}})? ?(?:弄|号|號)"
+    rf"(?:[{_HAN}]{{2,3}}省)?[{_HAN}]{{2}}(?:市|州|县|盟)(?:[{_HAN}]{{1,3}}?(?:街道|新区|区|县|镇|乡)){{0,2}}[{_HAN}]{{1,6}}?(?:{'|'.join(_ZH_ROADS)}) ?[0-9０-９]{{1,5}}(?:-[0-9]{{1,4}})? ?(?:弄|号|號)"
     rf"(?: ?(?:[0-9０-９]{{1,5}}(?:-[0-9]{{1,4}})?|[A-Za-z]) ?(?:号楼|号|幢|栋|座|单元|层|楼|室|户))*(?:(?<=单元) ?[0-9]{{1,5}}室?|(?<=层) ?[0-9]{{1,5}}室?)?"
 )
 _EN_ADDRESS = re.compile(
@@ -67,7 +68,7 @@ _EN_ADDRESS = re.compile(
     rf"(?:(?:Apt|Unit|Floor|Suite|Flat|Room)\.? ?#?[0-9]{{1,5}}[A-Za-z]?, )?[A-Z][a-z]+(?:(?:-| )(?:on|upon|under|in|le|by)(?:-| )[A-Z][a-z]+|(?:-| )[A-Z][a-z]+)*"
 )
 _AT = re.compile(r"@|＠|[(\[（]at", re.I)
-_ZH_ROAD = re.compile(r"[路街巷道里] ?[0-9０-９]")
+_ZH_ROAD = re.compile(rf"[{''.join(sorted({w[-1] for w in _ZH_ROADS}))}] ?[0-9０-９]")
 
 _WEIGHTS = (7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2)  # fixed values: the check digit of an 18-digit identity number
 _CHECK = "10X98765432"

@@ -26,6 +26,11 @@ def test_mentions(text, want):
     assert found(text) == want
 
 
+@pytest.mark.parametrize("road", ["大道", "路", "街", "巷", "胡同", "道", "里"])
+def test_an_address_of_every_road_word(road):
+    assert found(f"寄到云梧市白鹭滩街道流萤{road}12号。") == [("address", f"云梧市白鹭滩街道流萤{road}12号")]
+
+
 @settings(max_examples=200, deadline=None)
 @given(hs.text(alphabet="0123456789", min_size=2, max_size=18))
 def test_feistel_is_a_permutation_of_its_length(digits):
