@@ -27,7 +27,7 @@ def p1_found(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, directory: str) -> DataFrame:
-    near = nearest_vectors(table(spark, directory, "evidence_unit"), "id", "embedding", VectorConfig(k=10, probes=4, floor=0.9))
+    near = nearest_vectors(table(spark, directory, "evidence_unit"), "id", "embedding", VectorConfig(k=10, floor=0.9))
     return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 

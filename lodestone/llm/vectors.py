@@ -2,10 +2,13 @@
 
 Vectors are normalised and turned by one random rotation, so that any first d coordinates are a random sample of the squared distance. Centroids fitted on a bounded
 sample give inverted lists; neighbouring lists share a partition, so that a vector travels once for all the lists it probes there.
-How many lists a query reads follows the lists there are: with a least similarity all that the test on their borders cannot rule out, else a share.
+How many lists a query reads follows the lists there are. Without a least similarity it is a share of them. With one, two similar vectors on either side
+of a border lie together no farther from it than they may lie apart, so that one of them is within half of that: it reads the other's list, and
+a pair counts for both of its ends.
 Inside a list the vectors lie in column blocks: the first block gives partial distances of all candidates, a
 hypothesis test abandons those whose distance is surely beyond the query's bound (its k-th best so far, or the least similarity
-asked for), and only the rest read the next block. Equal vectors are one vector throughout.
+asked for), and only the rest read the next block. Equal vectors are one vector throughout: they are grouped as normalised row by row, before
+the rotation, whose sums depend on the batch.
 """
 
 from __future__ import annotations
@@ -22,13 +25,13 @@ from lodestone.sources.tables import materialize
 
 @dataclass(frozen=True)
 class VectorConfig:
-    """width: of a valid vector; k: neighbours; probes: lists a query reads, at least; floor: least cosine (None: none).
+    """width: of a valid vector; k: neighbours; floor: least cosine (None: none).
 
-    probe_share: of the lists, that a query reads at least where there is no floor; with a floor it reads every list that may hold such a vector (see _probed).
+    probes, probe_share: lists a query reads at least, and share of them, where there is no floor; with a floor the borders decide (see _probed).
 
     list_rows: vectors a list should hold; max_lists: of them at most (bounds the broadcast: 4,096 x width floats); sample: vectors to fit
     the centroids on, at most; partition_rows: vectors a partition should hold; blocks: where the column blocks end;
-    epsilon: of the test, larger is safer; seed: of rotation and centroids.
+    epsilon: of the test, larger is safer; border: likewise, of the test on borders, in standard deviations; seed: of rotation and centroids.
     """
 
     width: int = 64
@@ -42,6 +45,7 @@ class VectorConfig:
     partition_rows: int = 16_000
     blocks: tuple[int, ...] = (16, 32, 64)
     epsilon: float = 2.1
+    border: float = 3.3
     seed: int = 7
 
 
@@ -52,10 +56,9 @@ def rotation(width: int, seed: int) -> np.ndarray:
 
 
 def _prepare(c: VectorConfig):
-    """(id, vec): the rotated unit vectors of the rows with a valid vector."""
+    """(id, vec): the unit vectors of the rows with a valid vector. All sums run within a row: equal vectors have equal bytes wherever they stand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = rotation(c.width, c.seed)
         for batch in batches:
             lists = batch.column(1)
             offsets = lists.offsets.to_numpy().astype(np.int64)
@@ -66,7 +69,7 @@ def _prepare(c: VectorConfig):
                 scale = np.abs(x).max(axis=1, initial=0)
                 ok = np.isfinite(scale) & (scale > 0)
                 x, right = x[ok] / scale[ok][:, None], right[ok]
-            x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32) @ turn
+            x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32) + np.float32(0)  # no negative zeros
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(right)), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "vec"])
 
     return run
@@ -107,17 +110,18 @@ def _group_lists(centre: np.ndarray, weight: np.ndarray, target: float) -> np.nd
 def _probed(x: np.ndarray, centre: np.ndarray, gap: np.ndarray, c: VectorConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(home, read, score): the nearest list of each vector, which lists it reads, and its cosines to the centroids; gap: distances of the centroids.
 
-    A vector of list l lies on l's side of the border to the query's home. Whatever its direction, its part across the border of a distance d is about
-    d / sqrt(width), so that beyond epsilon times that the list is left out: this holds for any number of lists.
+    With a floor: two vectors at a distance d, whatever its direction, lie across the border of their lists about d / sqrt(width) apart, and
+    ``border`` times that at most. That is the sum of their distances to the border, so that one of them is within half of it
+    and reads the other's list: this holds for any number of lists.
     """
     score = x @ centre.T
     home = score.argmax(axis=1)
-    lists = len(centre)
-    least = min(lists, max(c.probes, int(np.ceil(c.probe_share * lists)) if c.floor is None else 1))
-    read = np.zeros(score.shape, bool)
-    np.put_along_axis(read, np.argpartition(-score, least - 1, axis=1)[:, :least], True, axis=1)
-    if c.floor is not None:
-        read |= score[np.arange(len(x)), home][:, None] - score <= gap[home] * min(1.0, c.epsilon / np.sqrt(c.width)) * np.sqrt(2 - 2 * c.floor)
+    if c.floor is None:
+        least = min(len(centre), max(c.probes, int(np.ceil(c.probe_share * len(centre)))))
+        read = np.zeros(score.shape, bool)
+        np.put_along_axis(read, np.argpartition(-score, least - 1, axis=1)[:, :least], True, axis=1)
+    else:
+        read = score[np.arange(len(x)), home][:, None] - score <= gap[home] * min(1.0, c.border / np.sqrt(c.width)) * np.sqrt(2 - 2 * c.floor) / 2
     read[np.arange(len(x)), home] = True
     return home, read, score
 
@@ -131,15 +135,17 @@ def _route(c: VectorConfig, index):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre, part_of, chunks, blocks = index.value
-        gap = _gaps(centre)
+        gap, turn = _gaps(centre), rotation(c.width, c.seed)
         inside = [np.flatnonzero(part_of == p) for p in range(len(chunks))]
         for whole in batches:
             for batch in (whole.slice(s, 2048) for s in range(0, whole.num_rows, 2048)):
-                x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(-1, c.width)
+                x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(-1, c.width) @ turn
+                turned = pa.array([r.tobytes() for r in x], pa.binary())
                 asks = batch.column(2).to_numpy(zero_copy_only=False)
                 salt = batch.column(3).to_numpy(zero_copy_only=False)
                 home, read, score = _probed(x, centre, gap, c)
-                read &= asks[:, None]
+                if c.floor is None:
+                    read &= asks[:, None]
                 out: dict[str, list] = {k: [] for k in ("part", "chunk", "block", "row", "home", "many", "lists")}
                 for p, own in enumerate(inside):
                     here, wanted = part_of[home] == p, read[:, own]
@@ -162,8 +168,8 @@ def _route(c: VectorConfig, index):
                 cat = lambda k: np.concatenate(out[k])
                 row = pa.array(cat("row"))
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(cat("many"))).astype(np.int32)), pa.array(cat("lists")))
-                columns = [pa.array(cat("part")), pa.array(cat("chunk")), pa.array(cat("block")), batch.column(0).take(row), batch.column(1).take(row), pa.array(cat("home")), lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["part", "chunk", "block", "rep", "vec", "home", "lists"])
+                columns = [pa.array(cat("part")), pa.array(cat("chunk")), pa.array(cat("block")), batch.column(0).take(row), turned.take(row), batch.column(2).take(row), pa.array(cat("home")), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "chunk", "block", "rep", "vec", "asks", "home", "lists"])
 
     return run
 
@@ -204,11 +210,11 @@ def _best(q: np.ndarray, b: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarr
 
 
 def _scan(c: VectorConfig):
-    """The nearest vectors that this part of the lists has for the queries that probe it."""
+    """The nearest vectors that this part of the lists has for the queries that probe it, and with a floor those that visit its own vectors."""
 
     def run(group: pa.Table) -> pa.Table:
         x = np.frombuffer(b"".join(group.column("vec").to_pylist()), np.float32).reshape(-1, c.width)
-        home = group.column("home").to_numpy()
+        home, asks = group.column("home").to_numpy(), group.column("asks").to_numpy(zero_copy_only=False)
         lists = group.column("lists").combine_chunks()
         many = np.diff(lists.offsets.to_numpy())
         asker = np.repeat(np.arange(len(x)), many)
@@ -237,13 +243,17 @@ def _scan(c: VectorConfig):
                         bound[rows] = np.minimum(bound[rows], np.partition(2 - 2 * (x[rows] @ x[base].T), c.k, axis=1)[:, c.k] + 1e-5)
                     i, j, d = adaptive_scan(x[rows], x[base], bound[rows], c)
                     i, j = rows[i], base[j]
-                    other = i != j
+                    other = (i != j) & asks[i]
                     news.append(_best(i[other], j[other], d[other], c.k))
+                    if c.floor is not None:  # a visitor may be among the best of those it finds here
+                        other = (home[i] != number) & asks[j]
+                        news.append(_best(j[other], i[other], d[other], c.k))
             found = _best(*(np.concatenate([n[t] for n in news]) for t in range(3)), c.k)
-            last = np.flatnonzero(np.append(found[0][1:] != found[0][:-1], True)) if len(found[0]) else np.zeros(0, np.int64)
-            count = np.bincount(found[0], minlength=len(x))
-            full = count[found[0][last]] == c.k
-            bound[found[0][last][full]] = np.minimum(bound[found[0][last][full]], found[2][last][full] + 1e-6)
+            if c.floor is None:
+                last = np.flatnonzero(np.append(found[0][1:] != found[0][:-1], True)) if len(found[0]) else np.zeros(0, np.int64)
+                count = np.bincount(found[0], minlength=len(x))
+                full = count[found[0][last]] == c.k
+                bound[found[0][last][full]] = np.minimum(bound[found[0][last][full]], found[2][last][full] + 1e-6)
         rep = group.column("rep")
         q, b, _ = found
         cosine = np.einsum("nd,nd->n", x[q].astype(np.float64), x[b].astype(np.float64))
@@ -264,12 +274,12 @@ def nearest_vectors(df: DataFrame, id_col: str, vector_col: str, config: VectorC
     asks = F.lit(True) if queries is None else F.coalesce(queries, F.lit(False))
     source = df.select(F.struct(F.col(id_col).cast("string").alias("id"), asks.alias("asks")).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter("id.id IS NOT NULL AND v IS NOT NULL").filter(F.size("v") == c.width)
     rows = source.mapInArrow(_prepare(c), "id struct<id: string, asks: boolean>, vec binary").select("id.id", "id.asks", "vec")
-    reps = materialize(rows.groupBy("vec").agg(F.min("id").alias("rep"), F.max("id").alias("top"), F.max("asks").alias("asks")), "vectors")
+    reps = materialize(rows.groupBy("vec").agg(F.min("id").alias("rep"), F.max("id").alias("top"), F.max("asks").alias("asks"), F.count("*").alias("copies")), "vectors")
     total, asking = reps.agg(F.count("*"), F.coalesce(F.sum(F.col("asks").cast("long")), F.lit(0))).first()
     lists = int(min(c.max_lists, max(1, total // c.list_rows)))
     share = min(1.0, 1.2 * c.sample / max(total, 1))
     sample = reps.select("vec").filter(F.pmod(F.xxhash64("rep"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).limit(c.sample).toPandas()["vec"]
-    sample = np.frombuffer(b"".join(sample), np.float32).reshape(-1, c.width) if len(sample) else np.eye(1, c.width, dtype=np.float32)
+    sample = np.frombuffer(b"".join(sample), np.float32).reshape(-1, c.width) @ rotation(c.width, c.seed) if len(sample) else np.eye(1, c.width, dtype=np.float32)
     centre = fit_centroids(sample, lists, c.seed)
     weight = np.bincount(np.concatenate([(sample[s : s + 4096] @ centre.T).argmax(axis=1) for s in range(0, len(sample), 4096)]), minlength=len(centre)) * max(total, 1) / len(sample)
     part_of = _group_lists(centre, weight, c.partition_rows)
@@ -279,17 +289,22 @@ def nearest_vectors(df: DataFrame, id_col: str, vector_col: str, config: VectorC
     reads = sum((_probed(some[s : s + 1000], centre, gap, c)[1] @ belongs > 0).sum(axis=0) for s in range(0, len(some), 1000))
     blocks = np.maximum(1, np.ceil(reads * asking / len(some) / (8 * c.partition_rows))).astype(np.int64)
     index = spark.sparkContext.broadcast((centre, part_of, chunks, blocks))
-    routed = reps.select("rep", "vec", "asks", F.pmod(F.xxhash64("rep"), F.lit(1_000_003)).alias("salt")).mapInArrow(_route(c, index), "part int, chunk int, block int, rep string, vec binary, home int, lists array<int>")
+    routed = reps.select("rep", "vec", "asks", F.pmod(F.xxhash64("rep"), F.lit(1_000_003)).alias("salt")).mapInArrow(_route(c, index), "part int, chunk int, block int, rep string, vec binary, asks boolean, home int, lists array<int>")
     edges = routed.groupBy("part", "chunk", "block").applyInArrow(_scan(c), "rep string, other string, cosine double")
+    edges = edges.repartition("rep").groupBy("rep", "other").agg(F.max("cosine").alias("cosine"))  # either end may have found a pair
     first = Window.partitionBy("rep").orderBy(F.desc("cosine"), "other")
     edges = edges.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= c.k).drop("n")
 
-    several = reps.filter("rep <> top").select(F.md5("vec").alias("h"), "rep")
-    members = rows.select("id", "asks", F.md5("vec").alias("h")).join(several, "h").groupBy("rep", "id").agg(F.max("asks").alias("asks"))
+    # Classes of equal vectors: every member gets the class's edges. Members of a large class lie in several shards, each with its own copy of those.
+    several = reps.filter("rep <> top").select(F.md5("vec").alias("h"), "rep", F.ceil(F.col("copies") / c.partition_rows).cast("int").alias("shards"))
+    members = rows.select("id", "asks", F.md5("vec").alias("h")).join(several, "h").groupBy("rep", "id").agg(F.max("asks").alias("asks"), F.first("shards").alias("shards"))
+    members = members.select("rep", "id", "asks", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int").alias("shard"))
     few = members.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).filter(F.col("n") <= c.k + 1).select(F.col("rep").alias("other"), F.col("id").alias("neighbour"))
-    itself = several.select("rep", F.col("rep").alias("other"), F.lit(1.0).alias("cosine"))
-    wide = edges.unionByName(itself).join(members.select("rep", "id", "asks"), "rep", "left").filter(F.coalesce("asks", F.lit(True)))
-    wide = wide.select(F.coalesce("id", "rep").alias("id"), "other", "cosine").join(few, "other", "left")
+    classes = several.select("rep", "shards")
+    alone = edges.join(classes, "rep", "left_anti").select(F.col("rep").alias("id"), "other", "cosine")
+    shared = edges.join(classes, "rep").unionByName(classes.select("rep", F.col("rep").alias("other"), F.lit(1.0).alias("cosine"), "shards"))
+    shared = shared.select("rep", "other", "cosine", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard")).join(members.filter("asks"), ["rep", "shard"]).select("id", "other", "cosine")
+    wide = alone.unionByName(shared).join(few, "other", "left")
     wide = wide.select("id", F.coalesce("neighbour", "other").alias("neighbour"), "cosine").filter("id <> neighbour")
     ranked = wide.groupBy("id", "neighbour").agg(F.max("cosine").alias("cosine")).withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")))
     return ranked.filter(F.col("rank") <= c.k)

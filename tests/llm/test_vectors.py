@@ -67,6 +67,28 @@ def test_a_hot_group_of_copies(spark):
     assert len(by) == 60 and sorted(by["v00000"]) == ["v00001", "v00002", "v00003"] and sorted(by["v00050"]) == ["v00000", "v00001", "v00002"]
 
 
+def test_equal_vectors_are_one_class_however_they_are_batched(spark):
+    x = np.concatenate([np.tile(np.arange(1.0, 65.0), (45, 1)), np.tile(np.arange(64.0, 0.0, -1.0) * 3, (23, 1)), clustered(50, 64, 6)])
+    order = np.random.default_rng(9).permutation(len(x))
+    df = frame(spark, x[order], [f"v{k:05}" for k in order])
+    want = None
+    for parts in (1, 4, 7):
+        got = vs.nearest_vectors(df.repartition(parts), "id", "embedding", vs.VectorConfig(k=3, list_rows=20, partition_rows=16)).collect()
+        rows = {(r.id, r.neighbour, r["rank"]) for r in got}
+        assert len(rows) == 3 * len(x) and {n for i, n, _ in rows if i == "v00044"} == {"v00000", "v00001", "v00002"} and {n for i, n, _ in rows if i == "v00045"} == {"v00046", "v00047", "v00048"}
+        assert want is None or rows == want
+        want = rows
+
+
+def test_floor_with_a_query_set_keeps_the_askers_pairs(spark):
+    x = clustered(900, 64, 13)
+    x[600:] = x[:300] + 0.15 * np.random.default_rng(14).standard_normal((300, 64))
+    s, _ = brute(x, 1)
+    want = {(f"v{a:05}", f"v{b:05}") for a, b in zip(*np.nonzero(s >= 0.9)) if a % 20 == 0}
+    got = vs.nearest_vectors(frame(spark, x), "id", "embedding", vs.VectorConfig(k=10, floor=0.9, list_rows=10, partition_rows=60), F.substring("id", 2, 5).cast("int") % 20 == 0).collect()
+    assert {(r.id, r.neighbour) for r in got} == want and len(want) >= 30
+
+
 def test_dirt_query_set_and_empty(spark):
     good = [1.0] + [0.0] * 63
     rows = [("a", good), ("a", good), ("b", [2.0] + [0.01] * 63), ("n", None), ("e", []), ("z", [0.0] * 64), ("w", [1.0] * 63), ("q", [float("nan")] * 64), ("i", [float("inf")] * 64), ("h", [None] + [1.0] * 63), ("big", [1e308] * 64), (None, good)]
