@@ -1,9 +1,9 @@
 """Problem 4: splitting oversized items at natural boundaries by pointer doubling.
 
 Every position of a text has one successor: the start of the next piece if a piece starts there. The piece's end is the
-farthest boundary of the strongest kind in the second half of the room (blank line, line end, sentence end, clause end,
-space; else a cut between two characters); the next start lies about the overlap before that end, again at a
-boundary where there is one. All successors of a batch of texts are found at once from running maxima; the table of
+farthest boundary of the strongest kind in the second half of the room, or beyond the overlap if that is longer (blank line, line end, sentence
+end, clause end, space; else a cut between two characters); the next start lies the overlap before that end, or at the last
+boundary before that within once more the overlap. All successors of a batch of texts are found at once from running maxima; the table of
 successors is then joined with itself (2, 4, 8, ... steps), and after log2(pieces) rounds the starts reachable from each
 text's first position are known: all greedy cuts at once, without walking any text.
 """
@@ -61,19 +61,21 @@ def successors(codes: np.ndarray, first: np.ndarray, last: np.ndarray, target: n
     joined = extends | np.concatenate([[False], codes[:-1] == 0x200D])
     safe = _last(np.append(~joined, True))
     limit = here + target
+    room = np.minimum(overlap, target - 1)  # else no piece would get on
+    least = here + np.maximum(target // 2, room)  # an end beyond it leaves the next piece something new
     end = np.full(n, -1)
     for level in levels:
         at = level[np.minimum(limit, last)]
-        end = np.where((end < 0) & (at > here + target // 2), at, end)
+        end = np.where((end < 0) & (at > least), at, end)
     hard = safe[np.minimum(limit, last)]
-    hard = np.where(hard > here + target // 2, hard, np.minimum(limit, last))
+    hard = np.where(hard > least, hard, np.minimum(limit, last))
     end = np.where(end < 0, hard, end)
     end = np.where(last <= limit, last, end)
-    room = np.minimum(overlap, target // 4)
     want = np.maximum(end - room, 0)
     at = natural[want]
     hard = safe[want]
-    start = np.where(at >= end - 2 * room, at, np.where(hard >= end - 2 * room, hard, want))
+    low = np.maximum(end - 2 * room, (here + want + 1) // 2)  # natural, but not so early that pieces hardly get on
+    start = np.where(at >= low, at, np.where(hard >= low, hard, want))
     start = np.where(end >= last, last, np.maximum(start, here + 1))
     return end, start
 
@@ -107,8 +109,8 @@ def split_items(df: DataFrame, key_cols: list[str], text_col: str, target_col: s
     """Pieces of the items of ``df`` that are longer than their target.
 
     Returns key_cols, piece_no (from 0), piece_start, piece_end (code points), piece. Items up to the target, and items with a null
-    text or target, give no rows; a null overlap counts as 0, one above a quarter of the target as that quarter.
-    A target under 1 counts as 1. Repeated rows are cut as often as they stand there. Other columns are not read.
+    text or target, give no rows; a null or negative overlap counts as 0, and one of the target or more as one
+    character less than the target, the most that still gets on. A target under 1 counts as 1. Repeated rows are cut as often as they stand there. Other columns are not read.
     """
     keys = [F.col(c) for c in key_cols]
     rows = df.filter(F.col(target_col).isNotNull()).select(*keys, F.col(text_col).alias("__text"), F.greatest(F.col(target_col).cast("long"), F.lit(1)).alias("__target"), F.greatest(F.coalesce(F.col(overlap_col).cast("long"), F.lit(0)), F.lit(0)).alias("__overlap"))
