@@ -1,10 +1,11 @@
 """Problem 7: evaluation texts inside training texts, by suffix arrays over shards of the corpus.
 
-Each shard of folded training texts gets a suffix array (suffixes sorted to the depth of the longest seed, by doubling: 4, 8, 16, 32
-characters). Every suffix of every test text is looked up in it by binary search, which gives all places where at least a
-seed's length of it stands verbatim. Places on one diagonal join into the longest verbatim matches, and the characters
-of the test text that they cover decide whether the document leaks it. Documents are never split over shards, so the result
-needs no shuffle.
+Each shard of folded training texts gets one suffix array (suffixes sorted to the depth of the longest seed, by doubling: 4, 8, 16, 32
+characters). Every suffix of every test text is looked up in it by binary search, which gives the interval of all places where at least a
+seed's length of it stands verbatim. Suffixes with one beginning share one interval, and different ones have disjoint intervals, so that the
+places of a shard are walked at most once however often a passage repeats. The characters of the test text that the seeds of a document cover
+decide whether it leaks; for those that do, the longest verbatim match and its place come with it. Documents are never split over
+shards, so the result needs no shuffle. Test texts come in blocks; beyond one block the suffix arrays are written once and every block is looked up in them.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lodestone.llm.fold import fold_batch, fold_text
+from lodestone.sources.tables import materialize
 
 _SUB_CHARS = 1_500_000
+_HITS = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -27,7 +30,7 @@ class LeakConfig:
     """seed_han, seed_other: least length of a verbatim match, for texts with at least a quarter of ideographs and for others.
 
     coverage: share of the folded test text that the matches must cover; min_chars: shorter test texts (as stored) are never found.
-    block: test texts a pass takes; their number does not bound what can be searched, more than that take more passes.
+    block, block_chars: test texts a pass takes, and their characters; they do not bound what can be searched, more take more passes.
     """
 
     seed_han: int = 10
@@ -35,6 +38,7 @@ class LeakConfig:
     coverage: float = 0.42
     min_chars: int = 40
     block: int = 5_000
+    block_chars: int = 2_000_000
 
 
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
@@ -89,49 +93,68 @@ def _seed_length(folded: str, c: LeakConfig) -> int:
     return c.seed_han if han >= 0.25 * len(folded) else c.seed_other
 
 
-def _search(c: LeakConfig, items):
-    """(row, item, covered, longest) of every document row and test text with enough coverage."""
-
-    def shard(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-        spaced = np.zeros(len(codes) + len(offsets) - 1, np.uint32)  # a 0 ends each document
-        doc_of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-        spaced[np.arange(len(codes)) + doc_of] = codes
-        begin = offsets[:-1] + np.arange(len(offsets) - 1)
-        order = suffix_array(spaced, max(c.seed_han, c.seed_other))
-        docs, which, at, where, length = [], [], [], [], []
-        for size, seeds, item, pos in items.value["seeds"]:
-            low, high = _bound(spaced, order, seeds, False), _bound(spaced, order, seeds, True)
-            many = high - low
-            place = order[np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
-            docs.append(np.searchsorted(begin, place, side="right") - 1)
-            which.append(np.repeat(item, many))
-            at.append(np.repeat(pos, many))
-            where.append(place)
-            length.append(np.full(len(place), size))
-        return tuple(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (docs, which, at, where, length))
-
-    def leaks(doc: np.ndarray, item: np.ndarray, at: np.ndarray, where: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, ...]:
-        if not len(doc):
-            return (np.zeros(0, np.int64),) * 4
-        by = np.lexsort((at, where - at, item, doc))  # along diagonals: runs of hits are verbatim matches
-        d, i, a, w, n = doc[by], item[by], at[by], where[by], length[by]
-        joined = np.concatenate([[False], (d[1:] == d[:-1]) & (i[1:] == i[:-1]) & (w[1:] - a[1:] == w[:-1] - a[:-1]) & (a[1:] == a[:-1] + 1)])
-        start = np.flatnonzero(~joined)
-        match = np.diff(np.append(start, len(d))) - 1 + n[start]
-        pair = d[start] << 32 | i[start]
-        keys, inverse = np.unique(pair, return_inverse=True)
-        longest = np.zeros(len(keys), np.int64)
-        np.maximum.at(longest, inverse, match)
-        by = np.lexsort((at, item, doc))
-        d, i, a, n = doc[by], item[by], at[by], length[by]
-        pair = d << 32 | i
-        gap = np.where(np.append(pair[1:] == pair[:-1], False), np.append(a[1:] - a[:-1], 0), n)
-        covered = np.zeros(len(keys), np.int64)
-        np.add.at(covered, np.searchsorted(keys, pair), np.minimum(gap, n))
-        return keys >> 32, keys & 0xFFFFFFFF, covered, longest
+class _Seeds:
+    """The seeds of a block of folded test texts: the different ones in groups of one length, and which texts hold each of them where."""
+
+    def __init__(self, texts: list[str], c: LeakConfig):
+        self.codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
+        self.length = np.array([len(t) for t in texts], np.int64)
+        self.size = np.array([_seed_length(t, c) for t in texts], np.int64)
+        self.groups = []
+        for size in np.unique(self.size).tolist():
+            own = [k for k in np.flatnonzero(self.size == size).tolist() if len(self.codes[k]) >= size]
+            if not own:
+                continue
+            windows = np.concatenate([np.lib.stride_tricks.sliding_window_view(self.codes[k], size) for k in own])
+            item = np.repeat(own, [len(self.codes[k]) - size + 1 for k in own])
+            at = np.concatenate([np.arange(len(self.codes[k]) - size + 1) for k in own])
+            _, first, which = np.unique(np.ascontiguousarray(windows).view(f"V{4 * size}").ravel(), return_index=True, return_inverse=True)
+            order = np.argsort(which, kind="stable")
+            start = np.searchsorted(which[order], np.arange(len(first) + 1))
+            self.groups.append((size, windows[first], start, item[order], at[order]))
+
+
+def _covered(doc: np.ndarray, item: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, test text, characters of the test text under its seeds) from the seeds that stand in each document."""
+    by = np.lexsort((at, item, doc))
+    doc, item, at = doc[by], item[by], at[by]
+    last = np.append((doc[1:] != doc[:-1]) | (item[1:] != item[:-1]), True)
+    gain = np.where(last, size[item], np.minimum(size[item], np.append(at[1:], 0) - at))
+    stop = np.flatnonzero(last)
+    return doc[stop], item[stop], np.diff(np.cumsum(gain)[stop], prepend=0)
+
+
+def longest_match(text: np.ndarray, part: np.ndarray, least: int) -> tuple[int, int]:
+    """(length, place in ``text``) of the longest common run of two texts that have one of ``least`` characters: its length is halved in on."""
+    base = np.uint64(0x9E3779B97F4A7C15)
+
+    def prefix(codes: np.ndarray) -> np.ndarray:
+        return np.concatenate([[np.uint64(0)], np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * powers[: len(codes)], dtype=np.uint64)])
+
+    powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(len(text), len(part)), base))])
+    whole, own = prefix(text), prefix(part)
+
+    def place(size: int) -> int:
+        many = [len(text) - size + 1, len(part) - size + 1]
+        a, b = ((p[size:] - p[:-size]) * powers[: len(powers) - 1][max(many) - n : max(many)][::-1] for p, n in ((whole, many[0]), (own, many[1])))
+        for at in np.flatnonzero(np.isin(a, b)).tolist():
+            for other in np.flatnonzero(b == a[at]).tolist():
+                if np.array_equal(text[at : at + size], part[other : other + size]):
+                    return at
+        return -1
+
+    low, high, where = least, min(len(text), len(part)), place(least)
+    while low < high:
+        middle = (low + high + 1) // 2
+        at = place(middle)
+        low, high, where = (middle, high, at) if at >= 0 else (low, middle - 1, where)
+    return low, where
+
+
+def _shards(c: LeakConfig):
+    """One row per shard: its documents, their folded characters (a 0 ends each) and where they begin, and the suffix array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, ids = items.value["length"], items.value["ids"]
         for batch in batches:
             texts = batch.column(1).to_pylist()
             start = 0
@@ -141,54 +164,95 @@ def _search(c: LeakConfig, items):
                     chars += len(texts[stop])
                     stop += 1
                 codes, offsets = fold_batch(texts[start:stop])
-                doc, item, covered, longest = leaks(*shard(codes, offsets)) if len(codes) else (np.zeros(0, np.int64),) * 4
-                ok = covered >= c.coverage * size[item]
-                columns = [batch.column(0).take(pa.array(doc[ok] + start)), ids.take(pa.array(item[ok])), pa.array(covered[ok]), pa.array(size[item[ok]]), pa.array(longest[ok])]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc", "item", "covered", "item_chars", "longest"])
+                count = stop - start
+                spaced = np.zeros(len(codes) + count, np.uint32)
+                spaced[np.arange(len(codes)) + np.repeat(np.arange(count), np.diff(offsets))] = codes
+                order = suffix_array(spaced, max(c.seed_han, c.seed_other))
+                docs = pa.ListArray.from_arrays(pa.array([0, count], pa.int32()), batch.column(0).slice(start, count))
+                blobs = [pa.array([x.tobytes()], pa.binary()) for x in (spaced, (offsets + np.arange(count + 1)).astype(np.int64), order.astype(np.uint32))]
+                yield pa.RecordBatch.from_arrays([docs, *blobs], names=["docs", "codes", "starts", "suffixes"])
                 start = stop
 
     return run
 
 
-def _packed(rows: list, c: LeakConfig, kind: pa.DataType) -> dict:
-    """The seeds of a block of test texts, in groups of one length."""
-    folded = [(r.item, fold_text(r.text)) for r in rows]
-    folded = [(k, t) for k, t in folded if len(t) >= min(c.seed_han, c.seed_other)]
-    groups: dict[int, list] = {}
-    for number, (_, text) in enumerate(folded):
-        size = _seed_length(text, c)
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        if len(codes) >= size:
-            windows = np.lib.stride_tricks.sliding_window_view(codes, size)
-            groups.setdefault(size, []).append((windows, np.full(len(windows), number), np.arange(len(windows))))
-    seeds = [(size, *(np.concatenate([g[k] for g in parts]) for k in range(3))) for size, parts in groups.items()]
-    return {"seeds": seeds, "length": np.array([len(t) for _, t in folded], dtype=np.int64), "ids": pa.array([k for k, _ in folded], kind)}
+def _lookup(c: LeakConfig, block, kind: pa.DataType):
+    """The leaks of a block of test texts in each shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds = _Seeds(block.value["texts"], c)
+        ids = pa.array(block.value["ids"], kind)
+        for batch in batches:
+            for row in range(batch.num_rows):
+                docs = batch.column("docs").slice(row, 1).flatten()
+                codes, starts, order = (np.frombuffer(batch.column(k)[row].as_buffer(), t) for k, t in (("codes", np.uint32), ("starts", np.int64), ("suffixes", np.uint32)))
+                found = []
+                for size, windows, start, item, at in seeds.groups:
+                    low, high = _bound(codes, order, windows, False), _bound(codes, order, windows, True)
+                    many = high - low
+                    place = order[np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+                    doc = np.searchsorted(starts, place, side="right") - 1
+                    pair = np.unique(doc.astype(np.int64) << 32 | np.repeat(np.arange(len(many)), many))  # a seed counts once in a document
+                    doc, seed = pair >> 32, pair & 0xFFFFFFFF
+                    uses = np.diff(start)[seed]
+                    total, first = np.cumsum(uses), 0
+                    while first < len(doc):  # whole documents, some _HITS uses of seeds at a time
+                        last = int(np.searchsorted(total, (total[first - 1] if first else 0) + _HITS, side="right"))
+                        last = int(np.searchsorted(doc, doc[max(last - 1, first)], side="right"))
+                        n = uses[first:last]
+                        use = np.repeat(start[seed[first:last]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                        d, i, covered = _covered(np.repeat(doc[first:last], n), item[use], at[use], seeds.size)
+                        ok = covered >= c.coverage * seeds.length[i]
+                        found += zip(d[ok].tolist(), i[ok].tolist(), covered[ok].tolist(), [size] * int(ok.sum()))
+                        first = last
+                matches = [longest_match(codes[starts[d] : starts[d + 1] - 1], seeds.codes[i], size) for d, i, _, size in found]
+                out = [docs.take(pa.array([f[0] for f in found], pa.int64())), ids.take(pa.array([f[1] for f in found], pa.int64()))]
+                numbers = ([f[2] for f in found], [int(seeds.length[f[1]]) for f in found], [m[0] for m in matches], [m[1] for m in matches])
+                yield pa.RecordBatch.from_arrays([*out, *(pa.array(n, pa.int64()) for n in numbers)], names=["doc", "item", "covered", "item_chars", "longest", "longest_at"])
+
+    return run
+
+
+def _blocks(tests: DataFrame, c: LeakConfig) -> Iterator[dict]:
+    """The folded test texts, a block at a time: the driver never holds more than one."""
+    ids, texts, chars = [], [], 0
+    for row in tests.orderBy("item", "text").toLocalIterator():
+        folded = fold_text(row.text)
+        if len(folded) < min(c.seed_han, c.seed_other):
+            continue
+        if ids and (len(ids) == c.block or chars + len(folded) > c.block_chars):
+            yield {"ids": ids, "texts": texts}
+            ids, texts, chars = [], [], 0
+        ids.append(row.item)
+        texts.append(folded)
+        chars += len(folded)
+    yield {"ids": ids, "texts": texts}
 
 
 def leaked(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", config: LeakConfig = LeakConfig()) -> DataFrame:
-    """(doc_id, item_id, covered, item_chars, longest): each document with each test text it leaks.
+    """(doc_id, item_id, covered, item_chars, longest, longest_at): each document with each test text it leaks.
 
-    covered and item_chars count folded characters, longest is the longest verbatim match. Null and empty texts on either side, test texts under
-    min_chars, and such with fewer folded characters than a seed give no rows. Repeated rows count once. The
-    test texts come to the driver in blocks of ``config.block``; the documents never do. Other columns are not read.
+    covered and item_chars count folded characters, longest is the longest verbatim match, longest_at its place in the folded document. Null and
+    empty texts on either side, test texts under min_chars, and such with fewer folded characters than a seed give no rows. Repeated rows
+    count once. The test texts come to the driver a block at a time; the documents never do. Other columns are not read.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
-    spark = documents.sparkSession
-    tests = items.select(F.col(item_id).alias("item"), F.col(item_text).alias("text")).filter(F.char_length("text") >= config.min_chars).distinct()
+    spark, c = documents.sparkSession, config
+    tests = items.select(F.col(item_id).alias("item"), F.col(item_text).alias("text")).filter(F.char_length("text") >= c.min_chars).distinct()
     docs = documents.select(F.col(doc_id).alias("doc"), F.col(doc_text).alias("text")).filter("text IS NOT NULL AND text <> ''")
-    kinds = (docs.schema["doc"].dataType, tests.schema["item"].dataType)
-    schema = f"doc {kinds[0].simpleString()}, item {kinds[1].simpleString()}, covered long, item_chars long, longest long"
-    blocks, block = [], []
-    for row in tests.orderBy("item", "text").toLocalIterator():
-        block.append(row)
-        if len(block) == config.block:
-            blocks.append(block)
-            block = []
-    blocks.append(block)
-    parts = [docs.mapInArrow(_search(config, spark.sparkContext.broadcast(_packed(b, config, to_arrow_type(kinds[1])))), schema) for b in blocks]
-    found = reduce(DataFrame.unionByName, parts).groupBy("doc", "item").agg(F.max("covered").alias("covered"), F.max("item_chars").alias("item_chars"), F.max("longest").alias("longest"))
-    return found.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), "covered", "item_chars", "longest")
+    doc_kind, item_kind = docs.schema["doc"].dataType, tests.schema["item"].dataType
+    blocks = [spark.sparkContext.broadcast(b) for b in _blocks(tests, c)]
+    schema = f"doc {doc_kind.simpleString()}, item {item_kind.simpleString()}, covered long, item_chars long, longest long, longest_at long"
+    build, look = _shards(c), [_lookup(c, b, to_arrow_type(item_kind)) for b in blocks]
+    if len(blocks) == 1:
+        parts = [docs.mapInArrow(lambda batches: look[0](build(batches)), schema)]
+    else:
+        shards = materialize(docs.mapInArrow(build, f"docs array<{doc_kind.simpleString()}>, codes binary, starts binary, suffixes binary"), "suffixes")
+        parts = [shards.mapInArrow(one, schema) for one in look]
+    names = ("covered", "item_chars", "longest", "longest_at")
+    found = reduce(DataFrame.unionByName, parts).groupBy("doc", "item").agg(F.max(F.struct(*names)).alias("m"))
+    return found.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), *(F.col("m")[n].alias(n) for n in names))
 
 
 def without_leaks(documents: DataFrame, found: DataFrame, doc_id: str = "doc_id") -> DataFrame:

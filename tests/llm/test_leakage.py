@@ -50,10 +50,21 @@ def test_equals_brute_force(spark):
     got = {(r.doc_id, r.item_id): r.covered for r in found.collect()}
     assert got == brute(docs, items) and got
     assert lk.without_leaks(df, found).count() == 60 - len({d for d, _ in got})
+    places = {(r.doc_id, r.item_id): (r.longest, r.longest_at) for r in found.collect()}
+    for (d, i), (longest, at) in places.items():
+        folded, item = fold_text(dict(docs)[d]), fold_text(dict(items)[i])
+        assert folded[at : at + longest] in item and not any(folded[k : k + longest + 1] in item for k in range(len(folded) - longest))
     several = lk.leaked(df, spark.createDataFrame(items, "item_id long, text string"), config=lk.LeakConfig(block=4))
     assert {(r.doc_id, r.item_id): r.covered for r in several.collect()} == got
 
 
+def test_runs_of_one_character_take_linear_room(spark):
+    docs = [(1, "0" * 1_000_000), (2, "0" * 100), (3, "ab" * 400), (4, "1" * 50)]
+    items = [(1, "0" * 400), (2, "ab" * 300), (3, "0" * 90 + "1" * 400)]
+    rows = lk.leaked(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): (r.covered, r.longest) for r in rows} == {(1, 1): (400, 400), (2, 1): (400, 100), (3, 2): (600, 600), (4, 3): (400, 50)}
+
+
 def test_longest_match(spark):
     text = "one two three four five six seven eight nine ten eleven twelve"
     row = lk.leaked(spark.createDataFrame([(1, "xx " + text + " yy")], "doc_id long, text string"), spark.createDataFrame([(7, text)], "item_id long, text string")).first()
