@@ -1,10 +1,11 @@
 """Problem 5: one consistent form for text that looks the same.
 
 A value is normalised in two steps. First compatibility normalisation, composition of accents, plain spaces and hyphens, radicals
-to ideographs, and deletion of ignorable characters (joiners and selectors of emoji sequences stay). Then every word that
-mixes Latin letters with letters of another alphabet becomes a lattice: each letter may stay or be read as one of its look-alikes; the
-Viterbi path with the best character bigram score, in which a change of script inside a word costs dearly, is taken. The bigram
-counts come from the single-script words of the whole input. Each value also gets the kinds of disguise it held.
+to ideographs, and deletion of ignorable characters (joiners and selectors of emoji sequences stay). Then every word of letters and digits that
+mixes Latin letters with letters of another alphabet becomes a lattice: each letter may stay or be read as its look-alike in any alphabet of the
+word, Latin or not; the Viterbi path with the best character bigram score, in which a change of script inside a word costs dearly, is
+taken. Bigrams are counted in the single-script words of the whole input and scored within their script, so that a rare alphabet is no worse
+than a frequent one. Each value also gets the kinds of disguise it held.
 """
 
 from __future__ import annotations
@@ -28,22 +29,23 @@ _TWINS = dict(
     )
 )
 
+_UNITS = "µμΩΩÅKåΩμ"
+
 # CJK radicals without a compatibility mapping and their ideographs.
 _RADICALS = dict(zip("⺁⺄⺌⺍⺐⺗⺝⺟⺠⺡⺢⺧⺫⺮⺯⺰⺲⺳⺶⺷⺹⺼⻁⻂⻃⻄⻅⻆⻇⻈⻉⻋⻌⻍⻎⻏⻐⻑⻒⻓⻔⻖⻗⻘⻙⻚⻛⻜⻝⻟⻠⻡⻢⻣⻤⻥⻦⻧⻨⻩⻪⻫⻬⻭⻮⻯⻰⻱⻲", "厂乙小小尢心月母民水水牛罒竹糸纟罒网羊羊耂月虎衤覀西见角角讠贝车辶辶辶阝钅長镸长门阝雨青韦页风飞食食饣首马骨鬼鱼鸟卤麦黄黾斉齐歯齿竜龙龜亀"))
 _RADICALS["⻳"] = "龟"
 _HYPHENS = "‐‑‒⁃−﹣－˗"
 _INVISIBLE = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x84\x86-\x9f\xad͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ￰-￸\U0001d173-\U0001d17a\U000e0000-\U000e0fff]")
-_UNITS = "µμΩΩÅKåΩμ"
 
 #: What the JVM looks for before any Python runs: every character that a kind of disguise can consist of.
-SUSPECT = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\xA0\\xAD\\u0132\\u0133\\u01C4-\\u01CC\\u01F1-\\u01F3\\u02D7\\u0300-\\u03A8\\u03AA-\\u03BB\\u03BD-\\u052F\\u0531-\\u058F\\u061C\\u1100-\\u11FF\\u13A0-\\u13FD\\u1680\\u17B4\\u17B5\\u180B-\\u180F\\u2000-\\u2012\\u2028-\\u202F\\u2043\\u205F-\\u206F\\u20D0-\\u20FF\\u2100-\\u214F\\u2212\\u2E80-\\u2FDF\\u3000\\u3164\\uF900-\\uFAFF\\uFB00-\\uFB17\\uFE00-\\uFE0F\\uFE63\\uFEFF\\uFF0D\\uFF10-\\uFF19\\uFF21-\\uFF3A\\uFF41-\\uFF5A\\uFF66-\\uFFDC\\uFFF0-\\uFFF8\\x{1D173}-\\x{1D17A}\\x{1D400}-\\x{1D7FF}\\x{2F800}-\\x{2FA1F}\\x{E0000}-\\x{E0FFF}]"
+SUSPECT = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\xA0\\xAD\\u0132\\u0133\\u01C4-\\u01CC\\u01F1-\\u01F3\\u02D7\\u0300-\\u03A8\\u03AA-\\u03BB\\u03BD-\\u052F\\u0531-\\u058F\\u061C\\u1100-\\u11FF\\u13A0-\\u13FD\\u1680\\u17B4\\u17B5\\u180B-\\u180F\\u2000-\\u2012\\u2028-\\u202F\\u2043\\u205F-\\u206F\\u20D0-\\u20FF\\u2100-\\u214F\\u2212\\u24B6-\\u24E9\\u2E80-\\u2FDF\\u3000\\u3164\\uF900-\\uFAFF\\uFB00-\\uFB17\\uFE00-\\uFE0F\\uFE63\\uFEFF\\uFF0D\\uFF10-\\uFF19\\uFF21-\\uFF3A\\uFF41-\\uFF5A\\uFF66-\\uFFDC\\uFFF0-\\uFFF8\\x{1D173}-\\x{1D17A}\\x{1F12B}-\\x{1F149}\\x{1D400}-\\x{1D7FF}\\x{2F800}-\\x{2FA1F}\\x{E0000}-\\x{E0FFF}]"
 
 _SUSPECT = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\U{int(m.group(1), 16):08x}", SUSPECT))
 _APART = re.compile("[A-Za-zÀ-ɏͰ-ԯ][\u0300-\u036f]")
 _JAMO = re.compile("[ᄀ-ᇿ]")
-# Words with a letter of an alphabet that has look-alikes of Latin letters. Only the start of a run of letters is tried, so that a long run costs one pass.
+# Words of letters and digits with a letter of an alphabet that has look-alikes of Latin letters. Only the start of a run of letters is tried, so that a long run costs one pass.
 _FOREIGN = re.compile("[Ͱ-֏Ꭰ-\u13ff]")
-_MIXED = re.compile("(?<![A-Za-zÀ-ɏͰ-֏Ꭰ-\u13ff])[A-Za-zÀ-ɏ]*+[Ͱ-֏Ꭰ-\u13ff][A-Za-zÀ-ɏͰ-֏Ꭰ-\u13ff]*")
+_MIXED = re.compile("(?<![0-9A-Za-zÀ-ɏͰ-֏Ꭰ-\u13ff])[0-9A-Za-zÀ-ɏ]*+[Ͱ-֏Ꭰ-\u13ff][0-9A-Za-zÀ-ɏͰ-֏Ꭰ-\u13ff]*")
 _LATIN_WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]{2,}|[Ͱ-Ͽ]{2,}|[Ѐ-ԯ]{2,}")
 
 
@@ -75,8 +77,8 @@ def _kind(char: str) -> str:
         plain = unicodedata.normalize("NFKC", char)
         if 0xF900 <= code < 0xFB00 or 0x2F800 <= code < 0x2FA20:
             return "ideograph"
-        if how.startswith(("<font>", "<wide>", "<narrow>")) and plain.isalnum():
-            return "style"
+        if how.startswith(("<font>", "<wide>", "<narrow>")) and plain.isalnum() or how.startswith(("<circle>", "<square>")) and len(plain) == 1 and _script(plain) == "latin":
+            return "style"  # raised and lowered letters carry a meaning, numbers in circles are list marks, squares of several letters are units
         if how.startswith("<compat>") and len(plain) > 1 and plain.isalpha() and _script(plain[0]) in ("latin", "armenian"):
             return "ligature"
     return ""
@@ -107,33 +109,69 @@ class BigramModel:
         for (a, _), n in counts.items():
             self.total[a] += n
         self.counts = counts
+        self._within: Counter | None = None
+
+    def score(self, a: str, b: str, least: float = -6.0) -> float:
+        """Of b after a, among what follows a in the script of b; an unseen pair is as likely as its script is wide, and never below ``least``."""
+        if self._within is None:
+            self._within = Counter()
+            for (x, y), n in self.counts.items():
+                self._within[x, _script(y)] += n
+        return max(least, math.log((self.counts.get((a, b), 0) + 0.125) / (self._within[a, _script(b)] + 5)))
+
+
+def _reverse_twins() -> dict[str, dict[str, str]]:
+    """For each other alphabet: Latin letter -> its look-alike there."""
+    out: dict[str, dict[str, str]] = {}
+    for other, latin in _TWINS.items():
+        out.setdefault(_script(other), {}).setdefault(latin, other)
+    return out
+
 
-    def score(self, a: str, b: str) -> float:
-        return math.log((self.counts.get((a, b), 0) + 0.05) / (self.total.get(a, 0) + 50))
+_BACK = _reverse_twins()
 
 
-def _readings(char: str) -> tuple[str, ...]:
+def _readings(char: str, scripts: frozenset[str] = frozenset()) -> tuple[str, ...]:
+    """A letter and its look-alikes: in Latin for a letter of another alphabet, in the other ``scripts`` for a Latin one."""
     twin = _TWINS.get(char)
-    return (char, twin) if twin and char not in _UNITS else (char,)
+    if twin:
+        return (char, twin) if char not in _UNITS else (char,)
+    return (char, *(_BACK[s][char] for s in sorted(scripts) if char in _BACK.get(s, ())))
 
 
-def best_reading(word: str, model: BigramModel, switch: float = -12.0, change: float = -1.0) -> str:
-    """The Viterbi path through the look-alike lattice of a word.
+def best_reading(word: str, model: BigramModel, around: Counter | None = None, switch: float = -12.0, change: float = -3.0) -> str:
+    """The Viterbi path through the look-alike lattice of a word of letters and digits.
 
-    switch: cost of two neighbouring letters of different scripts; change: cost of reading a letter as another one.
+    switch: cost of two neighbouring letters of different scripts (half of it where digits lie between); change: cost of reading a letter as another one;
+    around: letters of each script in the whole text: a word begins in a script that is rare in the rest of it at a cost.
     """
-    scores, came = {"^": 0.0}, []
+    rest = (around or Counter()) - Counter(map(_script, word))
+    begin = lambda script: 3 * math.log((rest[script] + 1) / (rest.total() + 1))
+    scripts = frozenset(_script(c) for c in set(word)) - {"latin", ""}
+    scores, came = {("^", ""): 0.0}, []  # a state: the reading, and the script of the last letter
     for char in word:
         ahead, back = {}, {}
-        for reading in _readings(char):
-            step = 0.0 if reading == char else change
-            ahead[reading], back[reading] = max((s + model.score(b.lower(), reading.lower()) + step + (switch if b != "^" and _script(b) != _script(reading) else 0.0), b) for b, s in scores.items())
+        for reading in _readings(char, scripts):
+            own, step = _script(reading), 0.0 if reading == char else change
+            for state, before in scores.items():
+                last, script = state
+                if own:
+                    score = before + step + model.score(last.lower() if _script(last) else "^", reading.lower())
+                    if not script:
+                        score += begin(own)
+                    elif script != own:
+                        score += switch if _script(last) else switch / 2
+                else:
+                    score = before + (model.score(last.lower(), "$") if _script(last) else 0.0)
+                new = (reading, own or script)
+                if new not in ahead or score > ahead[new]:
+                    ahead[new], back[new] = score, state
         scores = ahead
         came.append(back)
-    at = max((s + model.score(b.lower(), "$"), b) for b, s in scores.items())[1]
+    at = max((s + (model.score(state[0].lower(), "$") if _script(state[0]) else 0.0), state) for state, s in scores.items())[1]
     path = []
     for back in reversed(came):
-        path.append(at)
+        path.append(at[0])
         at = back[at]
     return "".join(reversed(path))
 
@@ -141,6 +179,7 @@ def best_reading(word: str, model: BigramModel, switch: float = -12.0, change: f
 def canonical(text: str, model: BigramModel) -> tuple[str, list[str]]:
     """The consistent form of a text, and the sorted kinds of disguise in it."""
     kinds: set[str] = set()
+    around: Counter = Counter()
 
     def single(m: re.Match) -> str:
         char = m.group()
@@ -156,9 +195,13 @@ def canonical(text: str, model: BigramModel) -> tuple[str, list[str]]:
 
     def word(m: re.Match) -> str:
         run = m.group()
-        scripts = {_script(c) for c in run if c not in _UNITS}
+        scripts = {_script(c) for c in run if c not in _UNITS} - {""}
         if "latin" in scripts and len(scripts) > 1:
-            read = best_reading(run, model)
+            if not around:
+                for char, n in Counter(clean).items():
+                    around[_script(char)] += n
+                around.pop("", None)
+            read = best_reading(run, model, around)
             if read != run:
                 kinds.add("alphabet")
             return read

@@ -206,8 +206,10 @@ def adaptive_scan(query: np.ndarray, base: np.ndarray, bound: np.ndarray, c: Vec
 
 
 def _best(q: np.ndarray, b: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k nearest per query."""
-    by = np.lexsort((b, d, q))
+    """The k nearest per query; a pair that was found from both of its ends counts once."""
+    by = np.lexsort((d, b, q))
+    by = by[np.append(True, (q[by][1:] != q[by][:-1]) | (b[by][1:] != b[by][:-1]))[: len(by)]]
+    by = by[np.lexsort((b[by], d[by], q[by]))]
     q, b, d = q[by], b[by], d[by]
     first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, np.int64)
     rank = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))

@@ -28,6 +28,22 @@ def test_no_case_by_itself(value):
     assert la.canonical(value, MODEL)[1] == []
 
 
+@pytest.mark.parametrize("model", [MODEL, la.BigramModel({})])
+@pytest.mark.parametrize(("value", "plain"), [("Мoсква", "Москва"), ("пpивет", "привет"), ("RTX4О60", "RTX4O60"), ("Tеssаro 14Рro", "Tessaro 14Pro"), ("Ωμέγa", "Ωμέγα")])
+def test_the_lattice_leads_to_every_alphabet(value, plain, model):
+    assert la.canonical(value, model) == (plain, ["alphabet"])
+
+
+@pytest.mark.parametrize(("value", "plain"), [("Ⓛaptop", "Laptop"), ("🄰sus", "Asus"), ("ⓑody", "body")])
+def test_letters_in_circles_and_squares_are_styles(value, plain):
+    assert la.canonical(value, MODEL) == (plain, ["style"]) and la._SUSPECT.search(value)
+
+
+@pytest.mark.parametrize("value", ["①②", "3 m²", "5㎞ 2㏄", "2ⁿ", "USBпорт", "экран 4K", "А4", "1ª"])
+def test_marks_with_a_meaning_are_no_case(value):
+    assert la.canonical(value, MODEL)[1] == []
+
+
 def test_equal_looks_compare_as_equal():
     forms = ["Tessaro Plus 15", "Тessarо Рlus １５", "Tes​saro Plus 15"]
     assert len({la.canonical(f, MODEL)[0] for f in forms}) == 1
