@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestone.llm.bpe import encode_corpus
@@ -79,12 +82,18 @@ def p7_clean(spark: SparkSession, directory: str) -> DataFrame:
     return without_leaks(documents, leaked(documents, table(spark, directory, "eval_item"))).select("doc_id", "text")
 
 
+def _pii_key(spark: SparkSession) -> bytes:
+    """The key of the pseudonyms: the session's, else one of this run alone."""
+    given = spark.conf.get("spark.lodestone.pseudonym.key", None)
+    return hashlib.blake2b(given.encode(), digest_size=32).digest() if given else secrets.token_bytes(32)
+
+
 def p8_found(spark: SparkSession, directory: str) -> DataFrame:
-    return pii_mentions(table(spark, directory, "documents"))
+    return pii_mentions(table(spark, directory, "documents"), _pii_key(spark)).select("doc_id", "pii_type", "pii_text")
 
 
 def p8_redacted(spark: SparkSession, directory: str) -> DataFrame:
-    return redacted(table(spark, directory, "documents"))
+    return redacted(table(spark, directory, "documents"), _pii_key(spark))
 
 
 def queries() -> dict:
