@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-#: Latin tokens: runs of letters and digits joined by . _ % + # / -, with an optional ++, %, + or # at the end.
-ASCII_TOKEN = r"[a-z0-9]+(?:[._%+#/-][a-z0-9]+)*(?:\+\+|[%+#])?"
-IDEOGRAPHS = "[一-鿿]+"
-#: Words too common to search for (an own short list; a parameter of tokens()).
-STOP_WORDS = ("the", "a", "an", "of", "and", "to", "in", "on", "is", "was", "for", "with", "的", "了", "和", "是", "在")
+# What a search term is (words of letters and digits, joined by signs that occur inside model names, with the signs that may end them;
+# runs of ideographs of two blocks), what a model name falls into, and the words that are no terms.
+WORD, JOINERS, ENDINGS = "[a-z0-9]+", "[._%+#/-]", ("\\+\\+", "[%+#]")
+ASCII_TOKEN = f"{WORD}(?:{JOINERS}{WORD})*(?:{'|'.join(ENDINGS)})?"
+IDEOGRAPHS = "[㐀-䶿一-鿿]+"
+PIECES = "[a-z]+|[0-9]+(?:\\.[0-9]+)*\\+?"
+STOP_WORDS = tuple("的 了 吗 呢 啊 是 有 这 那 这个 那个 这台 那台 台 怎么 怎么样 如何 能 用 多久 很 我 你".split())
+#: Of our own: English words that no search is for, and two Chinese ones.
+STOP_WORDS += tuple("the a an of and to in on is was for with 和 在".split())
 
 
 def tokens(text: Column, stop: tuple[str, ...] = STOP_WORDS) -> Column:
@@ -21,11 +25,16 @@ def tokens(text: Column, stop: tuple[str, ...] = STOP_WORDS) -> Column:
 
 
 def model_pieces(token: Column) -> Column:
-    """A mixed token and its letter and digit pieces longer than one character, when there are at least two; else no pieces."""
-    pieces = F.regexp_extract_all(F.lower(token), F.lit("[a-z]+|[0-9]+"), F.lit(0))
+    """A mixed token and its letter and number pieces longer than one character, when there are at least two; else no pieces."""
+    pieces = F.regexp_extract_all(F.lower(token), F.lit(PIECES), F.lit(0))
     return F.when(F.size(pieces) >= 2, F.concat(F.array(F.lower(token)), F.filter(pieces, lambda p: F.length(p) > 1))).otherwise(F.array().cast("array<string>"))
 
 
+def search_terms(text: Column, stop: tuple[str, ...] = STOP_WORDS) -> Column:
+    """tokens(), and after each model name its pieces."""
+    return F.flatten(F.transform(tokens(text, stop), lambda t: F.when(F.size(model_pieces(t)) > 0, model_pieces(t)).otherwise(F.array(t))))
+
+
 def stable_key(source_type: Column, locator: Column, context_key: Column, evidence_key: Column) -> Column:
     """type:locator#context#evidence; null if any part is."""
     return F.concat(source_type, F.lit(":"), locator, F.lit("#"), context_key, F.lit("#"), evidence_key)
@@ -42,10 +51,11 @@ def retrieval_text(title: Column, prefix: Column, body: Column) -> Column:
     return F.concat_ws("\n", title, F.nullif(prefix, F.lit("")), body)
 
 
-def clean_title(title: Column) -> Column:
-    """Without leading 【...】 groups, a short leading "x|" and trailing stars."""
-    t = F.regexp_replace(title, r"^(?:【[^】]*】\s*)+", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"^[^|｜]{1,6}[|｜]\s*", ""), r"[*★☆\s]+$", ""))
+def clean_title(title: Column, label: int = 20, marks: str = " \t\r\n　⭐") -> Column:
+    """Without a beginning of 【...】 groups, a label of at most ``label`` characters before a bar, and stars and blanks at the end."""
+    body = F.regexp_replace(F.trim(title), r"\A(?:【[^】]*】|\s)+", "")
+    bar = F.regexp_instr(body, F.lit("[|｜]"))
+    return F.rtrim(F.when(bar.between(1, label + 1), F.regexp_replace(F.substr(body, bar + 1), r"\A\s+", "")).otherwise(body), F.lit(marks))
 
 
 def compact(text: Column) -> Column:
@@ -54,10 +64,24 @@ def compact(text: Column) -> Column:
 
 
 def gpu_name(gpu: Column) -> Column:
-    """Upper case, no vendor words, one space between series and number."""
-    t = F.upper(F.trim(gpu))
-    t = F.regexp_replace(t, r"NVIDIA|GEFORCE|AMD|RADEON|INTEL", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"([A-Z])\s*(\d)", "$1 $2"), r"\s+", " "))
+    """RTX and GTX numbers in one spelling (RTX 5070Ti), however they are spaced and cased; other names with single spaces."""
+    part = lambda k: F.regexp_extract(F.upper(compact(gpu)), r"^([RG]TX)([0-9]+)(TI)?$", k)
+    plain = F.trim(F.regexp_replace(gpu, r"\s+", " "))
+    return F.when(part(1) != "", F.concat(part(1), F.lit(" "), part(2), F.when(part(3) != "", "Ti").otherwise(""))).otherwise(plain)
+
+
+def article_identity(url: Column, key: Column, host: str) -> Column:
+    """mp:<biz>:<mid>:<idx> from the query of a permanent link, mp:s:<slug> from a short one; capture:<key> without a link; null for links of other forms or hosts.
+
+    host: pattern of the hosts. Links copied from page sources may hold &amp; for &.
+    """
+    link = F.replace(F.trim(url), F.lit("&amp;"), F.lit("&"))
+    ask = lambda k: F.try_url_decode(F.coalesce(F.try_parse_url(link, F.lit("QUERY"), F.lit(k)), F.lit("")))
+    path, known = F.try_parse_url(link, F.lit("PATH")), F.try_parse_url(link, F.lit("PROTOCOL")).isin("http", "https") & F.try_parse_url(link, F.lit("HOST")).rlike(host)
+    permanent = (path == "/s") & ask("__biz").rlike("^[A-Za-z0-9+/=]+$") & ask("mid").rlike("^[0-9]+$") & ask("idx").rlike("^[0-9]+$")
+    short = F.regexp_extract(path, "^/s/([A-Za-z0-9_-]+)$", 1)
+    linked = F.when(permanent, F.concat_ws(":", F.lit("mp"), ask("__biz"), ask("mid"), ask("idx"))).when(short != "", F.concat(F.lit("mp:s:"), short))
+    return F.when(url.isNull(), F.concat(F.lit("capture:"), key)).when(known, linked)
 
 
 def url_identity(url: Column) -> Column:

@@ -17,15 +17,19 @@ def upsert_plan(incoming: DataFrame, stored: DataFrame, key: list[str], digest:
 
 
 def apply_upsert(incoming: DataFrame, stored: DataFrame, key: list[str], digest: str, keep_absent: bool = True) -> DataFrame:
-    """The table after the upsert: unchanged rows stay as stored (with their ids), updated ones take the incoming values but keep ``id``."""
-    plan = upsert_plan(incoming, stored, key, digest)
+    """The table after the upsert: unchanged rows stay as stored (with their ids), updated ones take the incoming values but keep ``id``.
+
+    One full outer join carries both rows as structs; the row that counts is chosen in place.
+    """
     columns = stored.columns
-    old = stored.join(plan.filter("action = 'unchanged' OR action = 'absent'" if keep_absent else "action = 'unchanged'").select(*key), key, "left_semi").select(columns)
-    new = incoming.join(plan.filter("action IN ('created', 'updated')").select(*key), key, "left_semi").select(columns)
-    if "id" in columns and "id" not in key:
-        ids = stored.select(*key, F.col("id").alias("old_id"))
-        new = new.join(ids, key, "left").withColumn("id", F.coalesce("old_id", "id")).select(columns)
-    return old.unionByName(new)
+    a = incoming.select(*key, F.struct(*columns).alias("new"))
+    b = stored.select(*key, F.struct(*columns).alias("old"))
+    j = a.join(b, key, "full_outer")
+    if not keep_absent:
+        j = j.filter("new IS NOT NULL")
+    stays = F.col("new").isNull() | F.col("old").isNotNull() & F.col(f"new.{digest}").eqNullSafe(F.col(f"old.{digest}"))
+    picked = [F.when(stays, F.col(f"old.{c}")).otherwise(F.coalesce(f"old.{c}", f"new.{c}") if c == "id" and c not in key else F.col(f"new.{c}")).alias(c) for c in columns]
+    return j.select(*picked)
 
 
 def difference(new: DataFrame, old: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -6,7 +6,9 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestone.functions.text import stable_key, tokens
 
@@ -39,29 +41,78 @@ def with_terms(df: DataFrame, id_col: str, text: Column) -> DataFrame:
     return df.select(id_col, F.coalesce(tokens(text), F.array().cast("array<string>")).alias("terms")).withColumn("length", F.size("terms"))
 
 
-#: Query terms up to which they are broadcast (some 10 MB); more are joined by a shuffle on the term.
-SMALL_QUERY_TERMS = 200_000
-
-
-def bm25(docs: DataFrame, queries: DataFrame, id_col: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query_id, id_col, score) for all documents with a positive score.
-
-    docs: (id_col, terms, length); queries: (query_id, terms). N, average length and document frequencies are those of ``docs``, empty
-    documents included. Only terms that some query has are exploded into a shuffle.
+def _score_batches(sent, id_col: str, k: int | None, digits: int | None, k1: float, b: float):
+    """Scores of a block of queries for every batch of documents: term counts, weights and sums are array operations; the k best of a batch go on, with ties."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, number, starts, query, idf, average = sent.value
+        for batch in batches:
+            lists = batch.column("terms")
+            flat = pc.dictionary_encode(lists.flatten())
+            local = np.array([number.get(t, -1) for t in flat.dictionary.to_pylist()], dtype=np.int64)
+            term = local[flat.indices.to_numpy()] if len(local) else np.zeros(0, np.int64)
+            row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
+            pair, tf = np.unique((row << 32 | term)[term >= 0], return_counts=True)
+            row, term = pair >> 32, pair & 0xFFFFFFFF
+            length = batch.column("length").to_numpy(zero_copy_only=False)[row]
+            weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average))
+            many = starts[term + 1] - starts[term]
+            at = np.repeat(starts[term] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            key, where = np.unique(query[at] << 32 | np.repeat(row, many), return_inverse=True)
+            score = np.bincount(where, weights=np.repeat(weight, many), minlength=len(key))
+            score = score if digits is None else np.round(score, digits)
+            keep = score > 0
+            key, score = key[keep], score[keep]
+            asked = key >> 32
+            if k is not None and len(key):
+                by = np.lexsort((-score, asked))
+                first = np.flatnonzero(np.append(True, asked[by][1:] != asked[by][:-1]))
+                size = np.diff(np.append(first, len(by)))
+                edge = score[by][first + np.minimum(size, k) - 1]
+                keep = score[by] >= np.repeat(edge, size)
+                key, score, asked = key[by][keep], score[by][keep], asked[by][keep]
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(asked)), batch.column(0).take(pa.array(key & 0xFFFFFFFF)), pa.array(score)], names=["query_id", id_col, "score"])
+
+    return run
+
+
+def bm25(docs: DataFrame, queries: DataFrame, id_col: str, k1: float = 1.5, b: float = 0.75, k: int | None = None, digits: int | None = None, block: int = 4096) -> DataFrame:
+    """(query_id, id_col, score, rounded if ``digits`` are given) for all documents with a positive score; with ``k`` only those that may be among a query's k best.
+
+    docs: (id_col, terms, length); queries: (query_id, terms), their terms taken as a set. N, average length and document frequencies are
+    those of ``docs``, empty documents included. Documents are not shuffled: queries go out in blocks of ``block`` (a bounded broadcast
+    each), every batch of documents scores a block and keeps its best. A query without known terms has no rows.
     """
+    spark = docs.sparkSession
     asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
-    wanted = asked.select("term").distinct()
-    stats = docs.agg(F.count("*").cast("double").alias("n"), F.avg("length").alias("average"))
-    # Documents lie by id, so that counting their terms and summing their scores needs no further shuffle.
-    placed = docs.repartition(F.col(id_col)).select(id_col, "length", F.explode("terms").alias("term")).join(wanted, "term", "left_semi")
-    postings = placed.groupBy(id_col, "term").agg(F.count("*").cast("double").alias("tf"), F.first("length").alias("length"))
-    df = docs.select(F.explode(F.array_distinct("terms")).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").cast("double").alias("df"))
-    idf = df.crossJoin(F.broadcast(stats)).select("term", F.ln(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "average")
-    asked = asked.join(idf, "term")
-    if asked.count() <= SMALL_QUERY_TERMS:
-        asked = F.broadcast(asked)
-    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("average")))
-    return postings.join(asked, "term").groupBy("query_id", id_col).agg(F.sum(weight).alias("score")).filter("score > 0")
+    stats = docs.agg(F.count("*").alias("n"), F.avg("length").alias("average")).first()
+    known = docs.select(F.explode(F.array_distinct("terms")).alias("term")).join(asked.select("term").distinct(), "term").groupBy("term").agg(F.count("*").alias("df"))
+    weighted = asked.join(known, "term").select("query_id", "term", F.ln(F.lit(1.0) + (F.lit(float(stats.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    kinds = [(f.dataType.simpleString(), to_arrow_type(f.dataType)) for f in (queries.schema["query_id"], docs.schema[id_col])]
+    out, rows, last, seen = None, [], object(), 0
+
+    def scan(rows: list) -> DataFrame:
+        number: dict[str, int] = {}
+        term = np.array([number.setdefault(r.term, len(number)) for r in rows], dtype=np.int64)
+        order = np.argsort(term, kind="stable")
+        idf = np.zeros(len(number))
+        idf[term] = [r.idf for r in rows]
+        names = list(dict.fromkeys(r.query_id for r in rows))
+        place = {q: n for n, q in enumerate(names)}
+        query = np.array([place[r.query_id] for r in rows], dtype=np.int64)[order]
+        sent = spark.sparkContext.broadcast((pa.array(names, kinds[0][1]), number, np.searchsorted(term[order], np.arange(len(number) + 1)), query, idf, float(stats.average or 1.0)))
+        return docs.select(id_col, "terms", "length").mapInArrow(_score_batches(sent, id_col, k, digits, k1, b), f"query_id {kinds[0][0]}, {id_col} {kinds[1][0]}, score double")
+
+    for r in weighted.orderBy("query_id").toLocalIterator():
+        if r.query_id != last and seen == block:
+            out = scan(rows) if out is None else out.unionByName(scan(rows))
+            rows, seen = [], 0
+        seen += r.query_id != last
+        last = r.query_id
+        rows.append(r)
+    if rows or out is None:
+        out = scan(rows) if out is None else out.unionByName(scan(rows))
+    return out
 
 
 def valid_vector(vector: Column, width: int) -> Column:
@@ -81,42 +132,42 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, id_col: str, k: int = 10
     vectors: (id_col, v), queries: (query_id, v), all valid. Queries go out in blocks of ``block`` (a bounded broadcast each); each
     batch of vectors multiplies a block, keeps its k best per query, and one window merges them.
     """
-    rows = queries.orderBy("query_id").toLocalIterator()
-    parts, ids, held = [], [], []
-
     def scan(names: list, matrix: np.ndarray) -> DataFrame:
         sent = vectors.sparkSession.sparkContext.broadcast((names, matrix))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, matrix = sent.value
             for batch in batches:
-                own = np.array(batch.column(0).to_pylist(), dtype=object)
-                x = np.array(batch.column(1).to_pylist(), dtype=np.float64)
-                if not len(x):
+                own, lists = batch.column(0), batch.column(1)
+                if not len(own):
                     continue
+                x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 score = np.round(matrix @ x.T, 6)
                 keep = min(k, len(x))
                 edge = np.partition(score, len(x) - keep, axis=1)[:, len(x) - keep]
                 q, d = np.nonzero(score >= edge[:, None])  # ties at the edge stay for the merge
-                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in q.tolist()], pa.string()), pa.array(own[d].tolist(), pa.string()), pa.array(score[q, d])], names=["query_id", id_col, "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()).take(pa.array(q)), own.take(pa.array(d)), pa.array(score[q, d])], names=["query_id", id_col, "score"])
 
         return vectors.select(F.col(id_col).cast("string"), "v").mapInArrow(run, f"query_id string, {id_col} string, score double")
 
-    for row in rows:
-        ids.append(row.query_id)
-        held.append(row.v)
-        if len(ids) == block:
-            parts.append((ids, held))
-            ids, held = [], []
-    if ids or not parts:
-        parts.append((ids, held))
+    def blocks() -> Iterator[tuple[list, np.ndarray]]:
+        names, held = [], []
+        for row in queries.orderBy("query_id").toLocalIterator():
+            names.append(row.query_id)
+            held.append(row.v)
+            if len(names) == block:
+                yield names, np.array(held, dtype=np.float64)
+                names, held = [], []
+        if names:
+            yield names, np.array(held, dtype=np.float64)
+
     out = None
-    for names, vecs in parts:
-        matrix = np.array(vecs, dtype=np.float64)
-        matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True) if len(names) else matrix
-        one = scan(names, matrix) if len(names) else vectors.select(F.lit("").alias("query_id"), F.col(id_col).cast("string").alias(id_col), F.lit(0.0).alias("score")).limit(0)
+    for names, matrix in blocks():  # the driver holds one block
+        one = scan(names, matrix / np.linalg.norm(matrix, axis=1, keepdims=True))
         out = one if out is None else out.unionByName(one)
+    if out is None:
+        out = vectors.select(F.lit("").alias("query_id"), F.col(id_col).cast("string").alias(id_col), F.lit(0.0).alias("score")).limit(0)
     if floor is not None:
         out = out.filter(F.col("score") >= floor)
     return top_k(out, id_col, k).drop("rank")

@@ -90,9 +90,9 @@ def length_statistics(spark, d):
     return lengths.agg(F.count("*").alias("documents"), F.sum("length").alias("terms"), F.round(F.avg("length"), 6).alias("average"), F.count_if(F.col("length") == 0).alias("empty"))
 
 
-@register("SELECT id, list_concat([lower(t)], list_filter(p, lambda x: length(x) > 1)) AS pieces FROM (SELECT id, t, regexp_extract_all(lower(t), '[a-z]+|[0-9]+') AS p FROM (SELECT DISTINCT id, unnest(regexp_extract_all(key, '[A-Za-z0-9-]+')) AS t FROM product_spec)) WHERE len(p) >= 2")
+@register(f"SELECT id, list_concat([lower(t)], list_filter(p, lambda x: length(x) > 1)) AS pieces FROM (SELECT id, t, regexp_extract_all(lower(t), '{tx.PIECES}') AS p FROM (SELECT DISTINCT id, unnest(regexp_extract_all(key, '[A-Za-z0-9.+-]+')) AS t FROM product_spec)) WHERE len(p) >= 2")
 def model_pieces(spark, d):
-    t = table(spark, d, "product_spec").select("id", F.explode(F.regexp_extract_all("key", F.lit("[A-Za-z0-9-]+"), F.lit(0))).alias("t")).distinct()
+    t = table(spark, d, "product_spec").select("id", F.explode(F.regexp_extract_all("key", F.lit("[A-Za-z0-9.+-]+"), F.lit(0))).alias("t")).distinct()
     return t.select("id", tx.model_pieces(F.col("t")).alias("pieces")).filter(F.size("pieces") > 0)
 
 
@@ -217,11 +217,12 @@ def run_comparison(spark, d):
     return ev.compare_runs(*runs)
 
 
-@register("SELECT coalesce(cat, 'ALL') AS cat, CAST(count(*) AS BIGINT) AS items, CAST(min(coalesce(length(text), 0)) AS BIGINT) AS least, CAST(max(coalesce(length(text), 0)) AS BIGINT) AS most, round(avg(coalesce(length(text), 0)), 6) AS mean FROM (SELECT source AS cat, text FROM documents WHERE source IS NOT NULL) GROUP BY GROUPING SETS ((cat), ())")
+@register("SELECT CASE WHEN grouping(cat) = 1 THEN 'ALL' ELSE cat END AS cat, CAST(count(*) AS BIGINT) AS items, CAST(min(coalesce(length(text), 0)) AS BIGINT) AS least, CAST(max(coalesce(length(text), 0)) AS BIGINT) AS most, round(avg(coalesce(length(text), 0)), 6) AS mean FROM (SELECT source AS cat, text FROM documents) GROUP BY GROUPING SETS ((cat), ())")
 def category_summary(spark, d):
-    """Counts and sizes by source and over all, in one pass of grouping sets."""
-    docs = table(spark, d, "documents").filter("source IS NOT NULL").select(F.col("source").alias("cat"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n"))
-    return docs.rollup("cat").agg(F.count("*").alias("items"), F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.avg("n"), 6).alias("mean")).withColumn("cat", F.coalesce("cat", F.lit("ALL")))
+    """Counts and sizes by source (null is a group of its own) and over all documents, in one pass of grouping sets."""
+    docs = table(spark, d, "documents").select(F.col("source").alias("cat"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n"))
+    summed = docs.rollup("cat").agg(F.grouping("cat").alias("total"), F.count("*").alias("items"), F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.avg("n"), 6).alias("mean"))
+    return summed.withColumn("cat", F.when(F.col("total") == 1, "ALL").otherwise(F.col("cat"))).drop("total")
 
 
 @register("SELECT (doc_id % 2 = 1) AS odd, CAST(count(*) AS BIGINT) AS documents, CAST(count(text) AS BIGINT) AS texts FROM documents GROUP BY odd")
@@ -398,7 +399,7 @@ def content_hash_dedupe(spark, d):
 # ---- scalar functions ---------------------------------------------------------------------------------------------------------
 
 
-@register(f"WITH {_SOURCES} SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(title, '^(?:【[^】]*】\\s*)+', ''), '^[^|｜]{{1,6}}[|｜]\\s*', ''), '[*★☆\\s]+$', '')) AS clean FROM src")
+@register(f"WITH {_SOURCES}, t AS (SELECT id, regexp_replace(trim(title), '^(?:【[^】]*】|\\s)+', '') AS body FROM src) SELECT id, rtrim(CASE WHEN regexp_matches(body, '^[^|｜]{{0,20}}[|｜]') THEN regexp_replace(body, '^[^|｜]*[|｜]\\s*', '') ELSE body END, ' ' || chr(9) || chr(10) || chr(13) || '　⭐') AS clean FROM t")
 def title_clean(spark, d):
     return se.Corpus(spark, d).sources.select("id", tx.clean_title(F.col("title")).alias("clean"))
 
@@ -411,11 +412,17 @@ def url_identity(spark, d):
     return table(spark, d, "article").select("article_id", tx.url_identity(F.col("url")).alias("identity"), fetch)
 
 
-@register(f"WITH {_SPECS} SELECT gpu_name, CAST(count(*) AS BIGINT) AS rows FROM (SELECT trim(regexp_replace(regexp_replace(regexp_replace(upper(trim(gpu)), 'NVIDIA|GEFORCE|AMD|RADEON|INTEL', '', 'g'), '([A-Z])\\s*(\\d)', '\\1 \\2', 'g'), '\\s+', ' ', 'g')) AS gpu_name FROM spec) GROUP BY gpu_name")
+@register(f"WITH {_SPECS} SELECT CASE WHEN regexp_matches(c, '^[RG]TX[0-9]+(TI)?$') THEN regexp_replace(c, '^([RG]TX)([0-9]+)(?:TI)?$', '\\1 \\2') || CASE WHEN c LIKE '%TI' THEN 'Ti' ELSE '' END ELSE trim(regexp_replace(gpu, '\\s+', ' ', 'g')) END AS gpu_name, CAST(count(*) AS BIGINT) AS rows FROM (SELECT gpu, regexp_replace(upper(gpu), '\\s+', '', 'g') AS c FROM spec) GROUP BY gpu_name")
 def gpu_names(spark, d):
     return se.Corpus(spark, d).specs.groupBy(tx.gpu_name(F.col("gpu")).alias("gpu_name")).agg(F.count("*").alias("rows"))
 
 
+@register("SELECT article_id, CASE WHEN url IS NULL THEN 'capture:' || article_id WHEN regexp_matches(url, '^https?://mp[.][^/]+/s/[A-Za-z0-9_-]+([?#].*)?$') THEN 'mp:s:' || regexp_extract(url, '/s/([A-Za-z0-9_-]+)', 1) END AS identity FROM article")
+def article_identity(spark, d):
+    """Stable identities of the fetched links; permanent links with query keys are in the tests."""
+    return table(spark, d, "article").select("article_id", tx.article_identity(F.col("url"), F.col("article_id").cast("string"), r"^mp\.").alias("identity"))
+
+
 @register("SELECT article_id, CAST(CAST(fetched_at + INTERVAL 8 HOUR AS DATE) AS VARCHAR) AS fetched_on, CAST(try_strptime(date, '%Y-%m-%d') AS DATE) AS stated FROM article")
 def local_dates(spark, d):
     stated = F.when(F.col("date").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date("date", "yyyy-MM-dd"))

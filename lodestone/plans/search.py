@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestone.operators.retrieval import best_with_ties, bm25, cosine_topk, current, fuse, group_parents, scoped_contexts, top_k, valid_vector, with_terms
+from lodestone.operators.retrieval import bm25, cosine_topk, current, fuse, group_parents, scoped_contexts, top_k, valid_vector, with_terms
 from lodestone.sources.tables import materialize, table
 
 
@@ -45,12 +45,10 @@ def known_item_queries(corpus: Corpus, width: int = 64, vectors: bool = True) ->
 
 
 def keyword_route(corpus: Corpus, evidence: DataFrame, queries: DataFrame, config: SearchConfig) -> DataFrame:
-    terms = materialize(with_terms(queries.select("query_id", "text"), "query_id", F.col("text")).filter("length > 0").withColumn("q", F.monotonically_increasing_id()), "terms")
-    docs = materialize(with_terms(evidence, "id", F.col("body")).withColumn("n", F.monotonically_increasing_id()), "terms")  # texts are cut into terms once
-    scored = bm25(docs, terms.select(F.col("q").alias("query_id"), "terms"), "n").withColumn("score", F.round("score", 6))
-    best = best_with_ties(scored, config.candidates).withColumnRenamed("query_id", "q")  # numbers are cheap to group by; ids come back for the few best
-    named = best.join(docs.select("n", "id"), "n").join(terms.select("q", "query_id"), "q").select("query_id", "id", "score")
-    return top_k(named, "id", config.candidates)
+    """(query_id, id, score, rank) of the best passages by BM25 over their bodies: texts are cut into terms once, passages are not shuffled before the ranking."""
+    terms = with_terms(queries.select("query_id", "text"), "query_id", F.col("text")).filter("length > 0")
+    docs = materialize(with_terms(evidence, "id", F.col("body")), "terms")
+    return top_k(bm25(docs, terms, "id", k=config.candidates, digits=6), "id", config.candidates)
 
 
 def vector_route(evidence: DataFrame, queries: DataFrame, config: SearchConfig) -> DataFrame:

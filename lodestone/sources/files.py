@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from lodestone.operators.reconcile import broken_rules
+from lodestone.sources.tables import materialize
 
 _CHILD = "struct<key: string, body: string, locator: string, metadata: string, warnings: array<string>, retrieval_prefix: string>"
 _CONTEXT = f"struct<key: string, title: string, body: string, locator: string, metadata: string, warnings: array<string>, children: array<{_CHILD}>>"
@@ -91,10 +92,12 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     nodes = toc.select("uuid", F.nullif("parent_uuid", F.lit("")).alias("parent"), "title", "url", "doc_id")
     up = nodes.select(F.col("uuid").alias("parent"), F.col("parent").alias("next"), F.col("title").alias("above"))
     walk = nodes.select("uuid", "parent", "url", "doc_id", F.array().cast("array<string>").alias("collection_path"), F.array("uuid").alias("seen"))
-    while walk.filter("parent IS NOT NULL").limit(1).count():
+    walk = materialize(walk, "toc")
+    while not walk.filter("parent IS NOT NULL").isEmpty():
         step = walk.join(up, "parent", "left")
         again = F.array_contains("seen", F.col("parent"))
         walk = step.select("uuid", F.when(~F.coalesce(again, F.lit(False)), F.col("next")).alias("parent"), "url", "doc_id", F.when(F.col("above").isNotNull() & ~F.coalesce(again, F.lit(False)), F.concat(F.array("above"), F.col("collection_path"))).otherwise(F.col("collection_path")).alias("collection_path"), F.when(F.col("parent").isNotNull(), F.concat("seen", F.array("parent"))).otherwise(F.col("seen")).alias("seen"))
+        walk = materialize(walk, "toc")  # each round reads the one before, not all of them
     by_id = walk.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("collection_path").alias("p1"))
     by_slug = walk.filter("url IS NOT NULL").groupBy(F.col("url").alias("slug")).agg(F.min("collection_path").alias("p2"))
     bodies = read_raw(spark, path, "*.md").select(F.regexp_replace("name", r"\.md$", "").alias("slug"), "text")

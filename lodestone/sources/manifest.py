@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tomllib
 from dataclasses import dataclass, field
 
@@ -12,9 +13,12 @@ from lodestone.operators.reconcile import longest_prefix
 VISIBILITIES = ("public", "internal")
 
 
-def valid_component(name: str) -> bool:
-    """Whether a name can be one component of a path."""
-    return bool(name.strip()) and name not in (".", "..") and not set(name) & set("/\\\0")
+_FOLDER = re.compile(r"(?!\s*$)(?!\.{1,2}$)[^/\\\x00]+")
+
+
+def is_folder_name(name: str) -> bool:
+    """One component of a path: not blank, no separator, neither the folder itself nor the one above."""
+    return _FOLDER.fullmatch(name) is not None
 
 
 @dataclass(frozen=True)
@@ -28,7 +32,7 @@ class Manifest:
 
     def __post_init__(self):
         for name, visibility in self.collections.items():
-            if not valid_component(name) or visibility not in VISIBILITIES:
+            if not is_folder_name(name) or visibility not in VISIBILITIES:
                 raise ValueError(f"collections.{name}")
         if len({p for p, _ in self.path_rules}) < len(self.path_rules):
             raise ValueError("path_rules: a path occurs twice")
