@@ -1,10 +1,12 @@
 """Problem 3: the article of a web page, from a layout-aware rendering of the whole page.
 
-A tree builder with implied tags reads each page as a browser would; visibility rules drop what is not seen. The tree is cut into the
-visible text blocks in reading order, which render() writes out with block spacing, list marks and aligned table cells.
-The article is then the part of the rendering around the page's title: the block-level element that holds the heading which repeats the
-page title, without bylines, notices and calls. Notices are known by their wording, and by standing at the edge
-of different articles of different accounts: those counts cover the whole table.
+A tree builder with implied tags reads each page as a browser would; visibility rules (attributes, inline styles and the page's own style rules for
+classes and ids) drop what is not seen. The tree is laid out as the visible text blocks in reading order, which render() writes out with block
+spacing, list marks and aligned table cells.
+The article is then the part of that layout around the page's title: the block-level element that holds the heading which repeats the
+page title, without sections of links. No word list tells bylines and notices apart: they are known by what recurs over the whole table, a block's text, its
+label, its frame (label and ending) or its shape (words and numbers as such), in different articles of different accounts, and by the place
+where it recurs: at the head of articles, or behind their last block of their own.
 """
 
 from __future__ import annotations
@@ -28,32 +30,49 @@ _UNSEEN = frozenset("script style noscript template head iframe object svg math
 _RAW = frozenset("script style textarea title noscript iframe xmp".split())
 _CLOSES_P = _BLOCK - frozenset("html body tbody thead tfoot tr td th caption li dt dd".split())
 _BESIDE = frozenset("nav aside footer header form menu dialog".split())
+_KEPT = frozenset("td th li figcaption pre".split())
 _SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})} | {t: ({"tr", "td", "th", "tbody", "thead", "tfoot"}, {"table"}) for t in ("tbody", "thead", "tfoot")}
 
-_DEEPEST = 512
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _OPEN_COMMENT = re.compile(r"<!--.*\Z()()", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|opacity\s*:\s*0(?:\.0+)?\s*(?:;|$)|font-size\s*:\s*0(?:px|em|rem|pt|%)?\s*(?:;|$)|(?:^|;)\s*(?:height|width|max-height)\s*:\s*0(?:px)?\s*(?:;|$)|text-indent\s*:\s*-\d{3,}|(?:left|top)\s*:\s*-\d{3,}", re.I)
 
-# Wording of blocks that stand inside an article's element without being part of the article.
-_BYLINE = re.compile(r"(?:19|20)\d\d\s*[-/.年]\s*\d{1,2}\s*[-/.月]\s*\d{1,2}.{0,30}$|(?:阅读|浏览|views?|reads?)\s*[:：]?\s*\d+|^(?:作者|来源|编辑|责编|发布时间|时间|原创|by|posted)\s*[:： ]", re.I)
-_NOTICE = re.compile(
-    r"^(?:作者简介|关于作者|作者介绍|免责声明|声明|特别声明|版权声明|广告|推广|赞助|相关阅读|延伸阅读|推荐阅读|热门文章|猜你喜欢|上一篇|下一篇|返回顶部|阅读原文|转载请|来源|责任编辑)(?:[:： ]|$)"
-    r"|二维码|扫码|公众号|读者群|交流群|粉丝群|下方名片|点个赞|点赞|在看|一键三连|转发给|分享给|分享到|关注我们|关注本|记得关注|设为星标|客户端|订阅|投稿邮箱|商务合作|未经许可|未经授权|不得转载|版权所有|保留一切权利|备案|仅供参考|限时特惠|点击(?:了解|查看|购买|领取)"
-    r"|cookie|all rights reserved|copyright|©|subscribe|follow us|share this|about the author|disclaimer|advertisement|sponsored|sign up|newsletter|you may also like|related (?:posts|articles|reading)|download (?:the|our) app|scan the|join (?:the|our)|click (?:the|below)|read more|leave a comment",
-    re.I,
-)
-_COMMENTS = re.compile(r"^(?:精选留言|全部评论|网友留言|网友评论|最新评论|热门评论|留言|评论|评论区|comments?|\d+ comments?)\s*[（(]?\d*[)）]?$", re.I)
-_RELATED = re.compile(r"^(?:相关阅读|延伸阅读|推荐阅读|热门文章|猜你喜欢|相关文章|相关推荐|更多文章|往期精选|往期推荐|you may also like|related .*|more from.*|recommended.*|popular.*)$", re.I)
-
-
 @dataclass(slots=True, eq=False)  # a node is itself only: comparing by content would walk the tree
 class Node:
     tag: str
     parent: "Node | None" = None
     attrs: str = ""
     children: list = field(default_factory=list)
+    # Set by visible_blocks(): first and last number of the subtree, what it lies in, and its visible characters, all and in links, without headings.
+    first: int = 0
+    last: int = 0
+    lies: "Inside | None" = None
+    chars: int = 0
+    linked: int = 0
+    listed: bool = False
+
+
+@dataclass(slots=True, frozen=True)
+class Inside:
+    """What a block lies in, itself included: the innermost element of each kind, and how many lists and tables."""
+
+    beside: Node | None = None
+    kept: Node | None = None  # list item, cell, caption or code
+    pre: Node | None = None
+    item: Node | None = None
+    table: Node | None = None  # the outermost
+    row: Node | None = None
+    cell: Node | None = None
+    lists: int = 0
+    tables: int = 0
+
+    def at(self, node: Node) -> "Inside":
+        tag = node.tag
+        return Inside(
+            node if tag in _BESIDE else self.beside, node if tag in _KEPT else self.kept, node if tag == "pre" else self.pre, node if tag == "li" else self.item, self.table or (node if tag == "table" else None),
+            self.row or (node if tag == "tr" else None), self.cell or (node if tag in ("td", "th") else None), self.lists + (tag in ("ul", "ol")), self.tables + (tag == "table"),
+        )
 
 
 def build_tree(page: str) -> tuple[Node, str]:
@@ -117,48 +136,74 @@ def build_tree(page: str) -> tuple[Node, str]:
     return root, title
 
 
-def _hidden(node: Node) -> bool:
+_PRINTED = re.compile(r"@media[^{]*\bprint\b[^{]*\{(?:[^{}]*\{[^{}]*\})*[^{}]*\}", re.I)
+_RULES = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_SIMPLE = re.compile(r"[\w-]*([.#][\w-]+)")
+
+
+def style_rules(page: str) -> frozenset[str]:
+    """The .classes and #ids that the page's style elements hide."""
+    out: set[str] = set()
+    for sheet in re.findall(r"<style\b[^>]*>(.*?)</style\s*>", page, re.S | re.I) if "<style" in page.lower() else ():
+        for names, rules in _RULES.findall(_PRINTED.sub("", sheet)):
+            if _HIDING.search(rules):
+                out |= {m.group(1) for n in names.split(",") if (m := _SIMPLE.fullmatch(n.strip()))}
+    return frozenset(out)
+
+
+def _hidden(node: Node, rules: frozenset[str] = frozenset()) -> bool:
     if node.tag in _UNSEEN or node.tag == "title":
         return True
     if not node.attrs:
         return False
     for m in _ATTR.finditer(node.attrs):
         name, value = m.group(1).lower(), next((g for g in m.groups()[1:] if g is not None), "")
-        if name == "hidden" or name == "style" and _HIDING.search(value) or name == "aria-hidden" and value.lower() == "true" or name == "type" and value.lower() == "hidden":
+        if name == "hidden" or name == "style" and _HIDING.search(value) or name == "type" and value.lower() == "hidden":
+            return True
+        if rules and (name == "class" and any("." + c in rules for c in value.split()) or name == "id" and "#" + value in rules):
             return True
     return False
 
 
 @dataclass(slots=True)
 class Block:
-    """A visible text block: path from the root, innermost tag, text, share of it in links, whether all of it is bold."""
+    """A visible text block: its element, text, share of it in links, whether all of it is bold."""
 
-    path: tuple[Node, ...]
-    tag: str
+    node: Node
     text: str
     linked: float
     bold: bool
 
+    @property
+    def tag(self) -> str:
+        return self.node.tag
 
-def visible_blocks(root: Node) -> list[Block]:
-    """The visible text blocks in reading order. Text beside child blocks is a block of its own.
+    @property
+    def lies(self) -> Inside:
+        return self.node.lies
 
-    A path holds the block and its uppermost ancestors, at most _DEEPEST: tags never closed may nest by the ten thousand.
-    """
+
+def visible_blocks(root: Node, rules: frozenset[str] = frozenset()) -> list[Block]:
+    """The visible text blocks in reading order. Text beside child blocks is a block of its own. Nesting of any depth takes linear time."""
     out: list[Block] = []
     run: list[tuple[str, bool, bool]] = []
+    number = 0
 
-    def flush(path: tuple[Node, ...]) -> None:
+    def flush(node: Node) -> None:
         text = "".join(t for t, _, _ in run)
         size = len("".join(text.split()))
         if size:
-            linked = sum(len("".join(t.split())) for t, a, _ in run if a) / size
-            out.append(Block(path, path[-1].tag, text, linked, all(b or not t.strip() for t, _, b in run)))
+            linked = sum(len("".join(t.split())) for t, a, _ in run if a)
+            if not _is_heading(node.tag):
+                node.chars += size
+                node.linked += linked
+            out.append(Block(node, text, linked / size, all(b or not t.strip() for t, _, b in run)))
         run.clear()
 
-    stack = [(root, (root,), False, False, 0)]
+    root.lies = Inside().at(root)
+    stack = [(root, root, False, False, 0)]  # element, block that its text belongs to
     while stack:
-        node, path, linked, bold, k = stack.pop()
+        node, block, linked, bold, k = stack.pop()
         while k < len(node.children):
             child = node.children[k]
             k += 1
@@ -166,21 +211,38 @@ def visible_blocks(root: Node) -> list[Block]:
                 run.append((child, linked, bold))
             elif child.tag == "br":
                 run.append(("\n", linked, bold))
-            elif _hidden(child):
+            elif _hidden(child, rules):
                 continue
             elif child.tag in _BLOCK:
-                flush(path)
-                stack += [(node, path, linked, bold, k), (child, (*path[:_DEEPEST], child), linked, bold, 0)]
+                flush(block)
+                number += 1
+                child.first, child.lies = number, block.lies.at(child)
+                stack += [(node, block, linked, bold, k), (child, child, linked, bold, 0)]
                 break
             else:
-                stack += [(node, path, linked, bold, k), (child, path, linked or child.tag == "a", bold or child.tag in ("b", "strong"), 0)]
+                stack += [(node, block, linked, bold, k), (child, block, linked or child.tag == "a", bold or child.tag in ("b", "strong"), 0)]
                 break
         else:
-            if node.tag in _BLOCK:
-                flush(path)
+            if node is block:
+                flush(block)
+                block.last = number
+                if stack:
+                    above = stack[-1][1]
+                    above.chars += block.chars
+                    above.linked += block.linked
+                    above.listed |= block.listed or block.tag == "li"
     return out
 
 
+def _is_heading(tag: str) -> bool:
+    return len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
+
+
+def _holds(outer: Node, inner: Node | None) -> bool:
+    """Whether inner lies in outer, below it."""
+    return inner is not None and outer.first < inner.first <= outer.last
+
+
 def _squeezed(text: str) -> str:
     return "".join(c for c in text if not c.isspace())
 
@@ -191,19 +253,17 @@ def _width(text: str) -> int:
 
 def render(page: str) -> str:
     """All visible text of a page: blocks apart by blank lines, list items marked, table cells aligned."""
-    blocks = visible_blocks(build_tree(page)[0])
+    blocks = visible_blocks(build_tree(page)[0], style_rules(page))
     out: list[str] = []
     counters: dict[int, int] = {}
     k = 0
     while k < len(blocks):
         b = blocks[k]
-        table = next((n for n in b.path if n.tag == "table"), None)
-        if table is not None and b.tag in ("td", "th") and sum(n.tag == "table" for n in b.path) == 1:
+        table = b.lies.table
+        if table is not None and b.tag in ("td", "th") and b.lies.tables == 1:
             rows: dict[int, dict[int, str]] = {}
-            while k < len(blocks) and table in blocks[k].path:
-                own = blocks[k].path
-                row = next((id(n) for n in own if n.tag == "tr"), 0)
-                cell = next((id(n) for n in own if n.tag in ("td", "th")), 0)
+            while k < len(blocks) and blocks[k].lies.table is table:
+                row, cell = id(blocks[k].lies.row), id(blocks[k].lies.cell)
                 cells = rows.setdefault(row, {})
                 cells[cell] = (cells.get(cell, "") + " " + " ".join(blocks[k].text.split())).strip()
                 k += 1
@@ -211,16 +271,16 @@ def render(page: str) -> str:
             wide = [max(_width(r[c]) for r in grid if c < len(r)) for c in range(max(map(len, grid)))]
             out.append("\n".join("  ".join(t + " " * (wide[c] - _width(t)) for c, t in enumerate(r)).rstrip() for r in grid))
             continue
-        text = b.text.strip("\n") if any(n.tag == "pre" for n in b.path) else "\n".join(" ".join(line.split()) for line in b.text.strip().split("\n"))
-        item = next((n for n in reversed(b.path) if n.tag == "li"), None)
+        text = b.text.strip("\n") if b.lies.pre is not None else "\n".join(" ".join(line.split()) for line in b.text.strip().split("\n"))
+        item = b.lies.item
         if item is not None:
-            depth = sum(n.tag in ("ul", "ol") for n in b.path)
+            depth = b.lies.lists
             mark = "- "
             if item.parent is not None and item.parent.tag == "ol":
                 counters[id(item.parent)] = counters.get(id(item.parent), 0) + 1
                 mark = f"{counters[id(item.parent)]}. "
             text = "  " * max(depth - 1, 0) + mark + text
-            if out and out[-1].lstrip().startswith(("- ", *(f"{d}" for d in range(10)))) and k and any(n.tag == "li" for n in blocks[k - 1].path):
+            if out and out[-1].lstrip().startswith(("- ", *(f"{d}" for d in range(10)))) and k and blocks[k - 1].lies.item is not None:
                 out[-1] += "\n" + text
                 k += 1
                 continue
@@ -234,69 +294,87 @@ def _key(text: str) -> str:
 
 
 def article_blocks(page: str) -> list[tuple[str, str, bool]]:
-    """(text, tag, may_be_notice) of the blocks of a page's article; may_be_notice: running text whose frequency decides.
+    """(text, tag, may_be_notice) of the blocks of a page's article; may_be_notice: running text whose frequency over the table decides.
 
-    The article is the block-level element around the heading that repeats the page title (else around the first h1, else the first h2);
-    pages without such a heading have no article.
+    The article is the block-level element around the heading that repeats the page title (else around the first h1, else the first heading of any level);
+    pages without a heading have no article, nor have those with nothing but it. Left out: what lies in nav, aside, footer, header, form or menu
+    elements, sections of which all but the headings are links, and running text that is one link.
     """
     root, title = build_tree(page)
-    blocks = visible_blocks(root)
+    blocks = visible_blocks(root, style_rules(page))
     wanted = _key(title)
-    heads = [b for b in blocks if b.tag in ("h1", "h2", "h3") and not any(n.tag in _BESIDE for n in b.path)]
-    same = [b for b in heads if wanted and len(k := _key(b.text)) >= 4 and (wanted.startswith(k) or k in wanted)]
-    head = next(iter(same or [b for b in heads if b.tag == "h1"] or []), None)
+    heads = [b for b in blocks if _is_heading(b.tag) and b.lies.beside is None or b.tag in ("h1", "h2", "h3") and b.lies.beside is not None and b.lies.beside.tag == "header"]
+    upper = [b for b in heads if b.tag in ("h1", "h2", "h3")]
+    repeats = lambda b: len(k := _key(b.text)) >= 4 and (wanted.startswith(k) or k in wanted)
+    same = [b for b in upper if wanted and repeats(b)] or [b for b in heads if wanted and repeats(b)]
+    head = next(iter(same or [b for b in heads if b.tag == "h1"]), None)
     if head is None:
         return []
-    path = head.path[:-1]
-    while len(path) > 1 and path[-1].tag in ("header", "hgroup"):
-        path = path[:-1]
-    holder, depth = path[-1], len(path)
-    inside = [b for b in blocks if len(b.path) >= depth and b.path[depth - 1] is holder]
+    holder = head.node.parent
+    while holder.parent is not None and (holder.tag in ("header", "hgroup") or holder.tag not in _BLOCK):
+        holder = holder.parent
+    links: dict[int, bool] = {id(holder): False}  # whether a section of links lies at or above an element
+
+    def of_links(node: Node) -> bool:
+        chain = []
+        while id(node) not in links:
+            chain.append(node)
+            node = node.parent
+        known = links[id(node)]
+        for node in reversed(chain):
+            known = links[id(node)] = known or node.tag in _BLOCK and node.listed and node.linked >= 0.98 * node.chars > 0
+        return known
+
     out: list[tuple[str, str, bool]] = []
-    skipped: set[int] = set()
     started = False
-    for at, b in enumerate(inside):
+    for b in blocks:
         if b is head:
             started = True
             out.append((b.text, b.tag, False))
-            continue
-        below = b.path[depth:]
-        text = " ".join(b.text.split())
-        if any(n.tag in _BESIDE or id(n) in skipped for n in below) or not started:
-            continue
-        if (_COMMENTS.match(text) or _RELATED.match(text)) and len(text) < 40:  # with everything in the element they head
-            if below[:-1]:
-                skipped.add(id(below[-2]))
-            continue
-        code = any(n.tag == "pre" for n in below)
-        cell = any(n.tag in ("td", "th", "li", "figcaption", "pre") for n in below) or b.tag[0] == "h" and b.tag[1:].isdigit()
-        if len(out) == 1 and len(text) < 80 and _BYLINE.search(text):
-            continue
-        if not code and _NOTICE.search(text) and len(text) < 200 and not cell:
-            continue
-        if b.linked > 0.6 and not cell:
-            continue
-        out.append((b.text, b.tag, not (cell or b.bold)))
+        elif started and (b.node is holder or _holds(holder, b.node)) and not _holds(holder, b.lies.beside):
+            kept = _holds(holder, b.lies.kept) or _is_heading(b.tag)
+            if not (of_links(b.node) or b.linked > 0.999 and not kept):
+                out.append((b.text, b.tag, not (kept or b.bold)))
     return out if len(out) > 1 else []
 
 
+_NUMBER, _LETTERS = re.compile(r"\d+(?:[.,]\d+)*"), re.compile(r"[^\W\d_]+")
+_LABEL, _ENDING = re.compile(r"\s*([^：:·|｜\n]{1,12}?)\s*[：:·|｜]"), re.compile(r"[^，,；;。.！!？?：:·|｜\s]+\W*$")
+
+
+def marks(text: str) -> list[str]:
+    """What may recur of a block whose text does not: its label, its frame (label and ending), and the shape of a short text with several numbers in it."""
+    out = []
+    if m := _LABEL.match(text):
+        label = _squeezed(m.group(1))
+        out.append("label " + label)
+        if end := _ENDING.search(text, m.end()):
+            out.append(f"frame {label} {_squeezed(end.group())}")
+    if len(text) < 60:
+        shape = " ".join(_LETTERS.sub("W", _NUMBER.sub("9", unicodedata.normalize("NFKC", text))).split())
+        if shape.count("9") >= 2:
+            out.append("shape " + shape)
+    return out
+
+
 def block_md5(text: str) -> str:
     return hashlib.md5(_squeezed(text).encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def main_blocks(df: DataFrame, id_col: str = "article_id", html_col: str = "html", group_col: str = "account", notice_groups: int = 3, notice_share: float = 0.05, edge_share: float = 0.8) -> DataFrame:
+def main_blocks(df: DataFrame, id_col: str = "article_id", html_col: str = "html", group_col: str = "account", notice_groups: int = 3, notice_share: float = 0.05, edge_share: float = 0.5, shape_share: float = 0.8) -> DataFrame:
     """(id_col, block_md5, block_text, position) of the text blocks of each page's article.
 
-    Running text (no heading, list item, cell, caption or code) is a notice and left out if it stands in articles of ``notice_groups`` or more groups and
-    of ``notice_share`` or more of all groups, at the edge of the article (the first or last two blocks but the heading) in ``edge_share`` or more of the places. Articles of
-    one heading, or of the same two middle blocks, are one article fetched or posted again: the block must stand in ``notice_groups`` different ones.
+    Running text (no heading, list item, cell, caption or code) is a byline or notice and left out if its text, or one of its marks(), stands in articles of
+    ``notice_groups`` or more groups and of ``notice_share`` or more of all groups, in ``edge_share`` or more (a shape: ``shape_share``) of the places at an article's edge: among its first
+    three blocks, or behind the last block that does not recur so itself. A frame needs no edge. Articles of one heading, or of the same two middle
+    blocks, are one article fetched or posted again: a block must stand in ``notice_groups`` different ones.
     Null and empty pages, and pages without an article, give no rows; a null group has no vote. Repeated rows give
-    repeated rows. Other columns are not read.
+    repeated rows. Other columns are not read. Texts are written once and joined to nothing: what is counted are checksums of texts and marks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, md5, text, position, free, title, heart, edge = [], [], [], [], [], [], [], []
+            row, md5, text, position, mark, title, heart = [], [], [], [], [], [], []
             for k, page in enumerate(batch.column(2).to_pylist()):
                 article = article_blocks(page)
                 keys = [block_md5(t) for t, _, _ in article]
@@ -305,20 +383,28 @@ def main_blocks(df: DataFrame, id_col: str = "article_id", html_col: str = "html
                     md5.append(keys[p])
                     title.append(keys[0])
                     heart.append(" ".join(keys[(len(keys) - 1) // 2 :][:2]))
-                    edge.append(p <= 2 or p >= len(keys) - 2)
                     text.append(t)
                     position.append(p)
-                    free.append(may)
+                    mark.append(["text " + keys[p], *marks(t)] if may else [])
             take = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(md5, pa.string()), pa.array(text, pa.string()), pa.array(position, pa.int32()), pa.array(free, pa.bool_()), pa.array(title, pa.string()), pa.array(heart, pa.string()), pa.array(edge, pa.bool_())], names=["id", "grp", "block_md5", "block_text", "position", "free", "title", "heart", "edge"])
+            columns = [batch.column(0).take(take), batch.column(1).take(take), batch.column(3).take(take), pa.array(md5, pa.string()), pa.array(text, pa.string()), pa.array(position, pa.int32()), pa.array(mark, pa.list_(pa.string())), pa.array(title, pa.string()), pa.array(heart, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "grp", "page", "block_md5", "block_text", "position", "marks", "title", "heart"])
 
-    rows = df.select(F.col(id_col).alias("id"), F.col(group_col).cast("string").alias("grp"), F.col(html_col).alias("html")).filter("html IS NOT NULL AND html <> ''")
-    blocks = materialize(rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, grp string, block_md5 string, block_text string, position int, free boolean, title string, heart string, edge boolean"), "pages")
+    rows = df.select(F.col(id_col).alias("id"), F.col(group_col).cast("string").alias("grp"), F.col(html_col).alias("html"), F.xxhash64(F.col(id_col).cast("string"), F.col(group_col).cast("string"), F.col(html_col)).alias("page")).filter("html IS NOT NULL AND html <> ''")
+    fields = f"id {rows.schema['id'].dataType.simpleString()}, grp string, page long, block_md5 string, block_text string, position int, marks array<string>, title string, heart string"
+    blocks = materialize(rows.mapInArrow(run, fields), "pages")
     groups = blocks.agg(F.count_distinct("grp").alias("groups"))
-    seen = blocks.filter("free").groupBy("block_md5").agg(F.count_distinct("grp").alias("n"), F.count_distinct("title").alias("titles"), F.count_distinct("heart").alias("hearts"), F.avg(F.col("edge").cast("int")).alias("edges"))
-    many = (F.least("n", "titles", "hearts") >= notice_groups) & (F.col("edges") >= edge_share)
-    notices = seen.filter(many).join(F.broadcast(groups), F.col("n") >= notice_share * F.col("groups")).select("block_md5", F.lit(True).alias("free"))
-    kept = blocks.join(notices, ["block_md5", "free"], "left_anti")
+    places = blocks.filter("size(marks) > 0").select("page", "position", "grp", "title", "heart", F.explode("marks").alias("mark")).distinct()
+    seen = places.groupBy("mark").agg(F.count_distinct("grp").alias("g"), F.count_distinct("title").alias("titles"), F.count_distinct("heart").alias("hearts"))
+    recurring = seen.filter(F.least("g", "titles", "hearts") >= notice_groups).join(F.broadcast(groups), F.col("g") >= notice_share * F.col("groups")).select("mark")
+    found = places.join(recurring, "mark").select("mark", "page", "position")
+    # The last block of each page that is its own: neither its text nor its label or frame recurs.
+    strong = found.filter("mark NOT LIKE 'shape %'").select("page", "position").distinct().withColumn("known", F.lit(True))
+    own = blocks.select("page", "position").distinct().join(strong, ["page", "position"], "left").filter("known IS NULL").groupBy("page").agg(F.max("position").alias("own"))
+    edged = found.join(own, "page").withColumn("edge", (F.col("position") <= 2) | (F.col("position") > F.col("own")))
+    notices = edged.groupBy("mark").agg(F.avg(F.col("edge").cast("int")).alias("edges")).filter(F.col("mark").startswith("frame ") | (F.col("edges") >= F.when(F.col("mark").startswith("shape "), shape_share).otherwise(edge_share))).select("mark")
+    dropped = found.join(notices, "mark", "left_semi").select("page", "position").distinct()
+    kept = blocks.join(dropped, ["page", "position"], "left_anti")
     return kept.select(F.col("id").alias(id_col), "block_md5", "block_text", "position")
 
 

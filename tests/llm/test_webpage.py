@@ -13,7 +13,28 @@ y = 2</pre><p style="display: none">secret</p><div hidden>also</div>
 
 
 def test_article_blocks():
-    assert [" ".join(t.split()) for t, _, _ in wp.article_blocks(PAGE)] == ["Fan test of the year", "First para graph goes on.".replace("para graph", "paragraph"), "Open second", "one", "two", "a", "b", "long cell", "2", "x = 1 y = 2"]
+    assert [" ".join(t.split()) for t, _, _ in wp.article_blocks(PAGE)] == ["Fan test of the year", "Ann · 2024-01-02 · 阅读 5", "First paragraph goes on.", "Open second", "one", "two", "a", "b", "long cell", "2", "x = 1 y = 2", "扫码下载客户端"]
+
+
+def test_body_text_of_any_wording_stays():
+    body = ["This laptop manages cookies well and keeps you signed in.", "我订阅了三年的云服务，续航测试中客户端占用很高。", "To subscribe to a data plan you need a SIM tray.", "<a href=x>A long linked phrase of this very paragraph</a> goes on.", "<span aria-hidden=true>seen</span> by all"]
+    page = "<title>Any title at all</title><style>.hid, p.gone{display:none} @media print{.menu{display:none}} #x1{visibility:hidden}</style><div><h4>Any title at all</h4>" + "".join(f"<p>{t}</p>" for t in body) + "<p class='a hid'>no</p><p class=gone>no</p><p id=x1>no</p><p class=menu>menu</p><p><a href=y>Only a link</a></p></div>"
+    got = [t for t, _, _ in wp.article_blocks(page)]
+    assert got == ["Any title at all", body[0], body[1], body[2], "A long linked phrase of this very paragraph goes on.", "seen by all", "menu"]
+    assert "no" not in wp.render(page).split() and "menu" in wp.render(page)
+
+
+def test_bylines_and_notices_are_known_by_what_recurs(spark):
+    rows, want = [], set()
+    for k in range(12):
+        names = ["Ann", "Bo", "Cy", "Di"]
+        head, own = f"Title of number {k}", [f"Paragraph {c} of story {k} with {c}{k} words." for c in "abcde"]
+        extra = [f"{names[k % 4]} · 2024-0{k % 9 + 1}-12 · read {k * 7}"], [f"About: writer number {'xyzuvw'[k % 6]} likes {names[k % 4]}"], ["Follow this house"], [f"Ad · {names[k % 3]} sells {'abcdefghijkl'[k]}, click here"]
+        parts = [*extra[0], *own[:3], *extra[3], *own[3:], *(extra[1] if k % 2 else []), *(extra[2] if k % 3 else [])]
+        rows.append((k, f"acct{k % 6}", f"<title>{head}</title><div><h1>{head}</h1>" + "".join(f"<p>{t}</p>" for t in parts) + "</div>"))
+        want |= {(k, t) for t in [head, *own]}
+    got = {(r.article_id, r.block_text) for r in wp.main_blocks(spark.createDataFrame(rows, "article_id long, account string, html string")).collect()}
+    assert got == want
 
 
 def test_rendering():
