@@ -14,11 +14,13 @@ import json
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -199,6 +201,13 @@ class BacktrackingBpe:
         return b"".join(whole[offsets[i] : offsets[i + 1]] for i in ids).decode("utf-8", "replace")
 
 
+def _shipped(df: DataFrame, path: str):
+    """Sends the tokenizer file to every executor; returns what finds it there."""
+    df.sparkSession.sparkContext.addFile(path)
+    name = Path(path).name
+    return lambda: encoder(SparkFiles.get(name))
+
+
 @lru_cache(4)
 def encoder(path: str) -> BacktrackingBpe:
     """One encoder per worker and file."""
@@ -209,11 +218,13 @@ def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id_col, ids) of every row of ``df``.
 
     Null and empty texts have the empty list of ids, never null. Strings of special tokens are ordinary text.
-    Rows are neither dropped nor merged: a repeated row comes out repeated. Other columns are not read.
+    Rows are neither dropped nor merged: a repeated row comes out repeated. Other columns are not read. The tokenizer file is read on the driver's side
+    only and sent to the executors.
     """
+    local = _shipped(df, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode = local().encode
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
@@ -231,9 +242,10 @@ def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def decode_corpus(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str = TOKENIZER) -> DataFrame:
     """(id_col, text) of every row: the inverse of encode_corpus, but for null texts, which come back empty; null ids give null."""
+    local = _shipped(df, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = encoder(path).decode
+        decode = local().decode
         for batch in batches:
             texts = [None if ids is None else decode(ids) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])

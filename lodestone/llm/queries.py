@@ -7,10 +7,10 @@ import secrets
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestone.llm.bpe import encode_corpus
+from lodestone.llm.bpe import decode_corpus, encode_corpus
 from lodestone.llm.leakage import leaked, without_leaks
 from lodestone.llm.lookalike import bigram_counts, fields, normalized
-from lodestone.llm.neardup import NearDupConfig, duplicate_pairs, near_duplicates
+from lodestone.llm.neardup import NearDupConfig, duplicate_pairs, duplicate_summary, near_duplicates
 from lodestone.llm.pii import pii_mentions, redacted
 from lodestone.llm.split import split_items, with_limits
 from lodestone.llm.vectors import VectorConfig, nearest_vectors
@@ -29,6 +29,14 @@ def p1_found(spark: SparkSession, directory: str) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
+def p1_classes(spark: SparkSession, directory: str) -> DataFrame:
+    """One row per record: its class of equal texts, the copies in it and its links to other texts; no class is expanded into pairs."""
+    out = []
+    for kind, name, column, config in (("context", "context_unit", "body", BODIES), ("source", "knowledge_source", "title", TITLES)):
+        out.append(duplicate_summary(*near_duplicates(table(spark, directory, name), "id", column, config)).select(F.lit(kind).alias("record_kind"), "id", "class_id", "copies", "links"))
+    return out[0].unionByName(out[1])
+
+
 def p2_found(spark: SparkSession, directory: str) -> DataFrame:
     near = nearest_vectors(table(spark, directory, "evidence_unit"), "id", "embedding", VectorConfig(k=10, floor=0.9))
     return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
@@ -73,6 +81,11 @@ def p6_ids(spark: SparkSession, directory: str) -> DataFrame:
     return encode_corpus(table(spark, directory, "documents"))
 
 
+def p6_decoded(spark: SparkSession, directory: str) -> DataFrame:
+    """The texts of the documents back from their ids; null texts come back empty."""
+    return decode_corpus(encode_corpus(table(spark, directory, "documents")))
+
+
 def p7_found(spark: SparkSession, directory: str) -> DataFrame:
     return leaked(table(spark, directory, "documents"), table(spark, directory, "eval_item")).select("doc_id", "item_id")
 
@@ -97,7 +110,7 @@ def p8_redacted(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (p1_found, p2_found, p2_neighbours, p3_found, p3_rendered, p4_found, p4_pieces, p5_found, p5_normalized, p6_ids, p7_found, p7_clean, p8_found, p8_redacted)
+    found = (p1_found, p1_classes, p2_found, p2_neighbours, p3_found, p3_rendered, p4_found, p4_pieces, p5_found, p5_normalized, p6_ids, p6_decoded, p7_found, p7_clean, p8_found, p8_redacted)
     return {f.__name__: f for f in found}
 
 
@@ -108,6 +121,7 @@ def oracle_sql() -> dict[str, str]:
     """SQL with the same result, where there is any. p2_found compares with exact search: its lists lose nothing on the small tables."""
     valid = "len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND NOT isnan(x) AND NOT isinf(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))"
     return {
+        "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
         "p4_found": f"WITH {_LATEST} SELECT 'context' AS record_kind, id AS record_id FROM lim WHERE length(body) > target UNION SELECT 'evidence', e.id FROM evidence_unit e JOIN lim ON lim.id = e.context_id WHERE length(e.body) > target",
         "p2_found": f"""WITH v AS (SELECT DISTINCT ON (id) id, embedding AS e FROM evidence_unit WHERE {valid} ORDER BY id), s AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.id <> b.id),
 t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY c DESC, b) <= 10) SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM t WHERE c >= 0.9""",
