@@ -31,6 +31,7 @@ _RAW = frozenset("script style textarea title noscript iframe xmp".split())
 _CLOSES_P = _BLOCK - frozenset("html body tbody thead tfoot tr td th caption li dt dd".split())
 _BESIDE = frozenset("nav aside footer header form menu dialog".split())
 _KEPT = frozenset("td th li figcaption pre".split())
+_MARKED = _BESIDE | _KEPT | frozenset("table tr ul ol".split())
 _SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})} | {t: ({"tr", "td", "th", "tbody", "thead", "tfoot"}, {"table"}) for t in ("tbody", "thead", "tfoot")}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
@@ -69,6 +70,8 @@ class Inside:
 
     def at(self, node: Node) -> "Inside":
         tag = node.tag
+        if tag not in _MARKED:
+            return self
         return Inside(
             node if tag in _BESIDE else self.beside, node if tag in _KEPT else self.kept, node if tag == "pre" else self.pre, node if tag == "li" else self.item, self.table or (node if tag == "table" else None),
             self.row or (node if tag == "tr" else None), self.cell or (node if tag in ("td", "th") else None), self.lists + (tag in ("ul", "ol")), self.tables + (tag == "table"),
