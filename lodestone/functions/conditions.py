@@ -52,3 +52,9 @@ def unknown_counts(df: DataFrame, conditions: dict[str, tuple[str, Column]]) ->
     unknown = F.array_distinct(F.array_compact(F.array(*(F.when(c.isNull(), F.lit(field)) for field, c in conditions.values()))))
     none_false = reduce(lambda a, b: a & b, [F.coalesce(c, F.lit(True)) for _, c in conditions.values()])
     return df.filter(none_false).select(unknown.alias("u")).filter(F.size("u") == 1).select(F.col("u")[0].alias("field")).groupBy("field").agg(F.count("*").alias("rows"))
+
+
+def grade(tests: list[Column]) -> tuple[Column, Column]:
+    """(how many tests hold, grade): unknown is false; 2 if all hold, 1 if exactly one of several fails, else 0."""
+    passed = reduce(Column.__add__, [F.coalesce(t, F.lit(False)).cast("int") for t in tests])
+    return passed, F.when(passed == len(tests), 2).when((passed == len(tests) - 1) & F.lit(len(tests) > 1), 1).otherwise(0)

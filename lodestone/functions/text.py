@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
 # What a search term is (words of letters and digits, joined by signs that occur inside model names, with the signs that may end them;
@@ -35,6 +38,43 @@ def search_terms(text: Column, stop: tuple[str, ...] = STOP_WORDS) -> Column:
     return F.flatten(F.transform(tokens(text, stop), lambda t: F.when(F.size(model_pieces(t)) > 0, model_pieces(t)).otherwise(F.array(t))))
 
 
+def expand_synonyms(text: Column, groups: Sequence[Sequence[str]]) -> Column:
+    """The text, and after it the absent members of every group of which it has a member."""
+    low, added = F.lower(text), []
+    for group in groups:
+        has = [F.contains(low, F.lit(p)) for p in group]
+        hit = reduce(Column.__or__, has)
+        added += [F.when(hit & ~h, F.lit(p)) for p, h in zip(group, has)]
+    return F.concat_ws(" ", text, *added)
+
+
+def parse_synonyms(lines: str) -> tuple[tuple[str, ...], ...]:
+    """Groups of a synonym file: phrases apart by commas, one group a line, # begins a comment; phrases of one character and groups of one phrase are refused."""
+    out = []
+    for number, line in enumerate(lines.splitlines(), 1):
+        phrases = tuple(p.strip().lower() for p in line.split("#")[0].replace("，", ",").split(",") if p.strip())
+        if phrases and (len(phrases) < 2 or min(map(len, phrases)) < 2):
+            raise ValueError(f"line {number}: a group needs two phrases of two characters")
+        if phrases:
+            out.append(phrases)
+    return tuple(out)
+
+
+IMAGE = r"!\[([^\]\n]*)\]\([^)\n]*\)"
+LINK = r"\[([^\]\n]*)\]\([^)\n]*\)"
+MARKUP = r"</?(?:font|span|a|u|center)\b[^>\n]*>"
+
+
+def image_placeholders(text: Column, unnamed: str = "image without description") -> Column:
+    """Markdown images as [image: description], or [unnamed]."""
+    return F.regexp_replace(F.regexp_replace(text, r"!\[\s*\]\([^)\n]*\)", f"[{unnamed}]"), IMAGE, "[image: $1]")
+
+
+def plain_links(text: Column) -> Column:
+    """Markdown links as their text, anchors and style tags gone; images stay."""
+    return F.regexp_replace(F.regexp_replace(text, "(?<!!)" + LINK, "$1"), MARKUP, "")
+
+
 def stable_key(source_type: Column, locator: Column, context_key: Column, evidence_key: Column) -> Column:
     """type:locator#context#evidence; null if any part is."""
     return F.concat(source_type, F.lit(":"), locator, F.lit("#"), context_key, F.lit("#"), evidence_key)

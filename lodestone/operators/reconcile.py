@@ -90,3 +90,31 @@ def orphans(child: DataFrame, column: str, parent: DataFrame) -> DataFrame:
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+def visible_links(specs: DataFrame, contexts: DataFrame, sources: DataFrame, visibilities: tuple[str, ...]) -> DataFrame:
+    """(spec_id, key, context_id, source_title) of the specs whose review is visible."""
+    seen = sources.filter(F.col("visibility").isin(*visibilities)).select(F.col("id").alias("source_id"), F.col("title").alias("source_title"))
+    reviews = contexts.select(F.col("id").alias("context_id"), "source_id").join(seen, "source_id")
+    return specs.select(F.col("id").alias("spec_id"), "key", F.col("review_context_id").alias("context_id")).join(reviews, "context_id").select("spec_id", "key", "context_id", "source_title")
+
+
+def link_by_title(df: DataFrame, id_col: str, name_col: str, targets: DataFrame, target_id: str, title_col: str) -> DataFrame:
+    """(id_col, reviews, context_id, status): rows by the targets whose title is their name, white space apart: unlinked, linked or failed (several)."""
+    plain = lambda c: F.regexp_replace(c, r"\s+", "")
+    titled = targets.select(F.col(target_id).alias("target"), plain(title_col).alias("name")).groupBy("name").agg(F.count_distinct("target").alias("reviews"), F.min("target").alias("one"))
+    j = df.select(id_col, plain(name_col).alias("name")).join(titled, "name", "left").withColumn("reviews", F.coalesce("reviews", F.lit(0)))
+    status = F.when(F.col("reviews") == 0, "unlinked").when(F.col("reviews") == 1, "linked").otherwise("failed")
+    return j.select(id_col, "reviews", F.when(F.col("reviews") == 1, F.col("one")).alias("context_id"), status.alias("status"))
+
+
+def all_or_nothing(df: DataFrame, group_col: str, failed: Column) -> DataFrame:
+    """(group_col, rows, failed, imported): a group with any failed row imports none."""
+    counted = df.groupBy(group_col).agg(F.count("*").alias("rows"), F.count_if(failed).alias("failed"))
+    return counted.withColumn("imported", F.when(F.col("failed") > 0, F.lit(0)).otherwise(F.col("rows")).cast("long"))
+
+
+def unchanged(incoming: DataFrame, stored: DataFrame, contexts: DataFrame, key: list[str]) -> DataFrame:
+    """Incoming rows that agree with a stored one in all columns of ``key`` and whose stored row has contexts."""
+    filled = stored.join(contexts.select(F.col("source_id").alias("id")), "id", "left_semi").select(*key)
+    return incoming.join(filled.distinct(), key, "left_semi")

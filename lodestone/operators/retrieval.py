@@ -20,6 +20,11 @@ def current(df: DataFrame, key: str = "id", order: str = "updated_at") -> DataFr
     return latest.select(key, *(F.col("row")[c].alias(c) for c in rest))
 
 
+def visible_to(read_internal: bool) -> tuple[str, ...]:
+    """The visibilities that a reader sees."""
+    return ("public", "internal") if read_internal else ("public",)
+
+
 def scoped_contexts(contexts: DataFrame, sources: DataFrame, visibilities: Sequence[str], space: str | None = None, source_ids: DataFrame | None = None) -> DataFrame:
     """Contexts of visible sources. None means no restriction; an empty frame of ids leaves nothing."""
     seen = sources.filter(F.col("visibility").isin(*visibilities)) if visibilities else sources.limit(0)
@@ -186,14 +191,32 @@ def best_with_ties(scored: DataFrame, k: int) -> DataFrame:
 
 
 def fuse(routes: dict[str, DataFrame], id_col: str, k: int = 20, weights: dict[str, float] | None = None) -> DataFrame:
-    """(query_id, id_col, score, routes): reciprocal rank fusion over each route's best rank; routes: (query_id, id_col, rank, score)."""
+    """(query_id, id_col, score, ranks, route_scores): reciprocal rank fusion over each route's best rank, whose score is kept; routes: (query_id, id_col, rank, score)."""
     weights = weights or {}
     stacked = None
     for name, df in routes.items():
-        one = df.select("query_id", id_col, "rank", F.lit(name).alias("route"), F.lit(float(weights.get(name, 1.0))).alias("w"))
+        one = df.select("query_id", id_col, "rank", F.col("score").alias("route_score"), F.lit(name).alias("route"), F.lit(float(weights.get(name, 1.0))).alias("w"))
         stacked = one if stacked is None else stacked.unionByName(one)
-    best = stacked.groupBy("query_id", id_col, "route").agg(F.min("rank").alias("rank"), F.first("w").alias("w"))
-    return best.groupBy("query_id", id_col).agg(F.round(F.sum(F.col("w") / (k + F.col("rank"))), 8).alias("score"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("route", "rank")))).alias("ranks"))
+    best = stacked.groupBy("query_id", id_col, "route").agg(F.min(F.struct("rank", F.negative("route_score").alias("less"))).alias("b"), F.first("w").alias("w"))
+    best = best.select("query_id", id_col, "route", "w", "b.rank", F.negative("b.less").alias("route_score"))
+    entries = lambda value: F.map_from_entries(F.sort_array(F.collect_list(F.struct("route", value))))
+    return best.groupBy("query_id", id_col).agg(F.round(F.sum(F.col("w") / (k + F.col("rank"))), 8).alias("score"), entries("rank").alias("ranks"), entries("route_score").alias("route_scores"))
+
+
+def group_matches(fused: DataFrame, children: DataFrame, id_col: str, parent_col: str, k: int) -> DataFrame:
+    """(query_id, parent_col, score, kind, matches, rank): the k first parents by their first child (score, stable key, id), with all their matches in that order.
+
+    children: (id_col, parent_col, stable_key). kind: the routes of the first child. Scores are not summed.
+    """
+    of = fused.join(children.select(id_col, parent_col, "stable_key"), id_col)
+    match = F.struct(F.negative("score").alias("less"), "stable_key", F.col(id_col).alias("id"), "ranks", "route_scores")
+    plain = F.struct(F.negative("score").alias("less"), "stable_key", F.col(id_col).alias("id"))  # maps have no order
+    first = of.groupBy("query_id", parent_col).agg(F.min(plain).alias("first"), F.collect_list(match).alias("all"))
+    order = Window.partitionBy("query_id").orderBy("first.less", "first.stable_key", "first.id")
+    ranked = first.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    by = lambda a, b: F.when((a["less"] < b["less"]) | (a["less"] == b["less"]) & ((a["stable_key"] < b["stable_key"]) | (a["stable_key"] == b["stable_key"]) & (a["id"] < b["id"])), -1).otherwise(1)
+    matches = F.transform(F.array_sort("all", by), lambda m: F.struct(m["id"].alias("id"), F.negative(m["less"]).alias("score"), m["ranks"].alias("ranks"), m["route_scores"].alias("route_scores")))
+    return ranked.select("query_id", parent_col, F.negative("first.less").alias("score"), F.array_join(F.map_keys(matches[0]["ranks"]), "+").alias("kind"), matches.alias("matches"), "rank")
 
 
 def group_parents(fused: DataFrame, parents: DataFrame, id_col: str, parent_col: str, k: int) -> DataFrame:

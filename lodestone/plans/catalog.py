@@ -152,16 +152,7 @@ def _synonym_sql() -> str:
 @register(_synonym_sql().replace("eval_item", "(SELECT doc_id AS item_id, text FROM documents)").replace("item_id, concat", "item_id AS doc_id, concat"))
 def synonym_expansion(spark, d):
     """Absent members of every group of which the text has a member are appended."""
-    low = F.lower("text")
-    added = []
-    for group in SYNONYMS:
-        has = [F.contains(low, F.lit(p)) for p in group]
-        hit = has[0]
-        for h in has[1:]:
-            hit = hit | h
-        added += [F.when(hit & ~h, F.lit(p)) for p, h in zip(group, has)]
-    docs = table(spark, d, "documents").filter("text IS NOT NULL")
-    return docs.select("doc_id", F.concat_ws(" ", F.col("text"), *added).alias("expanded"))
+    return table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", tx.expand_synonyms(F.col("text"), SYNONYMS).alias("expanded"))
 
 
 # ---- evaluation ---------------------------------------------------------------------------------------------------------------
@@ -209,12 +200,19 @@ def failure_attribution(spark, d):
     return out.groupBy(F.coalesce("failure", F.lit("none")).alias("failure")).agg(F.count("*").alias("queries"))
 
 
-@register(None)
+def _first_of(k: int) -> str:
+    """SQL of the first relevant rank of each query under a fusion constant."""
+    return f"""(SELECT q.query_id, min(t.rank) AS rank FROM q LEFT JOIN (SELECT query_id, context_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, context_id) AS rank FROM (SELECT query_id, context_id, max(score) AS score FROM
+(SELECT query_id, id, round(sum(1.0::DOUBLE / ({k} + rank)), 8) AS score FROM (SELECT query_id, id, rank FROM keyword UNION ALL SELECT query_id, id, rank FROM vector) GROUP BY query_id, id) f JOIN evi USING (id) GROUP BY query_id, context_id)) t
+ON t.query_id = q.query_id AND EXISTS (SELECT 1 FROM rel WHERE rel.query_id = q.query_id AND rel.context_id = t.context_id) GROUP BY q.query_id)"""
+
+
+@register(_BASE + _BM25 + ", " + _COSINE + ", " + _JUDGED + f" SELECT query_id, CAST(a.rank AS BIGINT) AS base_rank, CAST(b.rank AS BIGINT) AS other_rank, CASE WHEN coalesce(b.rank, 9999999) < coalesce(a.rank, 9999999) THEN 'better' WHEN coalesce(b.rank, 9999999) > coalesce(a.rank, 9999999) THEN 'worse' ELSE 'same' END AS change FROM {_first_of(20)} a JOIN {_first_of(60)} b USING (query_id)")
 def run_comparison(spark, d):
     """First ranks under two fusion constants, query by query."""
-    by_route, queries, judged, ranked = _run(spark, d)
+    by_route, queries, judged, _ = _run(spark, d)
     runs = [ev.first_relevant(rt.group_parents(rt.fuse(by_route, "id", k), se.Corpus(spark, d).evidence, "id", "context_id", 1000), judged, queries, "context_id") for k in (20, 60)]
-    return ev.compare_runs(*runs)
+    return ev.compare_runs(*runs).withColumns({c: F.col(c).cast("long") for c in ("base_rank", "other_rank")})
 
 
 @register("SELECT CASE WHEN grouping(cat) = 1 THEN 'ALL' ELSE cat END AS cat, CAST(count(*) AS BIGINT) AS items, CAST(min(coalesce(length(text), 0)) AS BIGINT) AS least, CAST(max(coalesce(length(text), 0)) AS BIGINT) AS most, round(avg(coalesce(length(text), 0)), 6) AS mean FROM (SELECT source AS cat, text FROM documents) GROUP BY GROUPING SETS ((cat), ())")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lodestone.functions.text import expand_synonyms, search_terms
 from lodestone.operators.retrieval import bm25, cosine_topk, current, fuse, group_parents, scoped_contexts, top_k, valid_vector, with_terms
 from lodestone.sources.tables import materialize, table
 
@@ -51,6 +53,17 @@ def keyword_route(corpus: Corpus, evidence: DataFrame, queries: DataFrame, confi
     return top_k(bm25(docs, terms, "id", k=config.candidates, digits=6), "id", config.candidates)
 
 
+def expanded_keyword_route(keyed: DataFrame, queries: DataFrame, synonyms: Sequence[Sequence[str]], least: float = 0.0, k: int = 100) -> DataFrame:
+    """(query_id, id, score, rank) by BM25 over retrieval texts: queries with synonyms, model names with their pieces, scores of ``least`` and more, ties by stable key.
+
+    keyed: evidence in scope with its stable_key. A query without terms has no rows.
+    """
+    cut = lambda df, key, text: df.select(key, F.coalesce(search_terms(text), F.array().cast("array<string>")).alias("terms"))
+    docs = materialize(cut(keyed, F.struct("stable_key", "id").alias("place"), F.col("retrieval_text")).withColumn("length", F.size("terms")), "terms")
+    scored = bm25(docs, cut(queries, "query_id", expand_synonyms(F.col("text"), synonyms)), "place", k=k, digits=6).filter(F.col("score") >= least)
+    return top_k(scored, "place", k).select("query_id", "place.id", "score", "rank")
+
+
 def vector_route(evidence: DataFrame, queries: DataFrame, config: SearchConfig) -> DataFrame:
     vectors = evidence.filter(valid_vector(F.col("embedding"), config.width)).select("id", F.col("embedding").alias("v"))
     return top_k(cosine_topk(vectors, queries.filter("v IS NOT NULL").select("query_id", "v"), "id", config.candidates), "id", config.candidates)

@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from lodestone.plans import service  # noqa: F401
 from lodestone.plans.catalog import CATALOG
 
 DATA = "/root/testdata/sf0.001"
