@@ -180,3 +180,45 @@ def markdown_blocks(lines: DataFrame, id_col: str) -> DataFrame:
     """(id_col, block, kind, first_line, last_line): typed blocks of Markdown lines."""
     blocks = numbered_blocks(lines, id_col).groupBy(id_col, "b").agg(F.first("kind").alias("kind"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"))
     return blocks.select(id_col, F.row_number().over(Window.partitionBy(id_col).orderBy("first_line")).cast("long").alias("block"), "kind", "first_line", "last_line")
+
+
+def row_groups(lines: DataFrame, id_col: str, limit: int) -> DataFrame:
+    """(id_col, first_line, group_no, header, rows, body): tables as groups of rows of about ``limit`` characters, each with the table's header to repeat.
+
+    The header is the first row, with the rule under it if there is one. Rows share groups by their running size, so a group is never longer
+    than ``limit`` and its last row; a table of one row is a header without groups.
+    """
+    own = lines.filter(line_kind() == "table")
+    own = own.withColumn("g", F.col("line_no") - F.row_number().over(Window.partitionBy(id_col).orderBy("line_no")))
+    w = Window.partitionBy(id_col, "g").orderBy("line_no")
+    ruled = F.trim("line").rlike(r"^[|:\s-]*-[|:\s-]*$")
+    own = own.withColumns({"n": F.row_number().over(w), "first_line": F.min("line_no").over(Window.partitionBy(id_col, "g"))})
+    own = own.withColumn("head", (F.col("n") == 1) | (F.col("n") == 2) & ruled)
+    size = F.when(F.col("head"), 0).otherwise(F.length("line") + 1)
+    own = own.withColumn("group_no", F.floor((F.sum(size).over(w) - size) / limit).cast("long"))
+    header = F.concat_ws("\n", F.max(F.when(F.col("n") == 1, F.col("line"))).over(Window.partitionBy(id_col, "g")), F.max(F.when((F.col("n") == 2) & F.col("head"), F.col("line"))).over(Window.partitionBy(id_col, "g")))
+    rows = own.withColumn("header", header).filter(~F.col("head"))
+    return rows.groupBy(id_col, "first_line", "group_no").agg(F.first("header").alias("header"), F.count("*").alias("rows"), F.array_join(F.array_sort(F.collect_list(F.struct("line_no", "line")))["line"], "\n").alias("body"))
+
+
+def leaf_sections(lines: DataFrame, id_col: str) -> DataFrame:
+    """(id_col, line_no, level, title): headings without one of a deeper level right below: the cards of a collection."""
+    heads = lines.filter(F.col("line").rlike("^#{1,6} ")).select(id_col, "line_no", F.length(F.regexp_extract("line", "^(#{1,6}) ", 1)).cast("long").alias("level"), F.trim(F.regexp_replace("line", "^#{1,6} ", "")).alias("title"))
+    below = F.lead("level").over(Window.partitionBy(id_col).orderBy("line_no"))
+    return heads.withColumn("below", below).filter(F.col("below").isNull() | (F.col("below") <= F.col("level"))).drop("below")
+
+
+def bold_headings(lines: DataFrame, id_col: str, most: int = 60) -> DataFrame:
+    """(id_col, line_no, title): lines that are one short run of bold text, which stand for headings."""
+    text = F.regexp_extract(F.trim("line"), r"^(?:\*\*([^*]+)\*\*|__([^_]+)__)[：:]?$", 0)
+    bare = F.trim(F.regexp_replace(text, r"^[*_]{2}|[*_]{2}[：:]?$", ""))
+    return lines.select(id_col, "line_no", bare.alias("title")).filter((F.col("title") != "") & (F.length("title") <= most))
+
+
+def callouts(lines: DataFrame, id_col: str) -> DataFrame:
+    """(id_col, first_line, kind, lines, text): quotes that begin with [!KIND], their lines without the quote mark."""
+    quoted = lines.filter(F.col("line").rlike("^> ?")).withColumn("g", F.col("line_no") - F.row_number().over(Window.partitionBy(id_col).orderBy("line_no")))
+    bare = quoted.withColumn("bare", F.regexp_replace("line", "^> ?", ""))
+    whole = bare.groupBy(id_col, "g").agg(F.min("line_no").alias("first_line"), F.count("*").alias("lines"), F.array_join(F.array_sort(F.collect_list(F.struct("line_no", "bare")))["bare"], "\n").alias("text"))
+    kind = F.regexp_extract("text", r"^\[!([A-Za-z]+)\]", 1)
+    return whole.select(id_col, "first_line", F.upper(kind).alias("kind"), "lines", F.trim(F.regexp_replace("text", r"^\[![A-Za-z]+\][ \t]*\n?", "")).alias("text")).filter("kind <> ''")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from lodestone.functions import text as tx
-from lodestone.operators import outline as ol, reconcile as rc, retrieval as rt
+from lodestone.operators import outline as ol, reconcile as rc, retrieval as rt, structure as st
 from lodestone.plans import search as se
-from lodestone.plans.catalog import _BASE, _BM25, _CONTEXTS, _COSINE, _EVIDENCE, _SOURCES, _SPECS, _STOP, SYNONYMS, register
+from lodestone.plans.catalog import _BASE, _BM25, _CONTEXTS, _COSINE, _EVIDENCE, _LINES, _SOURCES, _SPECS, _STOP, SYNONYMS, register
 from lodestone.sources.tables import table
 
 _KEYED = "keyed AS (SELECT evi.id, evi.context_id, src.source_type || ':' || src.canonical_locator || '#' || ctx.key || '#' || evi.key AS stable_key FROM evi JOIN ctx ON ctx.id = evi.context_id JOIN src ON src.id = ctx.source_id)"
@@ -165,3 +165,44 @@ def budget_roundtrip(spark, d):
     pieces = ol.budget_pieces(c, "id", "title", "body", 2400).join(c.select("id", F.octet_length(F.coalesce("title", F.lit(""))).alias("t")), "id")
     used = F.col("t") + 1 + F.octet_length("body") + F.when(F.col("header") != "", F.octet_length("header") + 1).otherwise(0)
     return pieces.groupBy("id").agg(F.md5(F.array_join(F.array_sort(F.collect_list(F.struct("piece", "body")))["body"], "")).alias("digest"), F.every(used <= 2400).alias("within"))
+
+
+def _lines(spark, d):
+    return st.text_lines(table(spark, d, "documents"), "doc_id", "text")
+
+
+_ROWS = f"""{_LINES}, r AS (SELECT *, line_no - row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS g FROM ln WHERE NOT regexp_matches(line, '^#{{1,6}} ') AND regexp_matches(line, '^\\s*\\|.*\\|\\s*$')),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, g ORDER BY line_no) AS n, min(line_no) OVER (PARTITION BY doc_id, g) AS first_line FROM r), h AS (SELECT *, n = 1 OR (n = 2 AND regexp_matches(trim(line), '^[|:\\s-]*-[|:\\s-]*$')) AS head FROM n),
+s AS (SELECT *, CASE WHEN head THEN 0 ELSE length(line) + 1 END AS size FROM h), t AS (SELECT *, CAST(floor((sum(size) OVER (PARTITION BY doc_id, g ORDER BY line_no) - size) / 200) AS BIGINT) AS group_no, concat_ws(chr(10), max(CASE WHEN n = 1 THEN line END) OVER (PARTITION BY doc_id, g), max(CASE WHEN n = 2 AND head THEN line END) OVER (PARTITION BY doc_id, g)) AS header FROM s)"""
+
+
+@register(f"WITH {_ROWS} SELECT doc_id, CAST(first_line AS BIGINT) AS first_line, group_no, any_value(header) AS header, CAST(count(*) AS BIGINT) AS rows, string_agg(line, chr(10) ORDER BY line_no) AS body FROM t WHERE NOT head GROUP BY doc_id, first_line, group_no")
+def table_row_groups(spark, d):
+    """Tables of the documents in groups of some 200 characters of rows, each with the header to repeat."""
+    return st.row_groups(_lines(spark, d), "doc_id", 200)
+
+
+@register(f"WITH {_LINES}, h AS (SELECT doc_id, line_no, CAST(length(regexp_extract(line, '^(#{{1,6}}) ', 1)) AS BIGINT) AS level, trim(regexp_replace(line, '^#{{1,6}} ', '')) AS title FROM ln WHERE regexp_matches(line, '^#{{1,6}} ')) SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, level, title FROM (SELECT *, lead(level) OVER (PARTITION BY doc_id ORDER BY line_no) AS below FROM h) WHERE below IS NULL OR below <= level")
+def leaf_sections(spark, d):
+    """Headings without a deeper one right below."""
+    return st.leaf_sections(_lines(spark, d), "doc_id")
+
+
+@register(f"WITH {_LINES}, b AS (SELECT doc_id, line_no, trim(regexp_replace(regexp_extract(trim(line), '^(?:[*][*][^*]+[*][*]|__[^_]+__)[：:]?$'), '^[*_]{{2}}|[*_]{{2}}[：:]?$', '', 'g')) AS title FROM ln) SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, title FROM b WHERE title <> '' AND length(title) <= 60")
+def bold_headings(spark, d):
+    """Lines of bold text that stand for headings."""
+    return st.bold_headings(_lines(spark, d), "doc_id")
+
+
+@register(f"WITH {_LINES}, q AS (SELECT doc_id, line_no, regexp_replace(line, '^> ?', '') AS bare, line_no - row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS g FROM ln WHERE regexp_matches(line, '^> ?')), w AS (SELECT doc_id, CAST(min(line_no) AS BIGINT) AS first_line, CAST(count(*) AS BIGINT) AS lines, string_agg(bare, chr(10) ORDER BY line_no) AS text FROM q GROUP BY doc_id, g) SELECT doc_id, first_line, upper(regexp_extract(text, '^\\[!([A-Za-z]+)\\]', 1)) AS kind, lines, trim(regexp_replace(text, '^\\[![A-Za-z]+\\][ \\t]*\\n?', '')) AS text FROM w WHERE regexp_matches(text, '^\\[![A-Za-z]+\\]')")
+def callouts(spark, d):
+    """Quotes that begin with a kind in brackets."""
+    return st.callouts(_lines(spark, d), "doc_id")
+
+
+@register(f"WITH {_LINES} SELECT doc_id, CAST(count_if(regexp_matches(line, '^\\s*(?:!\\[[^\\]]*\\]\\([^)]*\\)\\s*)+$')) AS BIGINT) AS dropped, md5(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE NOT regexp_matches(line, '^\\s*(?:!\\[[^\\]]*\\]\\([^)]*\\)\\s*)+$')), '')) AS digest FROM ln GROUP BY doc_id")
+def image_only_lines(spark, d):
+    """Lines of nothing but images per document, and the document without them (as a digest)."""
+    only = F.col("line").rlike(r"^\s*(?:!\[[^\]]*\]\([^)]*\)\s*)+$")
+    kept = F.array_sort(F.collect_list(F.when(~only, F.struct("line_no", "line"))))["line"]
+    return _lines(spark, d).groupBy("doc_id").agg(F.count_if(only).alias("dropped"), F.md5(F.array_join(kept, "\n")).alias("digest"))
