@@ -375,38 +375,53 @@ def main_blocks(df: DataFrame, id_col: str = "article_id", html_col: str = "html
     repeated rows. Other columns are not read. Texts are written once and joined to nothing: what is counted are checksums of texts and marks.
     """
 
+    kinds = ("text", "label", "frame", "shape")
+
+    def number(text: str) -> int:
+        return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+    def marked(text: str) -> int:
+        """A mark as 64 bits, the last two for its kind."""
+        return number(text) & ~3 | kinds.index(text.split(" ", 1)[0])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, md5, text, position, mark, title, heart = [], [], [], [], [], [], []
+            row, md5, text, position, count, mark, title, heart = [], [], [], [], [], [], [], []
             for k, page in enumerate(batch.column(2).to_pylist()):
                 article = article_blocks(page)
                 keys = [block_md5(t) for t, _, _ in article]
                 for p, (t, _, may) in enumerate(article):
                     row.append(k)
                     md5.append(keys[p])
-                    title.append(keys[0])
-                    heart.append(" ".join(keys[(len(keys) - 1) // 2 :][:2]))
                     text.append(t)
                     position.append(p)
-                    mark.append(["text " + keys[p], *marks(t)] if may else [])
+                    count.append(len(article))
+                    mark.append([marked(m) for m in ("text " + keys[p], *marks(t))] if may else [])
+                if article:
+                    title += [number(keys[0])] * len(article)
+                    heart += [number(" ".join(keys[(len(keys) - 1) // 2 :][:2]))] * len(article)
             take = pa.array(row, pa.int64())
-            columns = [batch.column(0).take(take), batch.column(1).take(take), batch.column(3).take(take), pa.array(md5, pa.string()), pa.array(text, pa.string()), pa.array(position, pa.int32()), pa.array(mark, pa.list_(pa.string())), pa.array(title, pa.string()), pa.array(heart, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "grp", "page", "block_md5", "block_text", "position", "marks", "title", "heart"])
+            columns = [*(batch.column(c).take(take) for c in (0, 1, 3)), pa.array(md5, pa.string()), pa.array(text, pa.string()), pa.array(position, pa.int32()), pa.array(count, pa.int32()), pa.array(mark, pa.list_(pa.int64())), pa.array(title, pa.int64()), pa.array(heart, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "grp", "page", "block_md5", "block_text", "position", "count", "marks", "title", "heart"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(group_col).cast("string").alias("grp"), F.col(html_col).alias("html"), F.xxhash64(F.col(id_col).cast("string"), F.col(group_col).cast("string"), F.col(html_col)).alias("page")).filter("html IS NOT NULL AND html <> ''")
-    fields = f"id {rows.schema['id'].dataType.simpleString()}, grp string, page long, block_md5 string, block_text string, position int, marks array<string>, title string, heart string"
+    fields = f"id {rows.schema['id'].dataType.simpleString()}, grp string, page long, block_md5 string, block_text string, position int, count int, marks array<long>, title long, heart long"
     blocks = materialize(rows.mapInArrow(run, fields), "pages")
     groups = blocks.agg(F.count_distinct("grp").alias("groups"))
-    places = blocks.filter("size(marks) > 0").select("page", "position", "grp", "title", "heart", F.explode("marks").alias("mark")).distinct()
-    seen = places.groupBy("mark").agg(F.count_distinct("grp").alias("g"), F.count_distinct("title").alias("titles"), F.count_distinct("heart").alias("hearts"))
+    # Marks in three or more groups whose first articles differ; all others go no further.
+    once = blocks.filter("grp IS NOT NULL").select("grp", "title", "heart", F.explode("marks").alias("mark")).groupBy("mark", "grp").agg(F.min("title").alias("title"), F.min("heart").alias("heart"))
+    seen = once.groupBy("mark").agg(F.count("*").alias("g"), F.count_distinct("title").alias("titles"), F.count_distinct("heart").alias("hearts"))
     recurring = seen.filter(F.least("g", "titles", "hearts") >= notice_groups).join(F.broadcast(groups), F.col("g") >= notice_share * F.col("groups")).select("mark")
-    found = places.join(recurring, "mark").select("mark", "page", "position")
-    # The last block of each page that is its own: neither its text nor its label or frame recurs.
-    strong = found.filter("mark NOT LIKE 'shape %'").select("page", "position").distinct().withColumn("known", F.lit(True))
-    own = blocks.select("page", "position").distinct().join(strong, ["page", "position"], "left").filter("known IS NULL").groupBy("page").agg(F.max("position").alias("own"))
-    edged = found.join(own, "page").withColumn("edge", (F.col("position") <= 2) | (F.col("position") > F.col("own")))
-    notices = edged.groupBy("mark").agg(F.avg(F.col("edge").cast("int")).alias("edges")).filter(F.col("mark").startswith("frame ") | (F.col("edges") >= F.when(F.col("mark").startswith("shape "), shape_share).otherwise(edge_share))).select("mark")
-    dropped = found.join(notices, "mark", "left_semi").select("page", "position").distinct()
+    found = blocks.select("page", "position", "count", F.explode("marks").alias("mark")).join(recurring, "mark")
+    kind = lambda c: c.bitwiseAND(F.lit(3))
+    # Per page: the last block of its own is the last one of which neither text nor label nor frame recurs.
+    paged = found.groupBy("page").agg(F.max("count").alias("count"), F.collect_set(F.when(kind(F.col("mark")) < 3, F.col("position"))).alias("strong"), F.collect_list(F.struct("mark", "position")).alias("marks"))
+    own = F.coalesce(F.array_max(F.filter(F.sequence(F.lit(0), F.col("count") - 1), lambda p: ~F.array_contains("strong", p))), F.lit(-1))
+    placed = paged.select("page", own.alias("own"), F.inline("marks"))
+    edged = placed.groupBy("mark").agg(F.avg(((F.col("position") <= 2) | (F.col("position") > F.col("own"))).cast("int")).alias("edges"))
+    least = F.when(kind(F.col("mark")) == 2, 0.0).when(kind(F.col("mark")) == 3, shape_share).otherwise(edge_share)
+    notices = edged.filter(F.col("edges") >= least).select("mark")
+    dropped = placed.join(notices, "mark", "left_semi").select("page", "position").distinct()
     kept = blocks.join(dropped, ["page", "position"], "left_anti")
     return kept.select(F.col("id").alias(id_col), "block_md5", "block_text", "position")
 
