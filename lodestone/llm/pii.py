@@ -54,16 +54,18 @@ _EMAIL = re.compile(
     r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]*(?:\s?(?:@|＠|\(at\)|\[at\]|（at）)\s?)[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:(?:\.| ?\[dot\] ?| ?\(dot\) ?)[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)+", re.I
 )
 _D = "0-9０-９"
-_ID = re.compile(rf"(?<![{_D}A-Za-z\-])([1-9１-９][{_D}]{{5}})([ \-]?)([{_D}]{{8}})\2([{_D}]{{3}}[{_D}XxＸｘ])(?![{_D}])")
-_ID15 = re.compile(rf"(?<![{_D}A-Za-z\-])[1-9][0-9]{{5}}([0-9]{{6}})[0-9]{{3}}(?![{_D}])")
-_SSN = re.compile(r"(?<![0-9A-Za-z\-.])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9\-])")
+# Patterns begin with the characters they can begin with, and look back after them: the search then skips to these.
+_ID = re.compile(rf"([1-9１-９](?<![{_D}A-Za-z\-].)[{_D}]{{5}})([ \-]?)([{_D}]{{8}})\2([{_D}]{{3}}[{_D}XxＸｘ])(?![{_D}])")
+_ID15 = re.compile(rf"[1-9](?<![{_D}A-Za-z\-].)[0-9]{{5}}([0-9]{{6}})[0-9]{{3}}(?![{_D}])")
+_SSN = re.compile(r"[0-9](?<![0-9A-Za-z\-.].)[0-9]{2}[- ][0-9]{2}[- ][0-9]{4}(?![0-9\-])")
+_PHONE_START = re.compile(rf"[+＋（(0-9０-９](?<![{_D}A-Za-z\-.+*].)")
+_SPOKEN = re.compile(r"[幺一](?<![幺零一二三四五六七八九].)[三四五六七八九][幺零一二三四五六七八九]{9}(?![幺零一二三四五六七八九])")
 _PHONE = re.compile(
     rf"(?<![{_D}A-Za-z\-.+*])(?:"
     rf"(?:(?:[+＋]|00)?86[ \-]?)?[1１][3-9３-９][{_D}](?:([ \-])[{_D}]{{4}}\1[{_D}]{{4}}|[{_D}]{{8}})"
     rf"|[（(]0[0-9]{{2,3}}[)）][ \-]?[0-9]{{7,8}}|0[0-9]{{2,3}}[ \-](?:[0-9]{{7,8}}|[0-9]{{3,4}}[ \-][0-9]{{4}})"
     rf"|(?:\+?1[ \-.]?)?(?:\([2-9][0-9]{{2}}\) ?|[2-9][0-9]{{2}}[\-. ])[0-9]{{3}}[\-. ][0-9]{{4}}|\+1[2-9][0-9]{{9}}"
     rf")(?![{_D}*]|[\-.][{_D}])"
-    r"|(?<![幺零一二三四五六七八九])[幺一][三四五六七八九][幺零一二三四五六七八九]{9}(?![幺零一二三四五六七八九])"
 )
 _ZH_ROADS = "大道 路 街 巷 胡同 道 里".split()
 _REGIONS = "内蒙古 广西壮族 西藏 宁夏回族 新疆维吾尔".split()
@@ -73,7 +75,7 @@ _ZH_ADDRESS = re.compile(
 )
 _BEFORE_ROAD = 8 + 7 + 10 + 6 + 2  # the most characters that the pattern has before its road number: region, city, two districts, road and its word
 _EN_ADDRESS = re.compile(
-    rf"(?<![0-9A-Za-z\-.])[0-9]{{1,5}} (?:{_EN_WORD} ){{1,3}}(?:Street|St\.?|Road|Rd\.?|Lane|Ln\.?|Avenue|Ave\.?|Close|Court|Ct\.?|Drive|Dr\.?|Way|Place|Square|Terrace|Boulevard|Blvd\.?),? "
+    rf"[0-9](?<![0-9A-Za-z\-.].)[0-9]{{0,4}} (?:{_EN_WORD} ){{1,3}}(?:Street|St\.?|Road|Rd\.?|Lane|Ln\.?|Avenue|Ave\.?|Close|Court|Ct\.?|Drive|Dr\.?|Way|Place|Square|Terrace|Boulevard|Blvd\.?),? "
     rf"(?:(?:Apt|Unit|Floor|Suite|Flat|Room)\.? ?#?[0-9]{{1,5}}[A-Za-z]?, )?[A-Z][a-z]+(?:(?:-| )(?:on|upon|under|in|le|by)(?:-| )[A-Z][a-z]+|(?:-| )[A-Z][a-z]+)*"
 )
 _AT = re.compile(r"@|＠|[(\[（]at", re.I)
@@ -108,12 +110,18 @@ class Vocabulary:
         for k, blob in chunks.items():
             self.bits[k * len(blob) : (k + 1) * len(blob)] = np.frombuffer(blob, np.uint8)
         self.words = bool(chunks)
+        self.memo: dict[str, bool] = {}
 
     def __bool__(self) -> bool:
         return self.words
 
     def __contains__(self, word: str) -> bool:
-        return all(self.bits[s >> 3] >> (s & 7) & 1 for s in _slots(word))
+        known = self.memo.get(word)
+        if known is None:
+            if len(self.memo) > 200_000:  # a cache, refilled
+                self.memo.clear()
+            known = self.memo[word] = all(self.bits[s >> 3] >> (s & 7) & 1 for s in _slots(word))
+        return known
 
 
 def _split_zh(name: str) -> tuple[str, str]:
@@ -185,22 +193,28 @@ def name_parts(df: DataFrame, text_col: str, least: int = 2) -> NameParts:
     return NameParts(given, Vocabulary(chunks["first"]), Vocabulary(chunks["last"]))
 
 
-_EN_START = re.compile(rf"(?<![A-Za-z@.+\-_]){_EN_WORD}")
+_EN_START = re.compile(r"[A-Z](?<![A-Za-z@.+\-_].)[a-z]+(?:[-'’][A-Z][a-z]+)?")
 _EN_HERE = re.compile(rf"(?:{_EN_NAME})(?![A-Za-z@_\-])")
 
 
+_ANNOUNCING = "人主名叫由是系致者"
+
+
 @lru_cache(4)
-def _zh_pattern(given: frozenset[str]) -> re.Pattern | None:
+def _zh_patterns(given: frozenset[str]) -> tuple[re.Pattern, ...]:
+    """Names of a family name of one and of two characters, at the beginning of a run of ideographs or after a character that announces one."""
     if not given:
-        return None
-    left = "|".join(rf"(?<={re.escape(c)})" for c in ("人", "主", "名", "叫", "由", "是", "系", "致", "者"))
-    return re.compile(rf"(?:(?<![{_HAN}])|{left})(?:{'|'.join(_COMPOUND)}|[{_SINGLE}])[{''.join(sorted(given))}]{{1,2}}(?![{_HAN}])")
+        return ()
+    end = rf"[{''.join(sorted(given))}]{{1,2}}(?![{_HAN}])"
+    one = rf"[{_SINGLE}](?:(?<![{_HAN}].)|(?<=[{_ANNOUNCING}].)){end}"
+    two = rf"(?:{'|'.join(_COMPOUND)})(?:(?<![{_HAN}]..)|(?<=[{_ANNOUNCING}]..)){end}"
+    return re.compile(two, re.S), re.compile(one, re.S)
 
 
 def _known_names(text: str, parts: NameParts) -> Iterator[tuple[int, int]]:
     """Names made of known parts, wherever they stand."""
-    if zh := _zh_pattern(parts.given):
-        for m in zh.finditer(text):
+    for pattern in _zh_patterns(parts.given):
+        for m in pattern.finditer(text):
             yield m.span()
     if parts.first and parts.last:
         end = 0
@@ -257,7 +271,12 @@ def find_pii(text: str, parts: NameParts) -> list[tuple[int, int, str]]:
                 break
     for m in _EN_ADDRESS.finditer(text):
         add(m.start(), m.end(), "address")
-    for m in _PHONE.finditer(text):
+    at = 0
+    for start in _PHONE_START.finditer(text):
+        if start.start() >= at and (m := _PHONE.match(text, start.start())):
+            add(m.start(), m.end(), "phone")
+            at = m.end()
+    for m in _SPOKEN.finditer(text):
         add(m.start(), m.end(), "phone")
     for start, end, kind, sure in _announced(text):
         if sure or kind == "zh" and parts.given.issuperset(_split_zh(text[start:end])[1]):
