@@ -35,7 +35,8 @@ def model_pieces(token: Column) -> Column:
 
 def search_terms(text: Column, stop: tuple[str, ...] = STOP_WORDS) -> Column:
     """tokens(), and after each model name its pieces."""
-    return F.flatten(F.transform(tokens(text, stop), lambda t: F.when(F.size(model_pieces(t)) > 0, model_pieces(t)).otherwise(F.array(t))))
+    cut = F.transform(tokens(text, stop), lambda t: F.struct(t.alias("t"), F.regexp_extract_all(t, F.lit(PIECES), F.lit(0)).alias("p")))
+    return F.flatten(F.transform(cut, lambda c: F.when(F.size(c["p"]) >= 2, F.concat(F.array(c["t"]), F.filter(c["p"], lambda p: F.length(p) > 1))).otherwise(F.array(c["t"]))))
 
 
 def expand_synonyms(text: Column, groups: Sequence[Sequence[str]]) -> Column:
