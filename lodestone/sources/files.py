@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from lodestone.functions.text import article_identity
 from lodestone.operators.reconcile import broken_rules
 from lodestone.sources.tables import materialize
 
@@ -46,7 +47,7 @@ def tables_of(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     s, d = F.col("source"), F.col("document")
     digest = lambda *c: F.sha2(F.concat_ws("\x1f", *c), 256)
     base = documents.withColumn("source_id", digest(s["source_type"], s["canonical_locator"]))
-    sources = base.select(F.col("source_id").alias("id"), "source.*", d["title"].alias("title"), d["document_schema"].alias("document_schema"), d["schema_version"].alias("schema_version"), d["source_date"].alias("source_date"), F.sha2(F.to_json(F.struct("source", "document")), 256).alias("content_hash"))
+    sources = base.select(F.col("source_id").alias("id"), "source.*", d["title"].alias("title"), d["document_schema"].alias("document_schema"), d["schema_version"].alias("schema_version"), d["source_date"].alias("source_date"), F.sha2(F.to_json(F.struct("source", "document"), {"ignoreNullFields": "false"}), 256).alias("content_hash"))  # null and absent, empty and null differ
     contexts = base.select("source_id", F.posexplode(d["contexts"]).alias("p", "c")).withColumn("context_id", digest(F.col("source_id"), F.col("c.key")))
     evidence = contexts.select("context_id", F.col("c.title").alias("title"), F.posexplode("c.children").alias("p", "e"))
     text = F.concat_ws("\n", F.col("title"), F.nullif(F.col("e.retrieval_prefix"), F.lit("")), F.col("e.body"))
@@ -66,10 +67,11 @@ def read_raw(spark: SparkSession, path: str, glob: str = "*", most: int = 2 << 2
     return raw.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.col("path"), "content", F.when(reason.isNull(), text).alias("text"), reason.alias("reason"))
 
 
-def read_captures(spark: SparkSession, path: str) -> DataFrame:
-    """(item, html, title, url, date, author, account, copies) of a capture directory: *.html files with *.json beside them.
+def read_captures(spark: SparkSession, path: str, host: str = r"^mp\.") -> DataFrame:
+    """(item, html, title, url, date, author, account, identity, copies) of a capture directory: *.html files with *.json beside them.
 
-    copies counts the items of the same url (1 where the url is null): more than one means that the listing is ambiguous.
+    identity is that of article_identity(), or the link as it is where it has another form; copies counts the items of one identity: more
+    than one means that the listing is ambiguous (see ambiguous()).
     """
     from pyspark.sql import Window
 
@@ -77,7 +79,13 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
     pages = read_raw(spark, path, "*.html").select(item.alias("item"), F.col("text").alias("html"))
     notes = read_raw(spark, path, "*.json").select(item.alias("item"), F.from_json("text", CAPTURE, {"columnNameOfCorruptRecord": "_corrupt"}).alias("n")).select("item", "n.*")
     joined = pages.join(notes, "item", "left")
-    return joined.withColumn("copies", F.when(F.col("url").isNull(), F.lit(1)).otherwise(F.count("*").over(Window.partitionBy("url"))).cast("long"))
+    joined = joined.withColumn("identity", F.coalesce(article_identity(F.col("url"), F.col("item"), host), F.col("url")))
+    return joined.withColumn("copies", F.count("*").over(Window.partitionBy("identity")))
+
+
+def ambiguous(captures: DataFrame) -> DataFrame:
+    """(identity, items): links that several items of a listing stand for; a listing with any is not to be imported."""
+    return captures.filter("copies > 1").groupBy("identity").agg(F.array_sort(F.collect_list("item")).alias("items"))
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
@@ -113,3 +121,11 @@ def write_snapshot(documents: DataFrame, path: str) -> None:
 def read_specs(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Spec records from a JSON file; NaN and Infinity are not numbers here, such records come out as _corrupt."""
     return spark.read.schema(schema).option("multiLine", True).option("allowNonNumericNumbers", False).option("columnNameOfCorruptRecord", "_corrupt").json(path)
+
+
+def readable_specs(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The records of read_specs() that could be read, and the texts of the others; its schema must have a string field _corrupt.
+
+    A file that is one list of records is one text: an unreadable record keeps its whole file out.
+    """
+    return records.filter(F.col("_corrupt").isNull()).drop("_corrupt"), records.filter(F.col("_corrupt").isNotNull()).select(F.col("_corrupt").alias("record"))

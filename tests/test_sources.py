@@ -36,6 +36,30 @@ def test_captures_and_raw_files(spark, tmp_path):
     assert reasons == {"a.html": "too large", "b.html": None, "c.html": "not UTF-8"}
 
 
+def test_hashes_tell_null_fields_and_listings_tell_copies(spark, tmp_path):
+    one, two = document(), document()
+    two["document"]["source_date"] = None
+    for name, d in (("a", one), ("b", two)):
+        (tmp_path / f"{name}.json").write_text(json.dumps(d))
+    sources = files.tables_of(files.read_documents(spark, str(tmp_path)))[0]
+    assert sources.select("content_hash").distinct().count() == 2
+    folder = tmp_path / "captures"
+    folder.mkdir()
+    for name, url in (("a", "https://mp.x.example/s/abc?from=1"), ("b", "http://mp.x.example/s/abc"), ("c", None)):
+        (folder / f"{name}.html").write_text("<p>x</p>")
+        (folder / f"{name}.json").write_text(json.dumps({"title": "T"} | ({"url": url} if url else {})))
+    assert [(r.identity, r["items"]) for r in files.ambiguous(files.read_captures(spark, str(folder))).collect()] == [("mp:s:abc", ["a", "b"])]
+
+
+def test_spec_files_report_what_cannot_be_read(spark, tmp_path):
+    (tmp_path / "s.json").write_text('[{"key": "a", "weight": 1.5}, {"key": "b", "weight": "heavy"}]')
+    good, bad = files.readable_specs(files.read_specs(spark, str(tmp_path / "s.json"), "key string, weight double, _corrupt string").cache())
+    assert good.count() == 0 and bad.count() >= 1  # one unreadable record keeps its whole file out
+    (tmp_path / "t.json").write_text('[{"key": "a", "weight": 1.5}, {"key": "b"}]')
+    good, bad = files.readable_specs(files.read_specs(spark, str(tmp_path / "t.json"), "key string, weight double, _corrupt string").cache())
+    assert sorted(r.key for r in good.collect()) == ["a", "b"] and bad.count() == 0
+
+
 def test_snapshot_paths_and_cycles(spark, tmp_path):
     toc = [{"uuid": "r", "parent_uuid": "", "title": "Root"}, {"uuid": "m", "parent_uuid": "r", "title": "Mid"}, {"uuid": "d", "parent_uuid": "m", "title": "Doc", "doc_id": 1, "url": "doc"}, {"uuid": "x", "parent_uuid": "y", "title": "X", "url": "loop"}, {"uuid": "y", "parent_uuid": "x", "title": "Y"}]
     (tmp_path / "toc.json").write_text(json.dumps({"data": toc}))
