@@ -143,7 +143,8 @@ def _announced(text: str) -> Iterator[tuple[int, int, str, bool]]:
         for m in pattern.finditer(text):
             start, end = m.span(next(k for k, g in enumerate(m.groups(), 1) if g))
             if kind == "zh":
-                yield start, end, kind, text[start:end] not in _ROLES and not "一" <= text[end : end + 1] <= "鿿"
+                plain = text[start - 1 : start] != "由"  # "by", but also the beginning of "because"
+                yield start, end, kind, plain and text[start:end] not in _ROLES and not "一" <= text[end : end + 1] <= "鿿"
             else:
                 yield start, end, kind, _OFFICES.isdisjoint(text[start:end].split(" "))
     for m in _ZH_FIELD.finditer(text):

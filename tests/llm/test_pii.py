@@ -60,7 +60,7 @@ def test_identity_numbers_of_15_digits_keep_a_date():
 @pytest.mark.parametrize(
     ("text", "want"),
     [
-        ("联系人：阎伟", [("name", "阎伟")]), ("姓名 | 仝小雨 | 已缴费", [("name", "仝小雨")]), ("联系人：客服，电话", []), ("Ask for Mary Jones at the desk", [("name", "Mary Jones")]), ("Dr. Alice Walker called", [("name", "Alice Walker")]), ("Ask for Customer Service at the desk", []),
+        ("联系人：阎伟", [("name", "阎伟")]), ("姓名 | 仝小雨 | 已缴费", [("name", "仝小雨")]), ("联系人：客服，电话", []), ("由于顶，掉了一格", []), ("Ask for Mary Jones at the desk", [("name", "Mary Jones")]), ("Dr. Alice Walker called", [("name", "Alice Walker")]), ("Ask for Customer Service at the desk", []),
         ("寄到西藏自治区拉萨市城关区北京中路8号。", [("address", "西藏自治区拉萨市城关区北京中路8号")]), ("云梧市白鹭滩街道流萤路748号" + "1号" * 60, [("address", "云梧市白鹭滩街道流萤路748号" + "1号" * 60)]),
     ],
 )
