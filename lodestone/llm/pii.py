@@ -14,6 +14,7 @@ import datetime
 import hashlib
 import re
 import unicodedata
+import zlib
 from bisect import bisect_left
 from collections.abc import Container, Iterator
 from dataclasses import dataclass
@@ -112,6 +113,12 @@ class Vocabulary:
         self.words = bool(chunks)
         self.memo: dict[str, bool] = {}
 
+    def __getstate__(self) -> tuple[bytes, bool]:  # mostly zeros: it travels packed
+        return zlib.compress(self.bits.tobytes(), 1), self.words
+
+    def __setstate__(self, state: tuple[bytes, bool]) -> None:
+        self.bits, self.words, self.memo = np.frombuffer(zlib.decompress(state[0]), np.uint8), state[1], {}
+
     def __bool__(self) -> bool:
         return self.words
 

@@ -1,3 +1,5 @@
+import pickle
+
 import pytest
 from hypothesis import given, settings, strategies as hs
 from pyspark.sql import functions as F
@@ -72,6 +74,8 @@ def test_a_vocabulary_misses_none_of_its_words(spark):
     rows = [(k, f"Ask for {a}{b}ora {c}{d}well at") for k, (a, b, c, d) in enumerate((a, b, c, d) for a in "BCDF" for b in "aeio" for c in "GHKL" for d in "aeio")] * 2
     parts = pii.name_parts(spark.createDataFrame(rows, "doc_id long, text string"), "text")
     assert all(f"{a}{b}ora" in parts.first for a in "BCDF" for b in "aeio") and all(f"{c}{d}well" in parts.last for c in "GHKL" for d in "aeio")
+    again = pickle.loads(pickle.dumps(parts.first))
+    assert again and "Bara" not in again and "Baora" in parts.first and "Baora" in again and len(pickle.dumps(parts.first)) < 100_000
     assert sum(f"X{k}" in parts.first for k in range(10_000)) == 0 and parts.first and not pii.name_parts(spark.createDataFrame([(1, "x")], "doc_id long, text string"), "text").first
 
 
