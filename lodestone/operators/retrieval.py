@@ -46,13 +46,40 @@ def with_terms(df: DataFrame, id_col: str, text: Column) -> DataFrame:
     return df.select(id_col, F.coalesce(tokens(text), F.array().cast("array<string>")).alias("terms")).withColumn("length", F.size("terms"))
 
 
-def _score_batches(sent, id_col: str, k: int | None, digits: int | None, k1: float, b: float):
-    """Scores of a block of queries for every batch of documents: term counts, weights and sums are array operations; the k best of a batch go on, with ties."""
+#: Scores (queries times documents) and products of weights that a task holds at once.
+_CELLS = 1_000_000
+
+
+def _query_runs(load: np.ndarray, rows: int, cells: int) -> Iterator[tuple[int, int]]:
+    """Runs of queries with at most ``cells`` scores over ``rows`` documents and as much load (at least one query each)."""
+    total, first, wide = np.cumsum(load), 0, max(1, cells // max(rows, 1))
+    while first < len(load):
+        last = int(np.searchsorted(total, (total[first - 1] if first else 0) + cells, side="right"))
+        last = min(max(last, first + 1), first + wide, len(load))
+        yield first, last
+        first = last
+
+
+def _best(score: np.ndarray, k: int) -> np.ndarray:
+    """Which scores are among the k best of their row, with ties at the edge."""
+    keep = min(k, score.shape[1])
+    return score >= np.partition(score, score.shape[1] - keep, axis=1)[:, score.shape[1] - keep, None]
+
+
+def _score_batches(sent, id_col: str, k: int | None, digits: int | None, k1: float, b: float, cells: int = _CELLS):
+    """Scores of a block of queries for every batch of documents: term counts, weights and sums are array operations; the k best of a batch go on, with ties.
+
+    However many queries share a term, only a run of them with some ``cells`` scores and weights is in memory.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, number, starts, query, idf, average = sent.value
+        names, number, place, idf, average = sent.value  # place: term << 32 | query, sorted
+        all_terms = np.arange(len(number) + 1, dtype=np.int64) << 32
+        asked = np.diff(np.searchsorted(place, all_terms))
         for batch in batches:
             lists = batch.column("terms")
+            if not len(lists):
+                continue
             flat = pc.dictionary_encode(lists.flatten())
             local = np.array([number.get(t, -1) for t in flat.dictionary.to_pylist()], dtype=np.int64)
             term = local[flat.indices.to_numpy()] if len(local) else np.zeros(0, np.int64)
@@ -61,22 +88,18 @@ def _score_batches(sent, id_col: str, k: int | None, digits: int | None, k1: flo
             row, term = pair >> 32, pair & 0xFFFFFFFF
             length = batch.column("length").to_numpy(zero_copy_only=False)[row]
             weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average))
-            many = starts[term + 1] - starts[term]
-            at = np.repeat(starts[term] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-            key, where = np.unique(query[at] << 32 | np.repeat(row, many), return_inverse=True)
-            score = np.bincount(where, weights=np.repeat(weight, many), minlength=len(key))
-            score = score if digits is None else np.round(score, digits)
-            keep = score > 0
-            key, score = key[keep], score[keep]
-            asked = key >> 32
-            if k is not None and len(key):
-                by = np.lexsort((-score, asked))
-                first = np.flatnonzero(np.append(True, asked[by][1:] != asked[by][:-1]))
-                size = np.diff(np.append(first, len(by)))
-                edge = score[by][first + np.minimum(size, k) - 1]
-                keep = score[by] >= np.repeat(edge, size)
-                key, score, asked = key[by][keep], score[by][keep], asked[by][keep]
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(asked)), batch.column(0).take(pa.array(key & 0xFFFFFFFF)), pa.array(score)], names=["query_id", id_col, "score"])
+            load = np.bincount(place & 0xFFFFFFFF, weights=np.repeat(np.bincount(term, minlength=len(number)), asked), minlength=len(names))
+            for first, last in _query_runs(load, len(lists), cells):
+                starts = np.searchsorted(place, all_terms[:-1] | first)
+                many = np.searchsorted(place, all_terms[:-1] | last) - starts
+                own = np.flatnonzero(many[term])
+                size = many[term[own]]
+                at = np.repeat(starts[term[own]] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                cell = ((place[at] & 0xFFFFFFFF) - first) * len(lists) + np.repeat(row[own], size)
+                score = np.bincount(cell, weights=np.repeat(weight[own], size), minlength=(last - first) * len(lists)).reshape(last - first, -1)
+                score = score if digits is None else np.round(score, digits)
+                q, d = np.nonzero((score > 0) & _best(score, k) if k is not None else score > 0)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(q + first)), batch.column(0).take(pa.array(d)), pa.array(score[q, d])], names=["query_id", id_col, "score"])
 
     return run
 
@@ -86,7 +109,7 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str, k1: float = 1.5, b: f
 
     docs: (id_col, terms, length); queries: (query_id, terms), their terms taken as a set. N, average length and document frequencies are
     those of ``docs``, empty documents included. Documents are not shuffled: queries go out in blocks of ``block`` (a bounded broadcast
-    each), every batch of documents scores a block and keeps its best. A query without known terms has no rows.
+    each), every batch of documents scores a block, a run of queries at a time, and keeps its best. A query without known terms has no rows.
     """
     spark = docs.sparkSession
     asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
@@ -99,13 +122,12 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str, k1: float = 1.5, b: f
     def scan(rows: list) -> DataFrame:
         number: dict[str, int] = {}
         term = np.array([number.setdefault(r.term, len(number)) for r in rows], dtype=np.int64)
-        order = np.argsort(term, kind="stable")
         idf = np.zeros(len(number))
         idf[term] = [r.idf for r in rows]
         names = list(dict.fromkeys(r.query_id for r in rows))
         place = {q: n for n, q in enumerate(names)}
-        query = np.array([place[r.query_id] for r in rows], dtype=np.int64)[order]
-        sent = spark.sparkContext.broadcast((pa.array(names, kinds[0][1]), number, np.searchsorted(term[order], np.arange(len(number) + 1)), query, idf, float(stats.average or 1.0)))
+        query = np.array([place[r.query_id] for r in rows], dtype=np.int64)
+        sent = spark.sparkContext.broadcast((pa.array(names, kinds[0][1]), number, np.sort(term << 32 | query), idf, float(stats.average or 1.0)))
         return docs.select(id_col, "terms", "length").mapInArrow(_score_batches(sent, id_col, k, digits, k1, b), f"query_id {kinds[0][0]}, {id_col} {kinds[1][0]}, score double")
 
     for r in weighted.orderBy("query_id").toLocalIterator():
@@ -131,6 +153,26 @@ def unit(vector: Column) -> Column:
     return F.transform(vector, lambda x: x / norm)
 
 
+def _cosine_batches(sent, id_col: str, k: int, cells: int = _CELLS):
+    """Cosines of a block of queries for every batch of vectors, some ``cells`` of them at a time; the k best of a batch go on, with ties."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, matrix = sent.value
+        names = pa.array(names, pa.string())
+        for batch in batches:
+            own, lists = batch.column(0), batch.column(1)
+            if not len(own):
+                continue
+            x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            for first, last in _query_runs(np.zeros(len(matrix)), len(x), cells):
+                score = np.round(matrix[first:last] @ x.T, 6)
+                q, d = np.nonzero(_best(score, k))  # ties at the edge stay for the merge
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(q + first)), own.take(pa.array(d)), pa.array(score[q, d])], names=["query_id", id_col, "score"])
+
+    return run
+
+
 def cosine_topk(vectors: DataFrame, queries: DataFrame, id_col: str, k: int = 100, floor: float | None = None, block: int = 4096) -> DataFrame:
     """(query_id, id_col, score): the k best of each query by exact cosine, ties to the smaller id.
 
@@ -139,22 +181,7 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, id_col: str, k: int = 10
     """
     def scan(names: list, matrix: np.ndarray) -> DataFrame:
         sent = vectors.sparkSession.sparkContext.broadcast((names, matrix))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, matrix = sent.value
-            for batch in batches:
-                own, lists = batch.column(0), batch.column(1)
-                if not len(own):
-                    continue
-                x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                score = np.round(matrix @ x.T, 6)
-                keep = min(k, len(x))
-                edge = np.partition(score, len(x) - keep, axis=1)[:, len(x) - keep]
-                q, d = np.nonzero(score >= edge[:, None])  # ties at the edge stay for the merge
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()).take(pa.array(q)), own.take(pa.array(d)), pa.array(score[q, d])], names=["query_id", id_col, "score"])
-
-        return vectors.select(F.col(id_col).cast("string"), "v").mapInArrow(run, f"query_id string, {id_col} string, score double")
+        return vectors.select(F.col(id_col).cast("string"), "v").mapInArrow(_cosine_batches(sent, id_col, k), f"query_id string, {id_col} string, score double")
 
     def blocks() -> Iterator[tuple[list, np.ndarray]]:
         names, held = [], []

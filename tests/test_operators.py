@@ -1,5 +1,7 @@
 import math
 
+import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings, strategies as hs
 from pyspark.sql import functions as F
 
@@ -134,3 +136,59 @@ def test_streaming_windows_equal_batch(spark, tmp_path):
     query = hourly(stream, "1 hour").writeStream.format("memory").queryName("hours").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert rows(spark.table("hours")) == rows(hourly(events))
+
+
+class _Sent:
+    def __init__(self, value):
+        self.value = value
+
+
+def _peak_mb(run, batch):
+    """Rows of one batch, and the most memory that arrays took meanwhile."""
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        rows = sum(b.num_rows for b in run(iter([batch])))
+        return rows, tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_keyword_scores_of_a_full_block_of_queries_stay_small():
+    """2,000 queries that share three terms with 2,000 documents: 12 million products, which were all held at once."""
+    n, words = 2000, ["a", "b", "c"]
+    place = np.sort((np.arange(3, dtype=np.int64)[:, None] << 32 | np.arange(n)).ravel())
+    sent = _Sent((pa.array([f"q{k}" for k in range(n)]), {w: k for k, w in enumerate(words)}, place, np.ones(3), 3.0))
+    batch = pa.RecordBatch.from_arrays([pa.array([f"d{k}" for k in range(n)]), pa.array([words + ["a"] * (k % 7) for k in range(n)]), pa.array([3 + k % 7 for k in range(n)])], names=["id", "terms", "length"])
+    rows, peak = _peak_mb(rt._score_batches(sent, "id", 1, 6, 1.5, 0.75), batch)
+    assert rows >= n and peak < 120
+
+
+def test_cosines_of_a_full_block_of_queries_stay_small():
+    """4,096 queries against 4,000 vectors: 16 million cosines, which were all held at once."""
+    made = np.random.default_rng(1)
+    sent = _Sent(([f"q{k}" for k in range(4096)], made.normal(size=(4096, 4))))
+    batch = pa.RecordBatch.from_arrays([pa.array([f"d{k}" for k in range(4000)]), pa.array(made.normal(size=(4000, 4)).tolist())], names=["id", "v"])
+    rows, peak = _peak_mb(rt._cosine_batches(sent, "id", 1), batch)
+    assert rows >= 4096 and peak < 120
+
+
+def test_runs_of_queries_change_no_score():
+    made = np.random.default_rng(2)
+    terms = [[f"t{x}" for x in made.integers(0, 9, made.integers(0, 6))] for _ in range(50)]
+    number = {f"t{k}": k for k in range(9)}
+    asked = [sorted(set(made.integers(0, 9, 3).tolist())) for _ in range(30)]
+    sent = _Sent((pa.array([f"q{k}" for k in range(30)]), number, np.sort(np.array([t << 32 | q for q, own in enumerate(asked) for t in own], dtype=np.int64)), np.arange(1.0, 10.0), 2.5))
+    batch = pa.RecordBatch.from_arrays([pa.array([f"d{k}" for k in range(50)]), pa.array(terms, pa.list_(pa.string())), pa.array([len(t) for t in terms])], names=["id", "terms", "length"])
+    for k in (None, 3):
+        got = [sorted(tuple(r.values()) for b in rt._score_batches(sent, "id", k, 6, 1.5, 0.75, cells)(iter([batch])) for r in b.to_pylist()) for cells in (1, 300, 10**6)]
+        assert got[0] == got[1] == got[2]
+        for q, own in enumerate(asked):
+            score = {}
+            for d, t in enumerate(terms):
+                s = round(sum((x + 1) * t.count(f"t{x}") * 2.5 / (t.count(f"t{x}") + 1.5 * (0.25 + 0.75 * len(t) / 2.5)) for x in own), 6)
+                if s > 0:
+                    score[f"d{d}"] = s
+            edge = sorted(score.values())[-k:][0] if k and score else 0
+            assert {(i, s) for a, i, s in got[0] if a == f"q{q}"} == {(i, s) for i, s in score.items() if s >= edge}
