@@ -46,12 +46,12 @@ def with_terms(df: DataFrame, id_col: str, text: Column) -> DataFrame:
     return df.select(id_col, F.coalesce(tokens(text), F.array().cast("array<string>")).alias("terms")).withColumn("length", F.size("terms"))
 
 
-#: Scores (queries times documents) and products of weights that a task holds at once.
-_CELLS = 1_000_000
+#: Scores (queries times documents), products of weights and terms that a task holds at once.
+_CELLS = 250_000
 
 
-def _query_runs(load: np.ndarray, rows: int, cells: int) -> Iterator[tuple[int, int]]:
-    """Runs of queries with at most ``cells`` scores over ``rows`` documents and as much load (at least one query each)."""
+def _runs(load: np.ndarray, rows: int, cells: int) -> Iterator[tuple[int, int]]:
+    """Runs of queries with at most ``cells`` scores over ``rows`` documents and as much load (at least one query each); likewise of documents, by their terms."""
     total, first, wide = np.cumsum(load), 0, max(1, cells // max(rows, 1))
     while first < len(load):
         last = int(np.searchsorted(total, (total[first - 1] if first else 0) + cells, side="right"))
@@ -60,46 +60,118 @@ def _query_runs(load: np.ndarray, rows: int, cells: int) -> Iterator[tuple[int,
         first = last
 
 
-def _best(score: np.ndarray, k: int) -> np.ndarray:
-    """Which scores are among the k best of their row, with ties at the edge."""
-    keep = min(k, score.shape[1])
-    return score >= np.partition(score, score.shape[1] - keep, axis=1)[:, score.shape[1] - keep, None]
+class _Leaders:
+    """The k best documents of each query of a block that a task has seen, with all ties at the edge.
+
+    floor: each query's k-th best score so far (``least`` at first); what lies below it is not kept. The leaders of all batches leave at
+    the end of the task; only where ties make them many more than k a query do they leave before, and the floor stays.
+    """
+
+    def __init__(self, names: pa.Array, id_col: str, k: int, digits: int | None, least: float, cells: int):
+        self.names, self.id_col, self.k, self.digits, self.least, self.cells = names, id_col, k, digits, least, cells
+        self.floor = np.full(len(names), least)
+        self.ids, self.seen = [], 0
+        self.held, self.size, self.full, self.crowd = [], 0, cells, 4 * cells
+
+    def documents(self, ids: pa.Array) -> None:
+        """The documents that the next scores are of: copied, so that their batch can go."""
+        self.base, self.seen = self.seen, self.seen + len(ids)
+        self.ids.append(ids.take(pa.array(np.arange(len(ids)))))
+
+    def add(self, first: int, score: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Scores of the queries from ``first`` on, one row each, over the documents."""
+        low, rows = self.floor[first : first + len(score)], score.shape[1]
+        if rows >= self.k and (low == self.least).any():
+            low = self.floor[first : first + len(score)] = np.maximum(low, self._rounded(np.partition(score, rows - self.k, axis=1)[:, rows - self.k]))
+        near = np.maximum(low - 10.0 ** -(6 if self.digits is None else self.digits), min(self.least, 0.0))
+        cell = np.flatnonzero(score > near[:, None])
+        query, value = cell // rows, self._rounded(score.ravel()[cell])
+        keep = value >= low[query]
+        if keep.any():
+            self.held.append(((query[keep] + first).astype(np.int32), value[keep], (cell[keep] % rows + self.base).astype(np.int32)))
+            self.size += len(self.held[-1][0])
+        if self.size > self.full or self.seen > self.crowd:
+            yield from self._settle(2 * self.k * len(self.names))
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        yield from self._settle(0)
+
+    def _rounded(self, score: np.ndarray) -> np.ndarray:
+        return score if self.digits is None else np.round(score, self.digits)
+
+    def _settle(self, most: int) -> Iterator[pa.RecordBatch]:
+        """Keeps the leaders alone and raises the floors; if they are more than ``most``, they leave."""
+        tail = self.seen - self.base if self.ids else 0  # the documents that are being scored stay
+        own, self.ids = pa.concat_arrays(self.ids) if self.ids else None, []
+        query, value, row = (np.concatenate(x) for x in zip(*self.held)) if self.held else (np.zeros(0, np.int32), np.zeros(0), np.zeros(0, np.int32))
+        self.held = []
+        if len(query):
+            by = np.lexsort((-value, query))
+            query, value, row = query[by], value[by], row[by]
+            first = np.flatnonzero(np.append(True, query[1:] != query[:-1]))
+            many = np.diff(np.append(first, len(query)))
+            edge = value[first + np.minimum(many, self.k) - 1]
+            enough = many >= self.k
+            self.floor[query[first[enough]]] = np.maximum(self.floor[query[first[enough]]], edge[enough])
+            keep = value >= np.repeat(edge, many)
+            query, value, row = query[keep], value[keep], row[keep]
+        if len(query) > most:
+            for at in range(0, len(query), 50_000):
+                here = slice(at, at + 50_000)
+                yield pa.RecordBatch.from_arrays([self.names.take(pa.array(query[here])), own.take(pa.array(row[here])), pa.array(value[here])], names=["query_id", self.id_col, "score"])
+            query, value, row = query[:0], value[:0], row[:0]
+        if own is not None:
+            used = np.union1d(row, np.arange(self.base, self.seen))
+            row = np.searchsorted(used, row).astype(np.int32)
+            self.ids, self.seen = [own.take(pa.array(used))], len(used)
+            self.base = self.seen - tail
+        if len(query):
+            self.held = [(query, value, row)]
+        self.size = len(query)
+        self.full, self.crowd = self.size + max(self.cells, self.size // 2), self.seen + 4 * self.cells
 
 
 def _score_batches(sent, id_col: str, k: int | None, digits: int | None, k1: float, b: float, cells: int = _CELLS):
-    """Scores of a block of queries for every batch of documents: term counts, weights and sums are array operations; the k best of a batch go on, with ties.
+    """Scores of a block of queries for every batch of documents: term counts, weights and sums are array operations; the k best of a task go on, with ties.
 
-    However many queries share a term, only a run of them with some ``cells`` scores and weights is in memory.
+    However many queries share a term and however long the documents are, only a run of both with some ``cells`` terms, scores and weights is in memory.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, number, place, idf, average = sent.value  # place: term << 32 | query, sorted
-        all_terms = np.arange(len(number) + 1, dtype=np.int64) << 32
-        asked = np.diff(np.searchsorted(place, all_terms))
-        for batch in batches:
-            lists = batch.column("terms")
-            if not len(lists):
-                continue
-            flat = pc.dictionary_encode(lists.flatten())
-            local = np.array([number.get(t, -1) for t in flat.dictionary.to_pylist()], dtype=np.int64)
-            term = local[flat.indices.to_numpy()] if len(local) else np.zeros(0, np.int64)
-            row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
-            pair, tf = np.unique((row << 32 | term)[term >= 0], return_counts=True)
-            row, term = pair >> 32, pair & 0xFFFFFFFF
-            length = batch.column("length").to_numpy(zero_copy_only=False)[row]
-            weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average))
-            load = np.bincount(place & 0xFFFFFFFF, weights=np.repeat(np.bincount(term, minlength=len(number)), asked), minlength=len(names))
-            for first, last in _query_runs(load, len(lists), cells):
-                starts = np.searchsorted(place, all_terms[:-1] | first)
-                many = np.searchsorted(place, all_terms[:-1] | last) - starts
-                own = np.flatnonzero(many[term])
-                size = many[term[own]]
-                at = np.repeat(starts[term[own]] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                cell = ((place[at] & 0xFFFFFFFF) - first) * len(lists) + np.repeat(row[own], size)
-                score = np.bincount(cell, weights=np.repeat(weight[own], size), minlength=(last - first) * len(lists)).reshape(last - first, -1)
-                score = score if digits is None else np.round(score, digits)
-                q, d = np.nonzero((score > 0) & _best(score, k) if k is not None else score > 0)
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(q + first)), batch.column(0).take(pa.array(d)), pa.array(score[q, d])], names=["query_id", id_col, "score"])
+        names, number, place, idf, average = sent.value  # number: terms in the order of their numbers; place: term << 32 | query, sorted
+        known = pa.array(list(number), pa.string())
+        order = np.argsort(place & 0xFFFFFFFF, kind="stable")
+        query, asked = (place & 0xFFFFFFFF)[order], (place >> 32)[order]
+        begin = np.searchsorted(query, np.arange(len(names) + 1))
+        best = None if k is None else _Leaders(names, id_col, k, digits, np.nextafter(0.0, 1.0), cells)
+        for whole in batches:
+            for a, z in _runs(pc.list_value_length(whole.column("terms")).fill_null(0).to_numpy(zero_copy_only=False), 1, cells):
+                batch = whole.slice(a, z - a)
+                lists = batch.column("terms")
+                term = pc.index_in(lists.flatten(), value_set=known.cast(lists.type.value_type)).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+                row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
+                pair, tf = np.unique((term << 32 | row)[term >= 0], return_counts=True)
+                term, row = pair >> 32, pair & 0xFFFFFFFF
+                length = batch.column("length").to_numpy(zero_copy_only=False)[row]
+                weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average))
+                starts = np.searchsorted(term, np.arange(len(number) + 1))
+                many = np.diff(starts)
+                if best:
+                    best.documents(batch.column(0))
+                for first, last in _runs(np.bincount(query, weights=many[asked], minlength=len(names)), len(lists), cells):
+                    own = asked[begin[first] : begin[last]]
+                    size = many[own]
+                    at = np.repeat(starts[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                    cell = np.repeat((query[begin[first] : begin[last]] - first) * len(lists), size) + row[at]
+                    score = np.bincount(cell, weights=weight[at], minlength=(last - first) * len(lists)).reshape(last - first, -1)
+                    if best:
+                        yield from best.add(first, score)
+                        continue
+                    score = score if digits is None else np.round(score, digits)
+                    q, d = np.nonzero(score > 0)
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(q + first)), batch.column(0).take(pa.array(d)), pa.array(score[q, d])], names=["query_id", id_col, "score"])
+        if best:
+            yield from best.rest()
 
     return run
 
@@ -109,7 +181,7 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str, k1: float = 1.5, b: f
 
     docs: (id_col, terms, length); queries: (query_id, terms), their terms taken as a set. N, average length and document frequencies are
     those of ``docs``, empty documents included. Documents are not shuffled: queries go out in blocks of ``block`` (a bounded broadcast
-    each), every batch of documents scores a block, a run of queries at a time, and keeps its best. A query without known terms has no rows.
+    each), every batch of documents scores a block, a run of queries at a time, and a task keeps its best. A query without known terms has no rows.
     """
     spark = docs.sparkSession
     asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
@@ -154,21 +226,21 @@ def unit(vector: Column) -> Column:
 
 
 def _cosine_batches(sent, id_col: str, k: int, cells: int = _CELLS):
-    """Cosines of a block of queries for every batch of vectors, some ``cells`` of them at a time; the k best of a batch go on, with ties."""
+    """Cosines of a block of queries for every batch of vectors, some ``cells`` of them at a time; the k best of a task go on, with ties."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, matrix = sent.value
-        names = pa.array(names, pa.string())
+        best = _Leaders(pa.array(names, pa.string()), id_col, k, 6, -np.inf, cells)  # ties at the edge stay for the merge
         for batch in batches:
             own, lists = batch.column(0), batch.column(1)
             if not len(own):
                 continue
             x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
             x /= np.linalg.norm(x, axis=1, keepdims=True)
-            for first, last in _query_runs(np.zeros(len(matrix)), len(x), cells):
-                score = np.round(matrix[first:last] @ x.T, 6)
-                q, d = np.nonzero(_best(score, k))  # ties at the edge stay for the merge
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(q + first)), own.take(pa.array(d)), pa.array(score[q, d])], names=["query_id", id_col, "score"])
+            best.documents(own)
+            for first, last in _runs(np.zeros(len(matrix)), len(x), cells):
+                yield from best.add(first, matrix[first:last] @ x.T)
+        yield from best.rest()
 
     return run
 
@@ -177,7 +249,7 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, id_col: str, k: int = 10
     """(query_id, id_col, score): the k best of each query by exact cosine, ties to the smaller id.
 
     vectors: (id_col, v), queries: (query_id, v), all valid. Queries go out in blocks of ``block`` (a bounded broadcast each); each
-    batch of vectors multiplies a block, keeps its k best per query, and one window merges them.
+    batch of vectors multiplies a block, a task keeps its k best per query, and one window merges them.
     """
     def scan(names: list, matrix: np.ndarray) -> DataFrame:
         sent = vectors.sparkSession.sparkContext.broadcast((names, matrix))

@@ -192,3 +192,56 @@ def test_runs_of_queries_change_no_score():
                     score[f"d{d}"] = s
             edge = sorted(score.values())[-k:][0] if k and score else 0
             assert {(i, s) for a, i, s in got[0] if a == f"q{q}"} == {(i, s) for i, s in score.items() if s >= edge}
+
+
+def _keyword_batches(made, docs, words, batches, asked):
+    """Documents of random words in batches, queries of ``asked`` word numbers, and the brute force scores by query."""
+    terms = [[f"t{x}" for x in made.integers(0, words, made.integers(0, 6))] for _ in range(docs)]
+    place = np.sort(np.array([t << 32 | q for q, own in enumerate(asked) for t in own], dtype=np.int64))
+    sent = _Sent((pa.array([f"q{k}" for k in range(len(asked))]), {f"t{k}": k for k in range(words)}, place, np.arange(1.0, words + 1), 2.5))
+    whole = pa.RecordBatch.from_arrays([pa.array([f"d{k}" for k in range(docs)]), pa.array(terms, pa.list_(pa.string())), pa.array([len(t) for t in terms])], names=["id", "terms", "length"])
+    true = []
+    for own in asked:
+        score = {f"d{d}": round(sum((x + 1) * t.count(f"t{x}") * 2.5 / (t.count(f"t{x}") + 1.5 * (0.25 + 0.75 * len(t) / 2.5)) for x in own), 6) for d, t in enumerate(terms)}
+        true.append({d: s for d, s in score.items() if s > 0})
+    return sent, [whole.slice(at, -(-docs // batches)) for at in range(0, docs, -(-docs // batches))], true
+
+
+def test_a_task_keeps_the_best_of_all_its_batches():
+    """Each batch sent its own k best of each query on: 20 batches, 20 times the rows, all of which the JVM sorted."""
+    made = np.random.default_rng(3)
+    asked = [sorted(set(made.integers(0, 40, 3).tolist())) for _ in range(50)]
+    sent, batches, true = _keyword_batches(made, 2000, 40, 20, asked)
+    got = [r for b in rt._score_batches(sent, "id", 5, 6, 1.5, 0.75)(iter(batches)) for r in b.to_pylist()]
+    edges = [sorted(s.values())[-min(5, len(s)) :][:1] for s in true]
+    assert {(r["query_id"], r["id"], r["score"]) for r in got} == {(f"q{q}", d, v) for q, s in enumerate(true) for d, v in s.items() if v >= edges[q][0]}
+    assert len(got) == len({(r["query_id"], r["id"]) for r in got})
+
+    x, y = made.normal(size=(2000, 4)), made.normal(size=(30, 4))
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    vectors = [pa.RecordBatch.from_arrays([pa.array([f"d{k}" for k in range(at, at + 100)]), pa.array(x[at : at + 100].tolist())], names=["id", "v"]) for at in range(0, 2000, 100)]
+    got = [r for b in rt._cosine_batches(_Sent(([f"q{k}" for k in range(30)], y)), "id", 5)(iter(vectors)) for r in b.to_pylist()]
+    cosine = np.round(y @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 6)
+    assert {(r["query_id"], r["id"]) for r in got} == {(f"q{q}", f"d{d}") for q, d in zip(*np.nonzero(cosine >= np.sort(cosine, axis=1)[:, -5, None]))}
+
+
+def test_leaders_of_many_ties_leave_early_and_none_is_lost():
+    made = np.random.default_rng(4)
+    sent, batches, true = _keyword_batches(made, 1500, 2, 15, [[0], [1], [0, 1]])
+    for cells in (7, 900, 10**6):
+        got = [(r["query_id"], r["id"], r["score"]) for b in rt._score_batches(sent, "id", 3, 6, 1.5, 0.75, cells)(iter(batches)) for r in b.to_pylist()]
+        assert len(got) == len(set(got))
+        for q, s in enumerate(true):
+            own = {(d, v) for a, d, v in got if a == f"q{q}"}
+            assert own <= set(s.items()) and own >= {(d, v) for d, v in s.items() if v >= sorted(s.values())[-3]}
+
+
+def test_a_batch_of_long_documents_is_scored_in_parts():
+    """400 documents of 5,000 terms: two million at once took their arrays before."""
+    place = np.arange(50, dtype=np.int64) << 32
+    sent = _Sent((pa.array(["q"]), {f"t{k}": k for k in range(50)}, place, np.ones(50), 5000.0))
+    flat = pa.array([f"t{k % 50}" for k in range(2_000_000)])
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, 2_000_001, 5000, dtype=np.int32)), flat)
+    batch = pa.RecordBatch.from_arrays([pa.array([f"d{k}" for k in range(400)]), lists, pa.array([5000] * 400)], names=["id", "terms", "length"])
+    rows, peak = _peak_mb(rt._score_batches(sent, "id", 10, 6, 1.5, 0.75), batch)
+    assert rows == 400 and peak < 30
