@@ -20,6 +20,11 @@ def current(df: DataFrame, key: str = "id", order: str = "updated_at") -> DataFr
     return latest.select(key, *(F.col("row")[c].alias(c) for c in rest))
 
 
+def one_each(df: DataFrame, key: str = "id") -> DataFrame:
+    """One row of each key. Rows are moved first and sorted once: keys hardly repeat, so that to sort what a task reads as well (bodies, vectors) takes memory and saves nothing."""
+    return df.repartition(key).dropDuplicates([key])
+
+
 def visible_to(read_internal: bool) -> tuple[str, ...]:
     """The visibilities that a reader sees."""
     return ("public", "internal") if read_internal else ("public",)

@@ -8,13 +8,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestone.functions.text import expand_synonyms, search_terms
-from lodestone.operators.retrieval import bm25, cosine_topk, current, fuse, group_parents, scoped_contexts, top_k, valid_vector, with_terms
-from lodestone.sources.tables import materialize, table
+from lodestone.operators.retrieval import bm25, cosine_topk, current, fuse, group_parents, one_each, scoped_contexts, top_k, valid_vector, with_terms
+from lodestone.sources.tables import arrow_rows, materialize, table
 
 
 @dataclass(frozen=True)
 class SearchConfig:
-    """candidates: a route's length; rrf_k and weights: of the fusion; top_k: parents returned; width: of vectors."""
+    """candidates: a route's length; rrf_k and weights: of the fusion; top_k: parents returned; width: of vectors; batch: passages that a task hands to Python at once."""
 
     candidates: int = 100
     rrf_k: int = 20
@@ -22,17 +22,19 @@ class SearchConfig:
     vector_weight: float = 1.0
     top_k: int = 5
     width: int = 64
+    batch: int = 2000
     visibilities: tuple[str, ...] = ("public", "internal")
 
 
 class Corpus:
-    """The current rows of the four tables, without repetitions."""
+    """The current rows of the four tables, without repetitions; stored: the ids of all rows of evidence, as they stand."""
 
     def __init__(self, spark: SparkSession, directory: str):
         read = lambda name: table(spark, directory, name)
         self.sources = current(read("knowledge_source"))
-        self.contexts = read("context_unit").dropDuplicates(["id"])
-        self.evidence = read("evidence_unit").dropDuplicates(["id"])
+        self.contexts = one_each(read("context_unit"))
+        self.evidence = one_each(read("evidence_unit"))
+        self.stored = read("evidence_unit").select("id", "context_id")
         self.specs = current(read("product_spec"))
 
 
@@ -42,7 +44,11 @@ def known_item_queries(corpus: Corpus, width: int = 64, vectors: bool = True) ->
     if not vectors:
         return asked
     own = corpus.contexts.select(F.col("id").alias("context_id"), F.col("source_id").alias("query_id")).join(asked.select("query_id"), "query_id", "left_semi")
-    first = corpus.evidence.select("context_id", "id", "embedding").join(own, "context_id").filter(valid_vector(F.col("embedding"), width)).groupBy("query_id").agg(F.min_by("embedding", "id").alias("v"))
+    rows = corpus.evidence.select("id", "context_id", "embedding")
+    # of all passages only ids go to the contexts; their vectors stay where they were made distinct (a range, as a second equality would move them)
+    near = corpus.stored.withColumnRenamed("id", "own_id").join(own, "context_id").withColumnRenamed("context_id", "own_context").distinct()
+    held = rows.join(near, (F.col("id") == F.col("own_id")) & F.col("context_id").between(F.col("own_context"), F.col("own_context")))
+    first = held.filter(valid_vector(F.col("embedding"), width)).groupBy("query_id").agg(F.min_by("embedding", "id").alias("v"))
     return asked.join(first, "query_id", "left")
 
 
@@ -75,7 +81,8 @@ def routes(spark: SparkSession, directory: str, config: SearchConfig = SearchCon
     seen = scoped_contexts(corpus.contexts, corpus.sources, config.visibilities).select(F.col("id").alias("context_id"))
     evidence = corpus.evidence.join(seen, "context_id", "left_semi")
     queries = materialize(known_item_queries(corpus, config.width), "queries")
-    return corpus, {"keyword": materialize(keyword_route(corpus, evidence, queries, config), "keyword"), "vector": materialize(vector_route(evidence, queries, config), "vector")}
+    with arrow_rows(spark, config.batch):
+        return corpus, {"keyword": materialize(keyword_route(corpus, evidence, queries, config), "keyword"), "vector": materialize(vector_route(evidence, queries, config), "vector")}
 
 
 def hybrid_search(spark: SparkSession, directory: str, config: SearchConfig = SearchConfig()) -> DataFrame:
