@@ -32,11 +32,12 @@ def search_results(spark, d):
     keyed = rt.scoped_evidence(corpus.evidence, corpus.contexts, corpus.sources).select("id", "context_id", "stable_key")
     found = rt.group_matches(rt.fuse(by_route, "id", config.rrf_k), keyed, "id", "context_id", config.top_k)
     source = corpus.sources.select(F.col("id").alias("source_id"), F.col("title").alias("source_title"), F.concat("source_type", F.lit(":"), "canonical_locator").alias("locator"), F.col("warnings").alias("of_source"))
-    parents = rt.scoped_contexts(corpus.contexts, corpus.sources, config.visibilities).select(F.col("id").alias("context_id"), "source_id", "title", "body", F.col("warnings").alias("own")).join(source, "source_id")
+    texts = rt.one_each(table(spark, d, "context_unit").select("id", "source_id", "title", F.md5("body").alias("text_md5"), "warnings"))  # bodies are neither moved nor sorted
+    parents = rt.scoped_contexts(texts, corpus.sources, config.visibilities).select(F.col("id").alias("context_id"), "source_id", "title", "text_md5", F.col("warnings").alias("own")).join(source, "source_id")
     merged = F.array_distinct(F.concat(F.array_compact(F.coalesce("of_source", F.array())), F.array_compact(F.coalesce("own", F.array()))))
     place = lambda m, route: F.coalesce(m["ranks"][route].cast("string"), F.lit("-"))
     shown = F.array_join(F.transform("matches", lambda m: F.concat_ws(" ", m["id"], place(m, "keyword"), place(m, "vector"))), ",")
-    read = found.join(parents, "context_id").select("query_id", F.col("rank").cast("long").alias("rank"), "context_id", F.round("score", 6).alias("score"), "kind", shown.alias("matches"), "title", F.md5("body").alias("text_md5"), "source_title", "locator", F.array_join(merged, " | ").alias("warnings"))
+    read = found.join(parents, "context_id").select("query_id", F.col("rank").cast("long").alias("rank"), "context_id", F.round("score", 6).alias("score"), "kind", shown.alias("matches"), "title", "text_md5", "source_title", "locator", F.array_join(merged, " | ").alias("warnings"))
     asked = se.known_item_queries(corpus, vectors=False).select("query_id")
     return asked.join(read, "query_id", "left").withColumn("status", F.when(F.col("context_id").isNull(), "no_result").otherwise("found"))
 

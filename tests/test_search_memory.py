@@ -1,7 +1,10 @@
 """What the search queries hold in memory: rows on their way, and batches in Python."""
 
+import re
+
 import pytest
 
+import __spark_entry__ as e
 from lodestone.operators import retrieval as rt
 from lodestone.plans import search as se
 from lodestone.sources.tables import arrow_rows
@@ -25,6 +28,14 @@ def test_one_each_keeps_one_row_of_each_key(spark):
     assert sorted(map(tuple, rt.one_each(df).collect()), key=str) == sorted([("a", 1), ("b", 2), (None, 3)], key=str)
 
 
+def test_bodies_of_contexts_are_not_shuffled(spark):
+    """search_results returns digests, and only these are moved."""
+    plan = physical(e.queries()["search_results"](spark, TINY))
+    scans = [set(re.findall(r"(\w+)#", line[line.index("[") : line.index("]")])) for line in plan.splitlines() if "FileScan" in line]
+    assert any("body" in s for s in scans)
+    assert not re.search(r"Exchange hash\w*\(.*body#|first\(body#", plan) and "md5" in plan[plan.rindex("Exchange", 0, plan.index("md5(")) :]
+
+
 def test_vectors_of_queries_are_moved_once(spark):
     """The contexts are asked by ids alone: between the join with them and the distinct vectors nothing is moved."""
     name = "spark.sql.autoBroadcastJoinThreshold"
