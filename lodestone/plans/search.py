@@ -71,7 +71,8 @@ def expanded_keyword_route(keyed: DataFrame, queries: DataFrame, synonyms: Seque
 
 
 def vector_route(evidence: DataFrame, queries: DataFrame, config: SearchConfig) -> DataFrame:
-    vectors = evidence.filter(valid_vector(F.col("embedding"), config.width)).select("id", F.col("embedding").alias("v"))
+    """(query_id, id, score, rank) of the best passages by cosine. Vectors are written once: every task sends on the best of each query, and a table is read by fewer tasks than its shuffle has parts."""
+    vectors = materialize(evidence.filter(valid_vector(F.col("embedding"), config.width)).select("id", F.col("embedding").alias("v")), "vectors")
     return top_k(cosine_topk(vectors, queries.filter("v IS NOT NULL").select("query_id", "v"), "id", config.candidates), "id", config.candidates)
 
 

@@ -70,3 +70,19 @@ def test_routes_send_small_batches(spark, monkeypatch):
     rows = lambda config: {n: sorted(map(tuple, df.collect())) for n, df in se.routes(spark, TINY, config)[1].items()}
     assert rows(se.SearchConfig(batch=3)) == rows(se.SearchConfig(batch=10**6))
     assert [b for label, b in seen if label in ("keyword", "vector")][:2] == ["3", "3"]
+
+
+def test_vectors_are_read_by_few_tasks(spark):
+    """Each task sends 100 rows a query on: not one task for each part of the shuffle that made the passages distinct."""
+    name = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(name), spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set(name, "23")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        corpus = se.Corpus(spark, TINY)
+        plan = physical(se.vector_route(corpus.evidence, se.materialize(se.known_item_queries(corpus), "q"), se.SearchConfig()))
+    finally:
+        spark.conf.set(name, old[0])
+        spark.conf.set("spark.sql.adaptive.enabled", old[1])
+    below = plan[plan.index("MapInArrow") :]
+    assert "Exchange" not in below and "FileScan" in below
