@@ -43,7 +43,12 @@ def failures(keyword: DataFrame, vector: DataFrame, hybrid: DataFrame, limit: in
 
 def compare_runs(base: DataFrame, other: DataFrame) -> DataFrame:
     """(query_id, base_rank, other_rank, change) of two runs' first ranks: better, worse or same; a miss is worse than any rank."""
-    far = 2_147_483_647
     j = base.select("query_id", F.col("rank").alias("base_rank")).join(other.select("query_id", F.col("rank").alias("other_rank")), "query_id", "full_outer")
-    a, b = F.coalesce("base_rank", F.lit(far)), F.coalesce("other_rank", F.lit(far))
-    return j.withColumn("change", F.when(b < a, "better").when(b > a, "worse").otherwise("same"))
+    return j.withColumn("change", change(F.col("base_rank"), F.col("other_rank")))
+
+
+def change(base: Column, other: Column) -> Column:
+    """From one rank to another: better, worse or same; a miss (null) is worse than any rank."""
+    far = F.lit(2_147_483_647)
+    a, b = F.coalesce(base, far), F.coalesce(other, far)
+    return F.when(b < a, "better").when(b > a, "worse").otherwise("same")

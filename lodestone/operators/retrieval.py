@@ -307,6 +307,29 @@ def fuse(routes: dict[str, DataFrame], id_col: str, k: int = 20, weights: dict[s
     return best.groupBy("query_id", id_col).agg(F.round(F.sum(F.col("w") / (k + F.col("rank"))), 8).alias("score"), entries("rank").alias("ranks"), entries("route_score").alias("route_scores"))
 
 
+def first_ranks_by_constant(routes: dict[str, DataFrame], children: DataFrame, judged: DataFrame, queries: DataFrame, id_col: str, parent_col: str, constants: Sequence[int]) -> DataFrame:
+    """(query_id, rank_<k> for each constant k): the first relevant parent's rank under several fusion constants, null where none was found; every query has a row.
+
+    A route has an id once a query; then the ranks are those of fuse(), group_parents() and first_relevant() run once for each constant. Rows go to their parents once, whatever
+    the constants, and to their query once: what is judged travels with what was found, and no map or list is made.
+    """
+    stacked = None
+    for df in routes.values():
+        one = df.select("query_id", id_col, "rank")
+        stacked = one if stacked is None else stacked.unionByName(one)
+    score, rank, no = (lambda k: f"score_{k}"), (lambda k: f"rank_{k}"), F.lit(None)
+    found = stacked.join(children.select(id_col, parent_col), id_col).groupBy("query_id", id_col, parent_col).agg(*(F.round(F.sum(F.lit(1.0) / (k + F.col("rank"))), 8).alias(score(k)) for k in constants))
+    found = found.select("query_id", parent_col, *map(score, constants), F.lit(False).alias("good"))
+    blank = [no.cast("double").alias(score(k)) for k in constants]
+    good = judged.filter("grade > 0").select("query_id", parent_col, *blank, F.lit(True).alias("good"))
+    asked = queries.select("query_id", no.cast(children.schema[parent_col].dataType).alias(parent_col), *blank, F.lit(False).alias("good"))
+    rows = found.unionByName(good).unionByName(asked).repartition("query_id").groupBy("query_id", parent_col).agg(*(F.max(score(k)).alias(score(k)) for k in constants), F.max("good").alias("good"))
+    for k in constants:
+        order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last(score(k)), F.asc(parent_col))
+        rows = rows.withColumn(rank(k), F.row_number().over(order))
+    return rows.groupBy("query_id").agg(*(F.min(F.when(F.col("good") & F.col(score(k)).isNotNull(), F.col(rank(k)))).alias(rank(k)) for k in constants))
+
+
 def group_matches(fused: DataFrame, children: DataFrame, id_col: str, parent_col: str, k: int) -> DataFrame:
     """(query_id, parent_col, score, kind, matches, rank): the k first parents by their first child (score, stable key, id), with all their matches in that order.
 

@@ -211,8 +211,8 @@ ON t.query_id = q.query_id AND EXISTS (SELECT 1 FROM rel WHERE rel.query_id = q.
 def run_comparison(spark, d):
     """First ranks under two fusion constants, query by query."""
     by_route, queries, judged, _ = _run(spark, d)
-    runs = [ev.first_relevant(rt.group_parents(rt.fuse(by_route, "id", k), se.Corpus(spark, d).evidence, "id", "context_id", 1000), judged, queries, "context_id") for k in (20, 60)]
-    return ev.compare_runs(*runs).withColumns({c: F.col(c).cast("long") for c in ("base_rank", "other_rank")})
+    runs = rt.first_ranks_by_constant(by_route, se.Corpus(spark, d).evidence, judged, queries, "id", "context_id", (20, 60))
+    return runs.select("query_id", F.col("rank_20").cast("long").alias("base_rank"), F.col("rank_60").cast("long").alias("other_rank"), ev.change(F.col("rank_20"), F.col("rank_60")).alias("change"))
 
 
 @register("SELECT CASE WHEN grouping(cat) = 1 THEN 'ALL' ELSE cat END AS cat, CAST(count(*) AS BIGINT) AS items, CAST(min(coalesce(length(text), 0)) AS BIGINT) AS least, CAST(max(coalesce(length(text), 0)) AS BIGINT) AS most, round(avg(coalesce(length(text), 0)), 6) AS mean FROM (SELECT source AS cat, text FROM documents) GROUP BY GROUPING SETS ((cat), ())")

@@ -80,7 +80,9 @@ def routes(spark: SparkSession, directory: str, config: SearchConfig = SearchCon
     """Both routes over the visible passages, written once: fusion, grouping and metrics read them several times."""
     corpus = Corpus(spark, directory)
     seen = scoped_contexts(corpus.contexts, corpus.sources, config.visibilities).select(F.col("id").alias("context_id"))
-    evidence = corpus.evidence.join(seen, "context_id", "left_semi")
+    # only ids go to the contexts; bodies and vectors stay where they were made distinct (a range, as a second equality would move them)
+    near = materialize(corpus.stored.join(seen, "context_id", "left_semi").select(F.col("id").alias("own_id"), F.col("context_id").alias("own_context")).distinct(), "scope")
+    evidence = corpus.evidence.join(near, (F.col("id") == F.col("own_id")) & F.col("context_id").between(F.col("own_context"), F.col("own_context")), "left_semi")
     queries = materialize(known_item_queries(corpus, config.width), "queries")
     with arrow_rows(spark, config.batch):
         return corpus, {"keyword": materialize(keyword_route(corpus, evidence, queries, config), "keyword"), "vector": materialize(vector_route(evidence, queries, config), "vector")}
